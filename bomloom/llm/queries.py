@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, rules
+from . import decontam, html, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,9 @@ def _on(op: Callable[..., DataFrame], *tables: str) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_simhash_dedup": _on(simhash.op4_simhash_dedup, "documents"),
         "op5_quality_rules": _on(rules.op5_quality_rules, "documents"),
+        "op9_html_extraction": _on(html.op9_html_extraction, "pages"),
         "op10_decontamination": _on(decontam.op10_decontamination, "documents", "benchmark"),
     }
 
