@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, rules, simhash
+from . import decontam, html, langid, rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,8 @@ def _on(op: Callable[..., DataFrame], *tables: str) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxicity": _on(toxicity.op2_toxicity, "documents", "labels"),
+        "op3_language_id": _on(langid.op3_language_id, "documents"),
         "op4_simhash_dedup": _on(simhash.op4_simhash_dedup, "documents"),
         "op5_quality_rules": _on(rules.op5_quality_rules, "documents"),
         "op9_html_extraction": _on(html.op9_html_extraction, "pages"),
