@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, packing, rules, simhash, toxicity
+from . import decontam, html, langid, packing, rules, simhash, suffix_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def _on(op: Callable[..., DataFrame], *tables: str) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_array_dedup": _on(suffix_index.op1_suffix_array_dedup, "documents"),
         "op2_toxicity": _on(toxicity.op2_toxicity, "documents", "labels"),
         "op3_language_id": _on(langid.op3_language_id, "documents"),
         "op4_simhash_dedup": _on(simhash.op4_simhash_dedup, "documents"),
