@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, packing, rules, simhash, suffix_index, toxicity
+from . import decontam, html, langid, lm, packing, rules, simhash, suffix_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op3_language_id": _on(langid.op3_language_id, "documents"),
         "op4_simhash_dedup": _on(simhash.op4_simhash_dedup, "documents"),
         "op5_quality_rules": _on(rules.op5_quality_rules, "documents"),
+        "op6_lm_scoring": _on(lm.op6_lm_scoring, "documents"),
         "op8_best_fit_packing": _on(packing.op8_best_fit_packing, "documents"),
         "op9_html_extraction": _on(html.op9_html_extraction, "pages"),
         "op10_decontamination": _on(decontam.op10_decontamination, "documents", "benchmark"),
