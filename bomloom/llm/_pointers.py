@@ -90,14 +90,21 @@ def of_rows(p: np.ndarray, at: np.ndarray, order: np.ndarray, base: np.ndarray,
     return p[inside], row[inside]
 
 
-def located(docs: DataFrame, key: str) -> DataFrame:
-    """_key, ord (the id; nulls last), base (where this text begins among those of the id) and text."""
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+def located(docs: DataFrame, key: str, keep: bool = False) -> DataFrame:
+    """_row, ord (the id; nulls last), base (where this text begins among those of the id) and text.
+
+    _row is the key; with keep, a struct of all columns but the text, in their order, and
+    whether the text is null.
+    """
+    row = F.col(key)
+    if keep:
+        row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"), F.col("text").isNull().alias("_null"))
+    rows = docs.select(row.alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
     repeated = rows.groupBy("ord").agg(F.count("*").alias("n")).where("n > 1").select("ord")
     if repeated.isEmpty():
         return rows.withColumn("base", F.lit(0).cast("long"))
     mark = rows.withColumn("mark", F.xxhash64("text"))
-    texts = mark.join(repeated, "ord", "left_semi").select("ord", "mark", F.octet_length("text").cast("long").alias("size")).distinct()
+    found = mark.join(repeated, "ord", "left_semi").select("ord", "mark", F.octet_length("text").cast("long").alias("size")).distinct()
     before = Window.partitionBy("ord").orderBy("mark").rowsBetween(Window.unboundedPreceding, -1)
-    texts = texts.select("ord", "mark", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("base"))
-    return mark.join(texts, ["ord", "mark"], "left").select("_key", "ord", "text", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
+    found = found.select("ord", "mark", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("base"))
+    return mark.join(found, ["ord", "mark"], "left").select("_row", "ord", "text", F.coalesce("base", F.lit(0)).cast("long").alias("base"))

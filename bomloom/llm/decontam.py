@@ -254,6 +254,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["spans"])
 
 
+def without_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs with their texts cut: what lies in a removal span is gone. Null texts stay null."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    found = find_passages(docs.select(row.alias("row"), "text"), benchmark, key="row", window=window)
+    cut = found.select("row.text", "spans", F.col("row")).mapInArrow(_cut, f"text string, row {found.schema['row'].dataType.simpleString()}")
+    return cut.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def op10_decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"]), F.lit(0))
     return find_passages(documents, benchmark).select(

@@ -187,5 +187,25 @@ def group(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return printed.join(by_print, "print").select(F.col("_key").alias(key), "print", "component_id")
 
 
+def first_of_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is their component's name: one of each group of near-duplicates.
+
+    Of rows that repeat that key one stays, as does one of a group whose keys are all null.
+    """
+    grouped = written(group(docs, key))
+    stay = grouped.where(F.col(key) == F.col("component_id")).select(key)
+    repeated = not stay.groupBy(key).count().where("count > 1").isEmpty()
+    named = docs.join(stay.distinct().hint("shuffle_hash"), key, "left_semi")
+    nameless = grouped.where(F.col("component_id").isNull()).select("print").distinct()
+    out = named.dropDuplicates([key]) if repeated else named
+    if nameless.isEmpty():
+        return out
+    rest = docs.where(F.col(key).isNull())
+    marked = rest.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), "text")
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    roots = marked.mapInArrow(_printed, f"_key {kind}, print long").join(nameless, "print", "left_semi").dropDuplicates(["print"])
+    return out.unionByName(roots.select("_key.*"))
+
+
 def op4_simhash_dedup(documents: DataFrame) -> DataFrame:
     return group(documents).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
