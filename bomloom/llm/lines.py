@@ -193,7 +193,7 @@ def _kept(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
     """Documents without the lines that pointers name; n of a pointer: 1 if the line is near an earlier one, not equal."""
     kept, counts = [], []
     for data, at, order, base in texts(docs):
-        p, row = of_rows(np.unique(unpacked(found.column("data").to_pylist(), POINTER)), at, order, base, 0)
+        p, row = of_rows(np.unique(unpacked(found.column("data").to_pylist(), POINTER)), at, order, base, 1)
         begin, end, doc = lines(data, at)
         gone, near = np.zeros(len(begin), bool), np.zeros(len(begin), bool)
         which = np.searchsorted(begin, at[row] + p["s"] - base[row])
