@@ -32,12 +32,12 @@ def written(df: DataFrame, *keys: str) -> DataFrame:
     return table
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables that no later job reads."""
+def dropped(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables, or a part (key=value) of each, that no later job reads."""
     for table in tables:
         if path := getattr(table, "bomloom_path", None):
             jvm = table.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 

@@ -4,22 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
+_TYPES = {"string": T.StringType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def _schema(text: str) -> StructType:
+    """A schema of columns as \"name type\"; needs no session."""
+    fields = []
+    for column in text.split(", "):
+        name, kind = column.split(" ")
+        numbers = kind.removeprefix("decimal(").rstrip(")").split(",")
+        fields.append(T.StructField(name, _TYPES[kind] if kind in _TYPES else T.DecimalType(*map(int, numbers))))
+    return StructType(fields)
+
+
 # Column names and types of the universal bill-of-materials tables.
-MATERIALS = StructType.fromDDL(
+MATERIALS = _schema(
     "material_id string, material_name string, description string, material_type string, material_group string, base_unit string, weight decimal(12,4), cost decimal(12,4), source_system string, source_id string, is_active boolean, created_at timestamp"
 )
-BOM_HEADER = StructType.fromDDL(
+BOM_HEADER = _schema(
     "bom_id string, parent_material_id string, bom_usage string, bom_version string, alternative string, plant string, base_quantity decimal(18,6), base_unit string, valid_from date, valid_to date, is_approved boolean, is_active boolean, source_system string, created_at timestamp"
 )
-BOM_COMPONENT = StructType.fromDDL(
+BOM_COMPONENT = _schema(
     "component_id string, bom_id string, child_material_id string, item_number int, quantity_per decimal(18,6), unit string, scrap_percent decimal(8,4), operation_sequence int, supply_type string, flushing_principle string, is_phantom boolean, valid_from date, valid_to date, reference_designator string, source_system string, created_at timestamp"
 )
-MATERIAL_EMBEDDINGS = StructType.fromDDL(
+MATERIAL_EMBEDDINGS = _schema(
     "material_id string, jaccard_embedding array<float>, structural_embedding array<float>, textual_embedding array<float>, transactional_embedding array<float>, combined_embedding array<float>, updated_at timestamp, num_components int"
 )
-STATISTICS = StructType.fromDDL("feature_name string, feature_index int, feature_category string, mean_value double, std_value double, min_value double, max_value double, num_samples long, updated_at timestamp, version int")
+STATISTICS = _schema("feature_name string, feature_index int, feature_category string, mean_value double, std_value double, min_value double, max_value double, num_samples long, updated_at timestamp, version int")
 _DEFAULT_VALUES = {"base_quantity": 1, "scrap_percent": 0, "is_approved": False, "is_active": True}
 
 
