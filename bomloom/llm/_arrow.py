@@ -40,7 +40,7 @@ class Chunk(NamedTuple):
 def bounded_batches(spark: SparkSession) -> None:
     """Batches of so many rows and bytes that a task's memory is bounded for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._arrow import text_buffers
 
 #: Text bytes that a task holds at once when documents meet their pointers, about.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 POINTER = np.dtype([("ord", "<i8"), ("s", "<i4"), ("n", "<u1")])
 _LAST = (1 << 63) - 1
 _PRIME, _FACTOR = 2147483647, 1103515245
@@ -66,7 +66,8 @@ def batch_of(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
 
 
 def texts(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, begins, ord, base) of all texts of a group."""
+    """(bytes, begins, ord, base) of all texts of a group; Arrow's memory of earlier groups goes back first."""
+    pa.default_memory_pool().release_unused()
     table = docs.combine_chunks()
     if table.num_rows:
         column = table.column("text")
