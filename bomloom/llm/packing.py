@@ -112,19 +112,22 @@ def fullest(counts: np.ndarray, first: int, capacity: int) -> list[int]:
     mask = (1 << room + 1) - 1
     reach, steps = 1, []
     for size in range(min(first, room), 0, -1):
-        for _ in range(min(int(counts[size]) - (size == first), room // size, 3)):
-            new = (reach << size) & mask & ~reach
+        rest, copies = min(int(counts[size]) - (size == first), room // size), 1
+        while rest > 0:
+            copies = min(copies, rest)  # 1, 2, 4, ... and what remains make every number up to all
+            new = (reach << copies * size) & mask & ~reach
             if not new:
                 break
-            steps.append((size, new))
+            steps.append((size, copies, new))
             reach |= new
+            rest, copies = rest - copies, 2 * copies
         if reach >> room & 1:
             break
     left, out = reach.bit_length() - 1, [first]
-    for size, new in reversed(steps):
+    for size, copies, new in reversed(steps):
         if left and new >> left & 1:
-            out.append(size)
-            left -= size
+            out += [size] * copies
+            left -= copies * size
     return out
 
 

@@ -95,6 +95,24 @@ def test_fullest_bin():
         assert sum(got) == max(sums) and (np.bincount(got, minlength=61) <= counts).all()
 
 
+@pytest.mark.parametrize("counts, sequences", [({100: 1000}, 50), ({1: 10_000}, 5), ({1000: 3, 1: 3144}, 3), ({100: 10_000, 300: 10, 1748: 10}, 510)])
+def test_copies_of_a_length_fill_bins(counts, sequences):
+    histogram = np.zeros(2049, np.int64)
+    for n, k in counts.items():
+        histogram[n] = k
+    placed, bins = np.zeros(2049, np.int64), packing.plan(histogram)
+    for lengths, times in bins:
+        assert sum(lengths) <= 2048
+        placed += times * np.bincount(lengths, minlength=2049)
+    assert (placed == histogram).all() and sum(times for _, times in bins) == sequences
+
+
+def test_empty_texts_share_sequences(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "") for i in range(5000)], "doc_id long, text string")
+    rows = packing.op8_best_fit_packing(docs).collect()
+    assert len(rows) == len({(r.sequence_id, r.offset) for r in rows}) == 5000 and {r.sequence_id for r in rows} == {0, 1, 2} and max(r.offset for r in rows) < 2048
+
+
 def test_golay_keys_meet():
     rng = np.random.default_rng(2)
     for _ in range(200):
