@@ -37,7 +37,8 @@ _HALF = (LENGTH - ANCHOR) // 2
 _ROWS_AT_ONCE = 150_000
 #: Anchors that a task holds when it scans a bucket are those of so many groups' texts.
 _BUCKETS_A_GROUP = 4
-#: Different runs of one key that a chunk sends to the key's bucket; further ones have their windows compared at once.
+#: Different runs of one key that a chunk sends to the key's bucket. Further ones have their windows compared at once, and a
+#: mark (a row of no windows) for the key goes to the bucket and stays in the levels: all other runs of it are compared too.
 _RUNS_A_KEY = 64
 _ROW = np.dtype([("k", "<u8"), ("h", "<u8"), ("ord", "<i8"), ("s", "<i4"), ("n", "<u1"), ("left", "<u1"), ("right", "<u1"), ("sent", "<u1")])
 _WINDOW = np.dtype([("w", "<u8"), ("ord", "<i8"), ("s", "<i4")])
@@ -114,7 +115,9 @@ def _array(rows: np.ndarray, buckets: int, groups: int) -> list[tuple[str, int,
     new_key = first_of(rows["k"])
     run = np.cumsum(new_key | first_of(rows["h"]))
     many = run - run[new_key][np.cumsum(new_key) - 1] >= _RUNS_A_KEY
-    unsure, rows = _pointers(rows[many]), rows[~many]
+    marks = np.zeros(len(keys := np.unique(rows["k"][many])), _ROW)
+    marks["k"] = keys
+    unsure, rows = _pointers(rows[many]), np.concatenate([rows[~many], marks])
     out = [("row", b, packed(rows[r])) for b, r in groups_of(dealt(rows["k"], buckets))] if len(rows) else []
     out += [("unsure", g, packed(unsure[r])) for g, r in by_doc(unsure, groups)]
     return out + [("full", g, packed(settled[r])) for g, r in by_doc(settled, groups)]
@@ -160,17 +163,21 @@ def _scan(groups: int, keep: bool):
         stay["sent"] |= 2
         passed = [(k, key[0].as_py(), x) for k, x in zip(kinds, data, strict=True) if k in ("full", "unsure")]
         del data, table
-        rows, late = _settle(np.concatenate([rows, stay]))
+        rows = np.concatenate([rows, stay])
+        marks, rows = rows[rows["n"] == 0], rows[rows["n"] > 0]
+        rows, late = _settle(rows)
         settled = _pointers(rows[late])
         out = passed + [("full", g, packed(settled[r])) for g, r in by_doc(settled, groups)]
         rows = rows[~late]
         new_run = first_of(rows["k"]) | first_of(rows["h"])
-        unsure = _alike(rows, new_run)
+        unsure = _alike(rows, new_run) | np.isin(rows["k"], marks["k"])
         found = _pointers(rows[unsure & (rows["sent"] & 1 == 0)])
         out += [("unsure", g, packed(found[r])) for g, r in by_doc(found, groups)]
         if keep:
             rows["sent"][unsure] |= 1
-            out.append(("level", key[0].as_py(), packed(rows[new_run & (rows["sent"] < 2)])))
+            marks = marks[marks["sent"] < 2]
+            marks = marks[np.unique(marks["k"], return_index=True)[1]]
+            out.append(("level", key[0].as_py(), packed(np.concatenate([rows[new_run & (rows["sent"] < 2)], marks]))))
         return pa.Table.from_batches([batch_of(out)])
 
     return scan

@@ -23,6 +23,24 @@ def test_suffix_dedup(case):
     assert any(x[1] for x in got.values())
 
 
+def test_suffix_dedup_of_anchors_with_many_runs(spark):
+    """Every text has one anchor, the lowest of many strings; pairs also share what stands before it, or after it."""
+    rng = np.random.default_rng(8)
+    say = lambda n: bytes(rng.integers(97, 123, n).tolist()).decode()
+    many = say(5000)
+    lowest = int(np.argmin(suffix_index.mix(suffix_index.Hasher(np.frombuffer(many.encode(), np.uint8)).every(suffix_index.ANCHOR))))
+    anchor, rows = many[lowest : lowest + suffix_index.ANCHOR], []
+    for i in range(300):
+        shared = say(40)
+        pair = [shared + anchor + say(40) if i % 2 else say(40) + anchor + shared for _ in range(2)]
+        rows += [say(60) + text + say(60) for text in pair]
+    rows = list(enumerate(rows[i] for i in rng.permutation(len(rows))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_index.op1_suffix_array_dedup(docs).collect()}
+    want = removed(rows)
+    assert [i for i in want if got[i] != want[i]] == [] and sum(x[1] > 0 for x in want.values()) == 300
+
+
 @BOTH
 def test_simhash(case):
     table, rows = case
