@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import Chunk, Hasher, bounded_batches, byte_class, chunks, lower, text_buffers, words
+from ._tables import written
 
 WINDOW = 10
 #: Bytes of benchmark text whose phrases are sent to the executors at once; a larger benchmark is searched in blocks.
@@ -203,7 +205,7 @@ _SPANS = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "start",
 
 
 def _blocks(benchmark: DataFrame, item: str, window: int) -> Iterator[Phrases]:
-    """Phrases of at most BLOCK bytes of items at a time; the driver holds one block."""
+    """Phrases of at most BLOCK bytes of items at a time; the driver holds one block, or the next too."""
     rows, size = [], 0
     for name, text in benchmark.select(F.col(item).cast("string"), "text").where("text IS NOT NULL").toLocalIterator():
         if rows and size + len(text) > BLOCK:
@@ -219,20 +221,28 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
 
     A null or empty text has no words; an item without words is no window, and a null
     name counts as the empty string. Rows are as many as the documents', with their keys
-    as they are; where the benchmark is more than one block, rows of equal key are one.
+    as they are. Where the benchmark is more than one block, rows are numbered in a table
+    first, and what the blocks find meets by that number.
     """
     bounded_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("doc_id"), "text")
-    schema = f"_key {kind}, n_words long, items array<string>, spans array<{_SPAN}>"
-    found = [source.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block)), schema) for block in _blocks(benchmark, item, window)]
-    if len(found) == 1:
-        return found[0].withColumnRenamed("_key", key)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionAll(x)
-    out = out.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return out.withColumn("spans", F.expr(_MERGED)).withColumnRenamed("_key", key)
+
+    def scanned(rows: DataFrame, block: Phrases) -> DataFrame:
+        schema = f"_key {rows.schema['doc_id'].dataType.simpleString()}, n_words long, items array<string>, spans array<{_SPAN}>"
+        return rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block)), schema)
+
+    blocks = _blocks(benchmark, item, window)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return scanned(source, first).withColumnRenamed("_key", key)
+    source = written(source.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("key")).alias("doc_id"), "text"))
+    out = scanned(source, first).select("_key.row", "_key.key", "n_words", "items", "spans")
+    numbered = source.select(F.col("doc_id.row").alias("doc_id"), "text")
+    for block in chain([second], blocks):
+        more = scanned(numbered, block).where(F.size("spans") > 0)
+        out = out.unionAll(more.select(F.col("_key").alias("row"), F.lit(None).cast(out.schema["key"].dataType).alias("key"), "n_words", "items", "spans"))
+    out = out.groupBy("row").agg(F.first("key", ignorenulls=True).alias("key"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return out.select(F.col("key").alias(key), "n_words", "items", F.expr(_MERGED).alias("spans"))
 
 
 #: Spans of several blocks that overlap or touch, as one.

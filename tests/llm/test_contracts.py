@@ -1,5 +1,7 @@
 """The operators' queries against plain versions, on a small corpus of odd texts and on the smallest tables."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from brute import base_scores, components, fingerprint, leaks, line_dedup, quality, removed
@@ -130,6 +132,17 @@ def test_decontamination_in_blocks(spark, docs, texts, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == leaks(texts, rows)
 
 
+def test_decontamination_in_blocks_of_null_and_repeated_ids(spark, texts, monkeypatch):
+    items = [(f"i{k}", t[:200]) for k, (_, t) in enumerate(texts) if t and k % 3 == 0]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else i, t) for k, (i, t) in enumerate(texts)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    whole = Counter((r.doc_id, r.text) for r in decontam.without_passages(docs, benchmark).collect())
+    monkeypatch.setattr(decontam, "BLOCK", 900)
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.op10_decontamination(docs, benchmark).collect())
+    assert got == Counter((i, *leaks([(0, t)], items)[0]) for i, t in rows)
+    assert Counter((r.doc_id, r.text) for r in decontam.without_passages(docs, benchmark).collect()) == whole
+
+
 def test_passages_are_cut(spark, docs, texts):
     text = next(t for _, t in texts if t and len(t.split()) > 40)
     benchmark = spark.createDataFrame([("a", " ".join(text.split()[:14]))], "item_id string, text string")
