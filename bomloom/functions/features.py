@@ -28,8 +28,8 @@ CATALOGUE: list[tuple[str, str]] = [
 NAMES = [n for _, names in CATALOGUE for n in names.split()]
 CATEGORIES = [c for c, names in CATALOGUE for _ in names.split()]
 DOMAIN = ["receipt_ratio", "reversal_ratio", "weekend_ratio", "weekday_concentration", "trend_strength", "growth"]
-#: Series longer than this enter the entropies (which compare all pairs of places) as their means over so many stretches.
-_PAIRS = 1024
+#: Pairs of places that the entropies, which compare all pairs, hold at once.
+_PAIRS = 1 << 20
 
 
 def _moments(x: np.ndarray) -> tuple[float, float]:
@@ -53,17 +53,22 @@ def _matches(x: np.ndarray, m: int, r: float, lag: int = 1) -> np.ndarray:
     n = len(x) - (m - 1) * lag
     if n < 1:
         return np.zeros(0)
-    far = np.zeros((n, n))
-    for j in range(m):
-        y = x[j * lag : j * lag + n]
-        far = np.maximum(far, np.abs(y[:, None] - y))
-    return (far <= r).sum(1).astype(float)
+    order = np.argsort(x[:n], kind="stable")
+    y = np.stack([x[j * lag : j * lag + n][order] for j in range(m)])
+    reach, step = r + 1e-9 * (r + np.abs(x).max()), max(1, _PAIRS // n)  # a little further, against rounding
+    out = np.zeros(n)
+    for i in range(0, n, step):
+        own = y[:, i : i + step]
+        a, b = np.searchsorted(y[0], own[0, 0] - reach), np.searchsorted(y[0], own[0, -1] + reach, "right")
+        near = np.ones((own.shape[1], b - a), bool)
+        for p, q in zip(own, y[:, a:b], strict=True):
+            near &= np.abs(p[:, None] - q) <= r
+        out[order[i : i + step]] = near.sum(1)
+    return out
 
 
 def _entropies(x: np.ndarray, lag: int = 1) -> tuple[float, float]:
     """(approximate, sample) entropy with templates of 2 and a tolerance of a fifth of the deviation."""
-    if len(x) > _PAIRS:
-        x = np.array([p.mean() for p in np.array_split(x, _PAIRS)])
     r = 0.2 * x.std()
     two, three = _matches(x, 2, r, lag), _matches(x, 3, r, lag)
     if r <= 1e-12 or not len(three):

@@ -103,6 +103,18 @@ def test_features():
         assert np.isfinite(features.features(odd)).all()
 
 
+def test_entropies_of_long_series():
+    x = np.random.default_rng(6).integers(1, 51, 1500).astype(float)
+    f, r = dict(zip(features.NAMES, features.features(x), strict=True)), 0.2 * x.std()
+    for lag, name in ((1, ""), (2, "__lag_2")):
+        near = [np.abs(y[:, None] - y) <= r for y in (x[j * lag :] for j in range(3))]
+        n, m = len(x) - lag, len(x) - 2 * lag
+        two = (near[0][:n, :n] & near[1][:n, :n]).sum(1)
+        three = (near[0][:m, :m] & near[1][:m, :m] & near[2]).sum(1)
+        assert math.isclose(f["approximate_entropy" + name], np.log(two / n).mean() - np.log(three / m).mean())
+        assert math.isclose(f["sample_entropy" + name], -math.log((three - 1).sum() / (two[:m] - 1).sum()))
+
+
 def test_transactional_embedding(spark):
     rows = [(m, f"2024-01-{d:02d}", float((d * k) % 7 + 1)) for m, k in (("A", 2), ("B", 3), ("C", 5)) for d in range(1, 29)]
     moved = spark.createDataFrame(rows, "material_id string, movement_date string, quantity double")
