@@ -96,6 +96,20 @@ def cold_start_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.cold_start_analogs(spark, "S1", 10, 12, 0.0, suppliers(spark, sf_dir), movements(spark, sf_dir))
 
 
+#: The suppliers whose number is divisible by 100, as the query set of searches.
+_HUNDREDTH = "^S(0|[0-9]*00)$"
+
+
+def _queried(bom: DataFrame) -> DataFrame:
+    return bom.select("parent_id").where(F.col("parent_id").rlike(_HUNDREDTH)).distinct()
+
+
+@query(with_sql(_pairs("suppliers", f"regexp_matches(a.parent_id, '{_HUNDREDTH}') AND b.parent_id <> a.parent_id") + f", {_HISTORY} SELECT a AS query_id, b AS material_id, similarity, shared AS shared_components, total AS total_components, history_months, first_usage, last_usage FROM j JOIN h ON h.material_id = b WHERE history_months >= 12 QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 10", "suppliers", "movements"))
+def cold_start_analogs_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bom = suppliers(spark, sf_dir)
+    return search.cold_start_analogs(spark, _queried(bom), 10, 12, 0.0, bom, movements(spark, sf_dir))
+
+
 _PREDECESSORS = """, c AS (SELECT a, b, similarity FROM j WHERE similarity >= 0.0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 100),
 st AS (SELECT material_id AS a, min(movement_date) AS s FROM movements WHERE material_id IN ('S1','S2','S3') GROUP BY 1),
 ow AS (SELECT material_id AS a, date_trunc('week', movement_date)::DATE - 56 AS w, sum(quantity) AS q FROM movements WHERE material_id IN ('S1','S2','S3') GROUP BY ALL),
@@ -111,6 +125,12 @@ def infer_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.infer_predecessors(spark, ["S1", "S2", "S3"], min_similarity=0.0, min_confidence=0.0, bom_table=suppliers(spark, sf_dir), movements_table=movements(spark, sf_dir))
 
 
+@query(with_sql(_pairs("suppliers", f"regexp_matches(a.parent_id, '{_HUNDREDTH}') AND b.parent_id <> a.parent_id") + _PREDECESSORS.replace("material_id IN ('S1','S2','S3')", f"regexp_matches(material_id, '{_HUNDREDTH}')"), "suppliers", "movements"))
+def infer_predecessors_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bom = suppliers(spark, sf_dir)
+    return moves.infer_predecessors(spark, _queried(bom), min_similarity=0.0, min_confidence=0.0, bom_table=bom, movements_table=movements(spark, sf_dir))
+
+
 _LEVELS = """f AS (SELECT parent_id AS root, parent_id AS p, child_id AS c, 1 AS depth FROM {t} UNION SELECT f.root, e.parent_id, e.child_id, depth + 1 FROM f JOIN {t} e ON f.c = e.parent_id WHERE depth < {n}), fp AS (SELECT root AS material_id, c AS component, count(DISTINCT depth) AS occurrence FROM f GROUP BY ALL)"""
 
 
@@ -135,6 +155,12 @@ def find_similar_wl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.find_similar_materials_wl_kernel(spark, "N1", 10, 3, 0.0, dag(spark, sf_dir))
 
 
+@query(with_sql(_LEVELS.format(t="dag", n=3) + _WL.format(on=f"regexp_matches(a.material_id, '{_HUNDREDTH}') AND b.material_id <> a.material_id") + " SELECT a AS query_id, b AS material_id, (common / (x.n + y.n - common))::DOUBLE AS similarity FROM p JOIN t x ON x.material_id = a JOIN t y ON y.material_id = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 10", "dag", recursive=True))
+def find_similar_wl_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bom = dag(spark, sf_dir)
+    return graph.find_similar_materials_wl_kernel(spark, _queried(bom), 10, 3, 0.0, bom)
+
+
 def _universal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bom = dag(spark, sf_dir)
     header = bom.select(F.concat(F.lit("B"), "parent_id").alias("bom_id"), F.col("parent_id").alias("parent_material_id"), F.lit("TEST").alias("source_system")).distinct()
@@ -233,6 +259,14 @@ def minhash_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.estimated_jaccard(embeddings.compute_jaccard_embeddings(spark, suppliers(spark, sf_dir)), pairs)
 
 
+@query(with_sql(_MINHASH + f" SELECT a.material_id AS material_a, b.material_id AS material_b, sum((a.minhash_value = b.minhash_value)::INT) / 128.0::DOUBLE AS similarity FROM m a JOIN m b USING (seed) WHERE regexp_matches(a.material_id, '{_HUNDREDTH}') AND b.material_id <> a.material_id GROUP BY ALL", "suppliers"))
+def minhash_estimate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bom = suppliers(spark, sf_dir)
+    others = bom.select(F.col("parent_id").alias("material_b")).distinct()
+    pairs = _queried(bom).withColumnRenamed("parent_id", "material_a").join(others, F.col("material_a") != F.col("material_b"))
+    return embeddings.estimated_jaccard(embeddings.compute_jaccard_embeddings(spark, bom), pairs)
+
+
 _FLOATS = "round(list_sum(list_transform({v}, lambda x: x::DOUBLE)), 6)"
 
 
@@ -281,6 +315,11 @@ def domain_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("feature_index IN (92, 94)").select("feature_name", "feature_index", F.round("mean_value", 6).alias("mean_value"), F.round("std_value", 6).alias("std_value"), "num_samples")
 
 
+@query()
+def domain_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.compute_domain_specific_statistics(spark, movements(spark, sf_dir))
+
+
 @query()
 def transactional_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = movements(spark, sf_dir)
