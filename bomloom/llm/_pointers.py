@@ -94,9 +94,11 @@ def of_rows(p: np.ndarray, at: np.ndarray, order: np.ndarray, base: np.ndarray,
 def located(docs: DataFrame, key: str, keep: bool = False) -> DataFrame:
     """_row, ord (the id; nulls last), base (where this text begins among those of the id) and text.
 
-    _row is the key; with keep, a struct of all columns but the text, in their order, and
+    The key must be an integer. _row is the key; with keep, a struct of all columns but the text, in their order, and
     whether the text is null.
     """
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a column of integers")
     row = F.col(key)
     if keep:
         row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"), F.col("text").isNull().alias("_null"))

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Files that a task writes at once for a table with keys, instead of sorting its rows by them.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,7 +28,8 @@ def written(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(*keys) if keys else out).parquet(path)
+    with _set(spark, _WRITERS, "8"):
+        (out.partitionBy(*keys) if keys else out).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.bomloom_path = path
     return table
@@ -42,11 +45,15 @@ def dropped(*tables: DataFrame, part: str = "") -> None:
 
 
 @contextlib.contextmanager
-def shuffle_files_end_with_each_job(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of a finished job go at once, not when the driver next collects garbage."""
-    old = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if old is None else spark.conf.set(_CLEANUP, old)
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def shuffle_files_end_with_each_job(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within, the shuffle files of a finished job go at once, not when the driver next collects garbage."""
+    return _set(spark, _CLEANUP, "true")

@@ -3,15 +3,20 @@
 Of the suffixes of a text only those are indexed whose first bytes hash lowest within
 some window of LENGTH bytes: every window then has exactly one indexed suffix (its
 anchor), in the same place wherever the window occurs. A run is what the windows of one
-anchor cover. A level of the index is a suffix array over such anchors: for each bucket
-of the key range, keys in order with the hash of their run and the first document that
-has it.
+anchor cover. A level of the index is a suffix array over such anchors: in each bucket,
+the suffixes in order of their first ANCHOR bytes, each with the hash of its run and the
+first document that has it.
 
 Batches of documents, in order of id and each as large as all before it, get a suffix
-array, are merge-scanned against the levels, and merge with a level of equal size into
-one of twice the size. A run that equals an earlier document's is settled there. Where
-anchors agree but runs differ (ends of matches), the windows themselves are compared
-later, once for all batches.
+array, are merge-scanned against the levels, and merge with levels of equal size into
+one of twice the size. A run that equals an earlier document's (its anchor byte for byte,
+the rest by a 64-bit hash) is settled there. Where anchors agree but runs differ (ends of
+matches), the scan marks the suffixes. Then the bytes on both sides of the marked ones
+are put in suffix order, and the longest common prefixes of neighbours, to the right and
+to the left, tell exactly which windows an earlier document has.
+
+All that moves between tasks is one plain record for each anchor, marked anchor or found
+span, so rows grow in proportion to the text.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import Hasher, bounded_batches, chunks, mix
-from ._pointers import GROUP_BYTES, POINTER, batch_of, by_doc, dealt, doc_group, first_of, groups_of, located, of_rows, packed, texts, unpacked
+from ._pointers import GROUP_BYTES, dealt, doc_group, first_of, located, of_rows, packed, texts, unpacked
 from ._tables import dropped, shuffle_files_end_with_each_job, written
 
 LENGTH, ANCHOR = 50, 16
@@ -35,24 +41,33 @@ _CHUNK = 256 << 10
 _HALF = (LENGTH - ANCHOR) // 2
 #: Anchors of several chunks that a task sorts into one array.
 _ROWS_AT_ONCE = 150_000
-#: Anchors that a task holds when it scans a bucket are those of so many groups' texts.
-_BUCKETS_A_GROUP = 4
-#: Different runs of one key that a chunk sends to the key's bucket. Further ones have their windows compared at once, and a
-#: mark (a row of no windows) for the key goes to the bucket and stays in the levels: all other runs of it are compared too.
+#: Different runs of one anchor that a task's array sends to the anchor's bucket. Further ones are marked at once, and a
+#: record of no windows for the anchor goes to the bucket and stays in the levels: all other runs of it are marked too.
 _RUNS_A_KEY = 64
-_ROW = np.dtype([("k", "<u8"), ("h", "<u8"), ("ord", "<i8"), ("s", "<i4"), ("n", "<u1"), ("left", "<u1"), ("right", "<u1"), ("sent", "<u1")])
-_WINDOW = np.dtype([("w", "<u8"), ("ord", "<i8"), ("s", "<i4")])
+#: Marked anchors that a task compares at once, about, and those that it looks up in texts at once.
+_MARKED_A_BUCKET, _LOOKED_UP = 60_000, 20_000
+#: A suffix: its first ANCHOR bytes as two big-endian numbers, the hash of its run, document, first window, number of
+#: windows, place of the anchor in the run, tags of what stands on its sides, and whether it is marked (1) or of a level that stays (2).
+_ROW = np.dtype([("k", "<u8"), ("l", "<u8"), ("h", "<u8"), ("ord", "<i8"), ("s", "<i8"), ("n", "<u1"), ("at", "<u1"), ("left", "<u1"), ("right", "<u1"), ("sent", "<u1")])
+_SPANS = np.dtype([("ord", "<i8"), ("s", "<i8"), ("n", "<i8")])
+_SENT = "kind int, bucket long, k long, l long, h long, ord long, s long, n long"
+#: Kinds of records: a suffix for its bucket, a marked one, a settled span, a bucket of a level.
+_SUFFIX, _MARK, _FULL, _LEVEL = range(4)
+_FOUND = "kind int, bucket long, ord long, s long, n long, data binary"
+_CONTEXT = "bucket long, ord long, s long, n long, data binary"
+#: Bytes to the left and to the right (from the anchor on) that the windows of either half need.
+_LEFT, _RIGHT = (_HALF, LENGTH), (LENGTH - ANCHOR, LENGTH - _HALF - 1)
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, hash of the run, first window, number of windows, left and right tag) of each anchor of texts that begin at at.
+    """(place, hash of the run, first window, number of windows, left and right tag) of each anchor of texts that begin at at.
 
     A tag is eight bits of a hash of the anchor and _HALF bytes on one side, 0 at a text's
     end: windows of two anchors can only be equal if the tags of one side are.
     """
     n = len(data) - LENGTH + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4))
+        return np.empty(0, np.int64), np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4))
     hasher = Hasher(data)
     key = mix(hasher.every(ANCHOR))
     low = (key & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(key), dtype=np.uint64)
@@ -81,21 +96,49 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         there = (a >= at[doc]) & (b <= at[doc + 1])
         a, b = np.where(there, a, first), np.where(there, b, first)
         tags.append(np.where(there, 1 + hasher(a, b) % np.uint64(255), 0).astype(np.uint8))
-    return key[where], mix(hasher(first, stop + LENGTH) + (where - first).astype(np.uint64)), first, stop - first + 1, *tags
+    return where, mix(hasher(first, stop + LENGTH) + (where - first).astype(np.uint64)), first, stop - first + 1, *tags
 
 
-def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of (k, h, ord), and which of them have an equal run in an earlier document."""
-    rows = rows[np.lexsort((rows["ord"], rows["h"], rows["k"]))]
-    new = first_of(rows["k"]) | first_of(rows["h"])
-    least = rows["ord"][new][np.cumsum(new) - 1]
-    return rows, rows["ord"] > least
+def suffix_rows(data: np.ndarray, at: np.ndarray, order: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The sampled suffixes of texts as rows, in order of place."""
+    where, h, first, n, left, right = anchors(data, at)
+    doc = np.searchsorted(at, first, "right") - 1
+    rows = np.zeros(len(where), _ROW)
+    head = data[where[:, None] + np.arange(ANCHOR)].view(">u8")
+    rows["k"], rows["l"], rows["h"] = head[:, 0], head[:, 1], h
+    rows["ord"], rows["s"], rows["n"], rows["at"] = order[doc], first - at[doc] + base[doc], n, where - first
+    rows["left"], rows["right"] = left, right
+    return rows
+
+
+def merged(*arrays: np.ndarray) -> np.ndarray:
+    """Suffix arrays as one: rows in order of (k, l, h, ord). Runs that are in order already are merged, not sorted again."""
+    rows = np.concatenate(arrays)
+    order = np.argsort(rows["k"], kind="stable")
+    k = rows["k"][order]
+    tied = np.zeros(len(k) + 1, bool)
+    tied[1:-1] = k[1:] == k[:-1]
+    tied = np.flatnonzero(tied[1:] | tied[:-1])
+    if len(tied):
+        part = order[tied]
+        order[tied] = part[np.lexsort([rows[f][part] for f in ("ord", "h", "l", "k")])]
+    return rows[order]
+
+
+def _new_key(rows: np.ndarray) -> np.ndarray:
+    return first_of(rows["k"]) | first_of(rows["l"])
+
+
+def _late(rows: np.ndarray) -> np.ndarray:
+    """Which rows of a merged array have an equal run in an earlier document."""
+    new = _new_key(rows) | first_of(rows["h"])
+    return rows["ord"] > rows["ord"][new][np.cumsum(new) - 1]
 
 
 def _alike(rows: np.ndarray, new_run: np.ndarray) -> np.ndarray:
-    """Which rows share their key and a side's tag with a run of another document; rows in order of (k, h)."""
+    """Which rows of a merged array share their anchor and a side's tag with a run of another document."""
     out = np.zeros(len(rows), bool)
-    group = np.cumsum(first_of(rows["k"])) - 1
+    group = np.cumsum(_new_key(rows)) - 1
     few = np.flatnonzero(np.bincount(group, new_run)[group] > 1) if len(rows) else np.empty(0, np.int64)
     for side in ("left", "right"):
         part = few[rows[side][few] > 0]
@@ -109,142 +152,220 @@ def _alike(rows: np.ndarray, new_run: np.ndarray) -> np.ndarray:
     return out
 
 
-def _array(rows: np.ndarray, buckets: int, groups: int) -> list[tuple[str, int, bytes]]:
-    rows, late = _settle(rows)
-    settled, rows = _pointers(rows[late]), rows[~late]
-    new_key = first_of(rows["k"])
+def _spans(rows: np.ndarray) -> np.ndarray:
+    """(ord, s, n) of rows; windows that follow each other in a document are one span."""
+    rows = rows[np.lexsort((rows["s"], rows["ord"]))]
+    n = rows["n"].astype(np.int64)
+    new = first_of(rows["ord"])
+    new[1:] |= rows["s"][1:] != rows["s"][:-1] + n[:-1]
+    out = np.empty(int(new.sum()), _SPANS)
+    if len(out):
+        out["ord"], out["s"], out["n"] = rows["ord"][new], rows["s"][new], np.add.reduceat(n, np.flatnonzero(new))
+    return out
+
+
+def _meta(rows: np.ndarray) -> np.ndarray:
+    return sum(rows[f].astype(np.int64) << 8 * i for i, f in enumerate(("n", "at", "left", "right")))
+
+
+def _records(parts: list[tuple[int, np.ndarray, dict[str, np.ndarray]]], names: tuple[str, ...]) -> pa.RecordBatch:
+    """Records of several kinds as one batch; fields that a kind lacks are 0."""
+    columns = [pa.array(np.repeat(np.array([k for k, _, _ in parts], np.int32), [len(r) for _, r, _ in parts]))]
+    for name in names:
+        values = [more[name] if name in more else rows[name] if name in rows.dtype.names else np.zeros(len(rows), np.int64) for _, rows, more in parts]
+        columns.append(pa.array(np.concatenate([np.ascontiguousarray(v).view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64) for v in values])))
+    return pa.RecordBatch.from_arrays(columns, names=["kind", *names])
+
+
+def _array(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One suffix array's records for the buckets, the spans that it settles by itself, and the runs that it marks at once."""
+    rows = merged(rows)
+    late = _late(rows)
+    settled, rows = _spans(rows[late]), rows[~late]
+    new_key = _new_key(rows)
     run = np.cumsum(new_key | first_of(rows["h"]))
     many = run - run[new_key][np.cumsum(new_key) - 1] >= _RUNS_A_KEY
-    marks = np.zeros(len(keys := np.unique(rows["k"][many])), _ROW)
-    marks["k"] = keys
-    unsure, rows = _pointers(rows[many]), np.concatenate([rows[~many], marks])
-    out = [("row", b, packed(rows[r])) for b, r in groups_of(dealt(rows["k"], buckets))] if len(rows) else []
-    out += [("unsure", g, packed(unsure[r])) for g, r in by_doc(unsure, groups)]
-    return out + [("full", g, packed(settled[r])) for g, r in by_doc(settled, groups)]
+    overfull = rows[many]
+    marks = overfull[_new_key(overfull)]
+    for f in set(_ROW.names) - {"k", "l"}:
+        marks[f] = 0
+    rows = np.concatenate([rows[~many], marks])
+    bucket = dealt(mix(rows["k"] + mix(rows["l"])), buckets)
+    passing = [dealt(mix(x["ord"].astype(np.uint64)), buckets) for x in (overfull, settled)]
+    parts = [(_SUFFIX, rows, {"bucket": bucket, "n": _meta(rows)}), (_MARK, overfull, {"bucket": passing[0], "n": _meta(overfull)}), (_FULL, settled, {"bucket": passing[1]})]
+    return _records(parts, ("bucket", "k", "l", "h", "ord", "s", "n"))
 
 
-def _arrays(buckets: int, groups: int):
-    """Suffix arrays of chunks, dealt by key; what is settled within a chunk goes to its document."""
+def _arrays(buckets: int):
+    """Suffix arrays of chunks of a task's documents."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
             order, base, i = batch.column("ord").to_numpy(), batch.column("base").to_numpy(), 0
             for c in chunks(iter([batch]), key="ord", limit=_CHUNK):
-                k, h, first, n, left, right = anchors(c.data, c.at)
-                doc = np.searchsorted(c.at, first, "right") - 1
-                rows = np.zeros(len(k), _ROW)
-                rows["k"], rows["h"], rows["ord"], rows["s"], rows["n"] = k, h, order[i + doc], first - c.at[doc] + base[i + doc], n
-                rows["left"], rows["right"] = left, right
-                i += len(c.ids)
-                held.append(rows)
+                j = i + len(c.ids)
+                held.append(suffix_rows(c.data, c.at, order[i:j], base[i:j]))
+                i = j
                 if sum(map(len, held)) >= _ROWS_AT_ONCE:
-                    yield batch_of(_array(np.concatenate(held), buckets, groups))
+                    yield _array(np.concatenate(held), buckets)
                     held = []
         if held:
-            yield batch_of(_array(np.concatenate(held), buckets, groups))
+            yield _array(np.concatenate(held), buckets)
 
     return build
 
 
-def _pointers(rows: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows), POINTER)
-    for f in POINTER.names:
-        out[f] = rows[f]
-    return out
-
-
-def _scan(groups: int, keep: bool):
-    """Merge-scan of one bucket of a batch's array and of the levels; keep: also the merged array of all but levels that stay."""
-
-    def scan(key: tuple, table: pa.Table) -> pa.Table:
-        kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
-        rows, stay = (unpacked([x for k, x in zip(kinds, data, strict=True) if k == kind], _ROW) for kind in ("row", "stay"))
-        stay["sent"] |= 2
-        passed = [(k, key[0].as_py(), x) for k, x in zip(kinds, data, strict=True) if k in ("full", "unsure")]
-        del data, table
-        rows = np.concatenate([rows, stay])
-        marks, rows = rows[rows["n"] == 0], rows[rows["n"] > 0]
-        rows, late = _settle(rows)
-        settled = _pointers(rows[late])
-        out = passed + [("full", g, packed(settled[r])) for g, r in by_doc(settled, groups)]
-        rows = rows[~late]
-        new_run = first_of(rows["k"]) | first_of(rows["h"])
-        unsure = _alike(rows, new_run) | np.isin(rows["k"], marks["k"])
-        found = _pointers(rows[unsure & (rows["sent"] & 1 == 0)])
-        out += [("unsure", g, packed(found[r])) for g, r in by_doc(found, groups)]
-        if keep:
-            rows["sent"][unsure] |= 1
-            marks = marks[marks["sent"] < 2]
-            marks = marks[np.unique(marks["k"], return_index=True)[1]]
-            out.append(("level", key[0].as_py(), packed(np.concatenate([rows[new_run & (rows["sent"] < 2)], marks]))))
-        return pa.Table.from_batches([batch_of(out)])
-
-    return scan
-
-
-def _spread(groups: int, buckets: int):
-    """The windows that pointers of kind unsure name, dealt by their hash; what a group settles itself goes to its document."""
-
-    def spread(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        for data, at, order, base in texts(docs):
-            p, row = of_rows(unpacked(found.column("data").to_pylist(), POINTER), at, order, base, LENGTH - 1)
-            by = np.argsort(row, kind="stable")
-            p, row, i = p[by], row[by], 0
-            while i < len(at) - 1:
-                j = max(i + 1, int(np.searchsorted(at, at[i] + _CHUNK, "right")) - 1)
-                own = slice(*np.searchsorted(row, [i, j]))
-                if own.start < own.stop:
-                    w = _windows(p[own], row[own], data[at[i] : at[j]], at - at[i], order, base)
-                    w, late = _window_order(w)
-                    settled = _window_pointers(w[late])
-                    out += [("full", g, packed(settled[r])) for g, r in by_doc(settled, groups)]
-                    w = w[~late]
-                    out += [("window", b, packed(w[r])) for b, r in groups_of(dealt(w["w"], buckets))]
-                i = j
-        return pa.Table.from_batches([batch_of(out)])
-
-    return spread
-
-
-def _windows(p: np.ndarray, row: np.ndarray, data: np.ndarray, at: np.ndarray, order: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """The windows that pointers into rows name."""
-    n = p["n"].astype(np.int64)
-    s = np.repeat(p["s"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    row = np.repeat(row, n)
-    w = np.empty(len(s), _WINDOW)
-    start = at[row] + s - base[row]
-    w["w"], w["ord"], w["s"] = Hasher(data)(start, start + LENGTH), order[row], s
-    return w
+def _rows_of(table: pa.Table) -> np.ndarray:
+    rows = np.zeros(table.num_rows, _ROW)
+    for f in ("k", "l", "h", "ord", "s"):
+        rows[f] = table.column(f).to_numpy().view(_ROW[f])
+    meta = table.column("n").to_numpy()
+    for i, f in enumerate(("n", "at", "left", "right")):
+        rows[f] = meta >> 8 * i & 255
+    return rows
 
 
-def _window_order(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w = w[np.lexsort((w["ord"], w["w"]))]
-    new = first_of(w["w"])
-    return w, w["ord"] > w["ord"][new][np.cumsum(new) - 1]
+def scan(rows: np.ndarray, merging: np.ndarray, staying: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spans that are settled, rows to mark, merged array of the new rows and of the levels that merge) of one bucket.
 
+    A row of no windows stands for runs of its anchor that are marked already.
+    """
+    staying["sent"] |= 2
+    rows = merged(staying, merging, rows)
+    marks, rows = rows[rows["n"] == 0], rows[rows["n"] > 0]
+    late = _late(rows)
+    settled, rows = _spans(rows[late]), rows[~late]
+    new_run = _new_key(rows) | first_of(rows["h"])
+    marked = _alike(rows, new_run)
+    if len(marks):
+        keys = np.unique(np.stack([marks["k"], marks["l"]], 1), axis=0)
+        both = np.concatenate([keys, np.stack([rows["k"], rows["l"]], 1)])
+        number = np.unique(both, axis=0, return_inverse=True)[1].ravel()
+        marked |= np.isin(number[len(keys) :], number[: len(keys)])
+    found = rows[marked & (rows["sent"] & 1 == 0)]
+    rows["sent"][marked] |= 1
+    marks = marks[marks["sent"] < 2]
+    marks = marks[_new_key(marks)]
+    return settled, found, merged(marks, rows[new_run & (rows["sent"] < 2)])
+
+
+def _scanned(keep: bool):
+    """scan() of one bucket's records; marked suffixes and settled spans among them pass."""
+
+    def scanned(key: tuple, new: pa.Table, levels: pa.Table) -> pa.Table:
+        kinds, data = levels.column("kind").to_pylist(), levels.column("data").to_pylist()
+        merging, staying = (unpacked([x for k, x in zip(kinds, data, strict=True) if k == kind], _ROW) for kind in ("merge", "stay"))
+        passing = new.filter(pc.not_equal(new.column("kind"), _SUFFIX))
+        settled, found, level = scan(merged(_rows_of(new.filter(pc.equal(new.column("kind"), _SUFFIX)))), merging, staying)
+        blobs = int(keep and len(level) > 0)
+        out = _records([(_FULL, settled, {}), (_MARK, found, {"n": _meta(found)}), (_LEVEL, level[:blobs], {"bucket": np.full(blobs, key[0].as_py())})], ("bucket", "ord", "s", "n"))
+        out = pa.Table.from_batches([out]).append_column("data", pa.array([None] * (len(settled) + len(found)) + [packed(level)] * blobs, pa.binary()))
+        return pa.concat_tables([out, passing.select(["kind", "bucket", "ord", "s", "n"]).append_column("data", pa.nulls(passing.num_rows, pa.binary()))])
+
+    return scanned
+
+
+def _contexts(buckets: int):
+    """For each marked anchor the bytes around it, once for the windows that go further to the right and once for the others.
+
+    Windows of the first kind hold _HALF bytes after the anchor, others as many before it:
+    records are dealt by those bytes and the anchor, so that a frequent anchor is divided.
+    """
 
-def _window_pointers(w: np.ndarray) -> np.ndarray:
-    out = np.empty(len(w), POINTER)
-    out["ord"], out["s"], out["n"] = w["ord"], w["s"], 1
+    def contexts(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        for data, at, order, base in texts(docs):
+            marked = np.empty(found.num_rows, np.dtype([*_SPANS.descr, ("at", "<i8")]))
+            meta = found.column("n").to_numpy()
+            marked["ord"], marked["s"], marked["n"], marked["at"] = found.column("ord").to_numpy(), found.column("s").to_numpy(), meta & 255, meta >> 8 & 255
+            hasher = Hasher(data)
+            for i in range(0, len(marked), _LOOKED_UP):
+                p, row = of_rows(marked[i : i + _LOOKED_UP], at, order, base, LENGTH - 1)
+                first = at[row] + p["s"] - base[row]
+                anchor, end = first + p["at"], first + p["n"] + LENGTH - 1
+                low, high = p["at"] - p["n"] + 1, p["at"]  # of bytes that windows have before the anchor
+                for side, (left, right) in enumerate((_LEFT, _RIGHT)):
+                    own = np.flatnonzero(high > _HALF if side else low <= _HALF)
+                    a = anchor[own]
+                    place = a[:, None] + np.arange(-left, right)
+                    there = (place >= first[own, None]) & (place < end[own, None])
+                    raw = np.where(there, data[np.clip(place, 0, len(data) - 1)], 0).astype(np.uint8)
+                    h = hasher(a - _HALF - 1, a + ANCHOR) if side else hasher(a, a + ANCHOR + _HALF)
+                    columns = (dealt(mix(h + np.uint64(side)), buckets), p["ord"][own], p["s"][own] + p["at"][own], side | np.maximum(low[own], _HALF + 1 if side else 0) << 1 | np.minimum(high[own], LENGTH if side else _HALF) << 9)
+                    at_bytes = pa.py_buffer(np.arange(0, raw.size + 1, left + right, dtype=np.int32))
+                    out.append(pa.table([*(pa.array(c.astype(np.int64)) for c in columns), pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, at_bytes, pa.py_buffer(raw.tobytes())])], names=["bucket", "ord", "s", "n", "data"]))
+        empty = pa.table({**{k: pa.array([], pa.int64()) for k in ("bucket", "ord", "s", "n")}, "data": pa.array([], pa.binary())})
+        return pa.concat_tables([empty, *out])
+
+    return contexts
+
+
+def prefixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of rows of bytes, length of the common prefix of each with the one before it in that order)."""
+    if not rows.size:
+        return np.arange(len(rows)), np.zeros(len(rows), np.int64)
+    rows = np.ascontiguousarray(rows)
+    order = np.argsort(rows.view(f"S{rows.shape[1]}")[:, 0], kind="stable")
+    apart = np.ones((len(rows), rows.shape[1] + 1), bool)
+    apart[1:, :-1] = rows[order[1:]] != rows[order[:-1]]
+    common = apart.argmax(1)
+    common[0] = 0
+    return order, common
+
+
+def repeated_windows(left: np.ndarray, right: np.ndarray, ord_: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of anchors with the bytes before them (nearest first) and from them on: which windows an earlier document has.
+
+    Row i is about anchor i; column j about its window with j bytes before the anchor,
+    where low[i] <= j <= high[i]. Windows are equal if their right parts share a class of
+    the suffix order and their left parts one of the order of the reversed bytes.
+    """
+    out = np.zeros((len(ord_), LENGTH - ANCHOR + 1), bool)
+    (order_r, common_r), (order_l, common_l) = prefixes(right), prefixes(left)
+    for j in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
+        rows = np.flatnonzero((low <= j) & (j <= high))
+        if len(rows) < 2:
+            continue
+        number = np.zeros(len(ord_), np.int64)
+        number[order_r] = np.cumsum(common_r < LENGTH - j) * len(ord_)
+        side = np.empty(len(ord_), np.int64)
+        side[order_l] = np.cumsum(common_l < j) if j else 0
+        number = (number + side)[rows]
+        by = np.lexsort((ord_[rows], number))
+        new = first_of(number[by])
+        ids = ord_[rows][by]
+        out[rows[by[ids > ids[new][np.cumsum(new) - 1]]], j] = True
     return out
 
 
-def _compare(groups: int):
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
-        w, late = _window_order(unpacked([d for k, d in zip(kinds, data, strict=True) if k == "window"], _WINDOW))
-        settled = _window_pointers(w[late])
-        out = [("full", key[0].as_py(), d) for k, d in zip(kinds, data, strict=True) if k == "full"]
-        return pa.Table.from_batches([batch_of(out + [("full", g, packed(settled[r])) for g, r in by_doc(settled, groups)])])
-
-    return compare
-
-
-def _cut(docs: pa.Table, data: np.ndarray, at: np.ndarray, order: np.ndarray, base: np.ndarray, found: pa.Table) -> np.ndarray:
+def _compared(key: tuple, table: pa.Table) -> pa.Table:
+    """The spans of windows of one bucket that an earlier document has."""
+    found = []
+    meta, ord_, s = (table.column(c).to_numpy() for c in ("n", "ord", "s"))
+    raw = table.column("data").combine_chunks()
+    raw = raw if isinstance(raw, pa.Array) else pa.concat_arrays(raw.chunks)
+    for side, (left, right) in enumerate((_LEFT, _RIGHT)):
+        own = np.flatnonzero(meta & 1 == side)
+        if not len(own):
+            continue
+        values = raw.take(pa.array(own))
+        data = np.frombuffer(values.buffers()[2], np.uint8)[: len(own) * (left + right)].reshape(-1, left + right)
+        again = repeated_windows(data[:, :left][:, ::-1], data[:, left:], ord_[own], meta[own] >> 1 & 255, meta[own] >> 9)
+        i, j = np.nonzero(again)
+        windows = np.empty(len(i), _SPANS)
+        windows["ord"], windows["s"], windows["n"] = ord_[own][i], s[own][i] - j, 1
+        found.append(_spans(windows))
+    found = np.concatenate(found) if found else np.empty(0, _SPANS)
+    return pa.table({k: pa.array(found[k]) for k in _SPANS.names})
+
+
+def _cut(data: np.ndarray, at: np.ndarray, order: np.ndarray, base: np.ndarray, found: pa.Table) -> np.ndarray:
     """Which bytes are removed."""
-    p, row = of_rows(unpacked(found.column("data").to_pylist(), POINTER), at, order, base, LENGTH - 1)
+    spans = np.empty(found.num_rows, _SPANS)
+    for f in _SPANS.names:
+        spans[f] = found.column(f).to_numpy()
+    p, row = of_rows(spans, at, order, base, LENGTH - 1)
     depth = np.zeros(len(data) + 1, np.int32)
     start = at[row] + p["s"] - base[row]
     np.add.at(depth, start, 1)
@@ -256,7 +377,7 @@ def _reported(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
     names = ["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for data, at, order, base in texts(docs):
-        gone = _cut(docs, data, at, order, base, found)
+        gone = _cut(data, at, order, base, found)
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         cut = at[1:-1][at[1:-1] < len(gone)]
@@ -278,25 +399,27 @@ def _reported(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
 
 
 class SuffixLevels:
-    """The index family: levels of (rank, table); two of one rank merge into one of the next."""
+    """The index family: levels of (rank, table); those of one rank merge into one of the next."""
 
-    def __init__(self, buckets: int, groups: int):
-        self.buckets, self.groups, self.levels, self.found = buckets, groups, [], []
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.buckets, self.levels, self.found = buckets, [], []
+        self.none = spark.createDataFrame([], "kind string, bucket long, data binary")
 
     def add(self, batch: DataFrame, rank: int, last: bool = False) -> None:
         """Scan a batch of rows (ord, base, text) of later ids against the levels, and take it in unless it is the last."""
-        rows = batch.select("ord", "base", "text").mapInArrow(_arrays(self.buckets, self.groups), "kind string, bucket long, data binary")
+        new = batch.select("ord", "base", "text").mapInArrow(_arrays(self.buckets), _SENT)
         merging = []
         while not last and self.levels and self.levels[-1][0] == rank + len(merging):
             merging.append(self.levels.pop()[1])
-        for kind, tables in (("row", merging), ("stay", [t for _, t in self.levels])):
-            for table in tables:
-                rows = rows.unionAll(table.where("kind = 'level'").select(F.lit(kind).alias("kind"), "bucket", "data"))
-        scanned = written(rows.groupBy("bucket").applyInArrow(_scan(self.groups, not last), "kind string, bucket long, data binary"), "kind")
-        self.found.append(scanned.where("kind IN ('full', 'unsure')").select("kind", "bucket", "data"))
-        dropped(*merging, part="kind=level")
+        kept = [("merge", t) for t in merging] + [("stay", t) for _, t in self.levels]
+        levels = self.none
+        for kind, table in kept:
+            levels = levels.unionAll(table.where(F.col("kind") == _LEVEL).select(F.lit(kind).alias("kind"), "bucket", "data"))
+        scanned = written(new.groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInArrow(_scanned(not last), _FOUND), "kind")
+        self.found.append(scanned.where(F.col("kind") != _LEVEL).select("kind", "ord", "s", "n"))
+        dropped(*merging, part=f"kind={_LEVEL}")
         if last:
-            dropped(*(t for _, t in self.levels), part="kind=level")
+            dropped(*(t for _, t in self.levels), part=f"kind={_LEVEL}")
         else:
             self.levels.append((rank + len(merging), scanned))
 
@@ -304,9 +427,10 @@ class SuffixLevels:
 def removed_spans(docs: DataFrame, key: str = "doc_id", batches: int = 4) -> DataFrame:
     """_key, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end bytes) of what to remove, for each row.
 
-    A byte goes if a string of LENGTH bytes over it also starts in a document of smaller
-    id. Null texts are empty; rows without an id count as last and as one document; rows
-    that repeat an id are judged against smaller ids only, each by its own text.
+    key is a column of integers. A byte goes if a string of LENGTH bytes over it also
+    starts in a document of smaller id. Null texts are empty; rows without an id count as
+    last and as one document; rows that repeat an id are judged against smaller ids only,
+    each by its own text. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -314,10 +438,9 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", batches: int = 4) -> Dat
     size, *cuts = rows.agg(F.sum(F.octet_length("text").cast("long")), *(F.percentile_approx("ord", 0.5**i, 10_000) for i in range(batches - 1, 0, -1))).first()
     size = size or 0
     groups = max(1, size // GROUP_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = _BUCKETS_A_GROUP * groups
     kind = dict(docs.dtypes)[key]
     with shuffle_files_end_with_each_job(spark):
-        index = SuffixLevels(buckets, groups)
+        index = SuffixLevels(spark, groups)
         bounds = [None, *(c for c in cuts if c is not None), None]  # an empty table is one batch
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             batch = rows if a is None else rows.where(F.col("ord") > a)
@@ -326,12 +449,14 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", batches: int = 4) -> Dat
         for x in index.found[1:]:
             found = found.unionAll(x)
         placed = rows.select("_row", "ord", "base", "text", doc_group(groups).alias("bucket"))
-        unsure = found.where("kind = 'unsure'").select("bucket", "data")
-        windows = placed.groupBy("bucket").cogroup(unsure.groupBy("bucket")).applyInArrow(_spread(groups, buckets), "kind string, bucket long, data binary")
-        compared = written(windows.groupBy("bucket").applyInArrow(_compare(groups), "kind string, bucket long, data binary"))
-    full = found.where("kind = 'full'").unionAll(compared).select("bucket", "data")
+        marked = found.where(F.col("kind") == _MARK).select("ord", "s", "n", doc_group(groups).alias("bucket"))
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * marked.count() // _MARKED_A_BUCKET)
+        contexts = placed.drop("_row").groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInArrow(_contexts(buckets), _CONTEXT)
+        compared = written(contexts.groupBy("bucket").applyInArrow(_compared, "ord long, s long, n long"))
+    full = found.where(F.col("kind") == _FULL).select("ord", "s", "n").unionAll(compared).select("ord", "s", "n", doc_group(groups).alias("bucket"))
     return placed.groupBy("bucket").cogroup(full.groupBy("bucket")).applyInArrow(_reported, f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>").withColumnRenamed("_key", key)
 
 
 def op1_suffix_array_dedup(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document, by removed_spans, which says how odd input counts."""
     return removed_spans(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from conftest import SF, SF_LARGE, SF_MORE
 
-from bomloom.llm import decontam, html, langid, lm, packing, simhash, toxicity
+from bomloom.llm import decontam, html, langid, lm, packing, simhash, suffix_index, toxicity
 from bomloom.llm._arrow import Chunk
 
 
@@ -176,3 +176,45 @@ def test_windows_cover_texts():
     data = np.arange(1, 201, dtype=np.uint8)
     x, doc = langid.windows(Chunk(pa.array([1, 2, 3]), data, np.array([0, 0, 130, 200])))
     assert doc.tolist() == [1, 1, 2] and x[x > 0].tolist() == data.tolist()
+
+
+def test_suffix_arrays_are_ordered_and_merge():
+    """Rows are in order of their bytes; merging arrays gives the array of all; a scan settles and marks as the texts say."""
+    rng = np.random.default_rng(5)
+    say = lambda n: bytes(rng.integers(97, 103, n).tolist())
+    shared = say(300)
+    texts = [say(200) + shared[: 80 + i] + say(90) for i in range(40)] + [shared, shared]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    rows = suffix_index.suffix_rows(data, at, np.arange(len(texts)), np.zeros(len(texts), np.int64))
+    whole = suffix_index.merged(rows)
+    heads = [texts[r["ord"]][r["s"] + r["at"] :][: suffix_index.ANCHOR] for r in whole]
+    assert heads == sorted(heads) and len(heads) > 300
+    parts = [suffix_index.merged(p) for p in np.array_split(rows, 3)]
+    assert (suffix_index.merged(*parts) == whole).all()
+    covered = np.zeros(len(data), int)
+    for r in rows:  # each window of a text has one anchor
+        covered[at[r["ord"]] + r["s"] : at[r["ord"]] + r["s"] + r["n"]] += 1
+    assert all((covered[a : max(a, b - 49)] == 1).all() and not covered[max(a, b - 49) : b].any() for a, b in zip(at[:-1], at[1:], strict=True))
+    first, second = (suffix_index.merged(rows[rows["ord"] < 20]), suffix_index.merged(rows[rows["ord"] >= 20]))
+    _, _, level = suffix_index.scan(first, first[:0], first[:0])
+    settled, marked, both = suffix_index.scan(second, level.copy(), first[:0])
+    assert len(settled) and len(marked)
+    keys = both[["k", "l", "h"]]
+    assert len(np.unique(keys)) == len(both) and {x.tobytes() for x in keys} == {x.tobytes() for x in whole[["k", "l", "h"]]}
+    settled_too, marked_too, none = suffix_index.scan(second, first[:0], level.copy())
+    assert (settled == settled_too).all() and len(marked_too) == len(marked) and len(none) < len(both)
+
+
+def test_windows_by_common_prefixes():
+    rng = np.random.default_rng(7)
+    left, right = rng.integers(0, 2, (60, 17)).astype(np.uint8), np.zeros((60, 50), np.uint8)
+    right[:, 40:] = rng.integers(0, 2, (60, 10))
+    left[:, 3:] = 0
+    ids, low = rng.integers(0, 30, 60), rng.integers(0, 9, 60)
+    high = low + rng.integers(0, 9, 60)
+    got = suffix_index.repeated_windows(left, right, ids, low, high)
+    for i in range(60):
+        for j in range(35):
+            same = [k for k in range(60) if low[k] <= j <= high[k] and (left[k, :j] == left[i, :j]).all() and (right[k, : 50 - j] == right[i, : 50 - j]).all()]
+            assert got[i, j] == (low[i] <= j <= high[i] and any(ids[k] < ids[i] for k in same))
