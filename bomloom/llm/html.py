@@ -2,15 +2,19 @@
 
 Markup is stripped into lines (one per block element). Lines of boilerplate (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, link lists) weigh nothing,
-others their length. The weights summed over sliding windows of lines surge where the
-article begins and dive where it ends; the text between those points is kept.
+others their length. The weights are summed over sliding windows of lines. Where that sum
+first exceeds a share of the page's own typical line it surges, where it last does it
+dives; the text between those points is kept. What a page puts into article elements is
+dense by itself, and on such a page nothing else is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,117 +24,194 @@ from pyspark.sql import functions as F
 from ._arrow import bounded_batches
 
 BLOCK_LINES = 3
-#: A second stretch of text counts if it has this share of the largest stretch's weight.
-OTHER_STRETCH = 0.3
+#: A block is dense if its weight is this share of the line length that half of the page's text reaches.
+DENSE = 0.25
+#: Tags whose quotes don't end, after which quotes in tags count for nothing on the page.
+_BAD_TAGS = 16
 
 # HTML element names by role, and names that sites give to boilerplate.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script|style|noscript|template|iframe|svg|textarea|select|title|object|canvas|math"
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_BOILERPLATE = frozenset("nav footer aside form head menu dialog button fieldset".split())
+_BOILERPLATE = frozenset("nav footer aside form head menu dialog button fieldset noscript template svg select object canvas math".split())
 _NAMED = frozenset(
-    "ad ads adv advert adverts advertisement adsense adbox sponsor sponsored sponsors promo promos promotion banner nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar side aside footer foot colophon masthead topbar "
+    "ad ads adv advert adverts advertisement adsense adbox adslot sponsor sponsored sponsors promo promos promotion banner nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar aside footer colophon masthead topbar "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations teaser teasers comment comments commentlist respond disqus reply replies reviews "
     "widget widgets toolbar pagination pager login search complementary contentinfo disclaimer".split()
 )
 _HEADERS = frozenset("header head masthead topbar banner".split())
-
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S | re.I)
-_ATTRIBUTES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[a-z]+")
+#: Parts of class names that say where something stands or what shape it has, not what it is.
+_NEUTRAL = frozenset("site page main top bottom left right upper lower box list bar block slot wrap wrapper container section area unit item items inner outer panel row col column group link links button buttons form field icon icons holder zone region primary secondary global mobile desktop js the a s".split())
+_HEADINGS = frozenset(["h1", "h2", "h3"])
+
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?+")
+_SPLIT = re.compile(r"[^a-z]+")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_SENTENCE = re.compile(r"[.!?…。][\"'”’»)\]]*\Z")
 _SELF_ENDING = {"p": frozenset(["p"]), "li": frozenset(["li"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 
 
+class Line(NamedTuple):
+    """boilerplate: within such an element; article: within an article or main element; linked: share of link text; heading: of h1 to h3."""
+
+    text: str
+    boilerplate: bool
+    article: bool
+    linked: float
+    heading: bool
+
+
+def _names_boilerplate(token: str, names: frozenset) -> bool:
+    """Whether a class, id or role is such a name: alone, or joined only with others and with neutral parts."""
+    parts = [p for p in _SPLIT.split(token) if p]
+    return any(p in names for p in parts) and all(p in names or p in _NAMED or p in _NEUTRAL for p in parts)
+
+
 def _is_boilerplate(name: str, rest: str, in_article: bool) -> bool:
     if name in _BOILERPLATE or name == "header" and not in_article:
         return True
-    if not rest or name in ("html", "body", "main"):
+    if not rest or rest.isspace() or name in ("html", "body", "main"):
         return False
-    named = {w for m in _ATTRIBUTES.finditer(rest) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-    if named & (_NAMED - _HEADERS if in_article else _NAMED):
-        return True
-    return _HIDDEN.search(re.sub(r"\b(?:class|id|aria-hidden)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", rest)) is not None
+    names = _NAMED - _HEADERS if in_article else _NAMED | _HEADERS
+    for m in _ATTRIBUTE.finditer(rest):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id", "role") and any(_names_boilerplate(t, names) for t in value.lower().split()):
+            return True
+        if key == "hidden" and value.lower() not in ("false", "until-found") or key == "style" and _INVISIBLE.search(value):
+            return True
+    return False
+
 
+def _pieces(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of each piece of markup; those without a name are comments and the like.
 
-def lines(page: str) -> list[tuple[str, bool, bool, float]]:
-    """(text, boilerplate, inside an article element, share of link text) of each line of a page."""
-    out: list[tuple[str, bool, bool, float]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    Each is found in time that its length bounds, so a page takes time in proportion to its length.
+    """
+    at, bad, no_end = 0, 0, False
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if no_end or page.find(">", start) < 0:  # no markup ends from here on
+            yield start, len(page), "", False, ""
+            return
+        if page[start + 1] in "!?":
+            at = page.find(">", start) + 1
+            yield start, at, "", False, ""
+            continue
+        tag = _TAG.match(page, start) if bad < _BAD_TAGS else None
+        if tag is None:
+            bad, tag = bad + 1, _PLAIN_TAG.match(page, start)
+        at = tag.end()
+        yield start, at, tag[2].lower(), bool(tag[1]), tag[3]
+        if not tag[1] and tag[2].lower() in _RAW:
+            end = re.compile(rf"</{re.escape(tag[2])}(?=[\s/>])", re.I).search(page, at)
+            start, at = at, end.start() if end else len(page)
+            yield start, at, "", False, ""
+
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page that have text."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
+    open_ = Counter()
     parts: list[str] = []
-    linked, last, flagged, article, links = 0, 0, 0, 0, 0
+    linked = last = flagged = article = links = headings = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append((text, flagged > 0, article > 0, linked / max(1, sum(map(len, parts)))))
+                out.append(Line(text, flagged > 0, article > 0, linked / max(1, sum(map(len, parts))), headings > 0))
             parts.clear()
         linked = 0
 
-    def pop() -> None:
-        nonlocal flagged, article
-        _, bad, main = stack.pop()
+    def pop() -> str:
+        nonlocal flagged, article, headings
+        name, bad, main, heading = stack.pop()
+        open_[name] -= 1
         flagged -= bad
         article -= main
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > last:
-            parts.append(page[last : m.start()])
-            linked += (m.start() - last) * (links > 0)
-        last = m.end()
-        name = m["name"]
-        if name is None:
+        headings -= heading
+        return name
+
+    for start, end, name, closes, rest in _pieces(page):
+        if start > last:
+            parts.append(page[last:start])
+            linked += (start - last) * (links > 0)
+        last = end
+        if not name or name in _RAW:
             continue
-        name = name.lower()
         if name == "a":
-            links = 0 if m["close"] else 1
+            links = 0 if closes else 1
         if name in _INLINE:  # these end a line only where boilerplate begins or ends
-            if m["close"]:
-                if not any(n == name for n, _, _ in stack):
+            if closes:
+                if not open_[name]:
                     continue
-            elif not (flagged or m["rest"] and _is_boilerplate(name, m["rest"], article > 0)):
+            elif name in _VOID or not (flagged or rest and _is_boilerplate(name, rest, article > 0)):
                 continue
         flush()
-        if m["close"]:
-            if any(n == name for n, _, _ in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
-        elif name not in _VOID and not m["rest"].endswith("/"):
+        if closes:
+            if open_[name]:
+                while pop() != name:
+                    pass
+        elif name not in _VOID and not rest.endswith("/"):
             ended = _SELF_ENDING.get(name)
             if stack and (stack[-1][0] == "p" and name not in _INLINE or ended and stack[-1][0] in ended):
                 pop()
-            bad, main = _is_boilerplate(name, m["rest"], article > 0), name in ("article", "main")
-            stack.append((name, bad, main))
+            bad, main = _is_boilerplate(name, rest, article > 0), name in ("article", "main")
+            stack.append((name, bad, main, name in _HEADINGS))
+            open_[name] += 1
             flagged += bad
             article += main
-    if last < len(page):
-        tail = page[last:]
-        parts.append(tail[: tail.rfind("<")] if "<" in tail and re.search(r"<[/!a-zA-Z][^>]*\Z", tail) else tail)
+            headings += name in _HEADINGS
+    parts.append(page[last:])
     flush()
     return out
 
 
-def main_text(page: str) -> tuple[str, int, int]:
-    """(text, number of the line where it surges, and of the line where it dives)."""
-    found = lines(page)
-    inside = any(a and not b for _, b, a, _ in found)
-    weight = np.array([0 if b or inside and not a or not a and (link > 0.6 or text[0] == "©") else len(text) for text, b, a, link in found], np.int64)
+def blocks(weight: np.ndarray, size: int = BLOCK_LINES) -> np.ndarray:
+    """The weight of each window of lines, by its first line."""
+    padded = np.concatenate([weight, np.zeros(size - 1, np.int64)])
+    return np.lib.stride_tricks.sliding_window_view(padded, size).sum(1)
+
+
+def article_bounds(found: list[Line]) -> tuple[int, int]:
+    """(line where the text surges, line after its dive) by the distribution of the weight of lines that aren't boilerplate; (0, 0) if there is none."""
+    inside = any(x.article for x in found)
+    weight = np.array([0 if inside and not x.article or not inside and (x.linked > 0.6 or x.text[0] == "©") else len(x.text) for x in found], np.int64)
     if not weight.any():
-        return "", 0, 0
-    # Boilerplate within the article is cut out, so it doesn't make the distribution dive.
-    shown = [i for i, (_, b, a, _) in enumerate(found) if not (a and b)]
-    w = weight[shown]
-    padded = np.concatenate([w, np.zeros(BLOCK_LINES, np.int64)])
-    block = np.lib.stride_tricks.sliding_window_view(padded, BLOCK_LINES)[: len(w)].sum(1)
-    live = np.concatenate([[False], block > 0, [False]])
-    surge = np.flatnonzero(~live[:-1] & live[1:])
-    dive = np.flatnonzero(live[:-1] & ~live[1:])
-    mass = np.array([w[a:b].sum() for a, b in zip(surge, dive, strict=True)])
-    kept = mass >= OTHER_STRETCH * mass.max()
-    text = " ".join(found[shown[i]][0] for a, b in zip(surge[kept], dive[kept], strict=True) for i in range(a, b) if w[i])
-    return text, shown[int(surge[kept][0])], shown[int(dive[kept][-1]) - 1]
+        return 0, 0
+    if inside:
+        return int(np.flatnonzero(weight)[0]), int(np.flatnonzero(weight)[-1]) + 1
+    size = np.sort(weight)[::-1]
+    bound = DENSE * size[np.searchsorted(np.cumsum(size), size.sum() / 2)]
+    dense = np.flatnonzero(blocks(weight) > bound)
+    surge, dive = int(dense[0]), min(len(found), int(dense[-1]) + BLOCK_LINES)
+    # The lines of the outermost blocks that are neither headings, nor sentences, nor long are what stands around the text.
+    own = [w > 0 and (w >= bound or x.heading or bool(_SENTENCE.search(x.text))) for w, x in zip(weight.tolist(), found, strict=True)]
+    while not own[surge]:
+        surge += 1
+    while not own[dive - 1] or found[dive - 1].heading:
+        dive -= 1
+        if dive <= surge:
+            return surge, surge + 1
+    titles = [i for i in range(max(0, surge - BLOCK_LINES), surge) if found[i].heading and weight[i]]
+    return titles[0] if titles else surge, dive
+
+
+def main_text(page: str) -> tuple[str, int, int]:
+    """(text, number of the line where it surges, and of the last before it dives, among those that aren't boilerplate)."""
+    found = [x for x in lines(page) if not x.boilerplate]
+    surge, dive = article_bounds(found)
+    inside = any(x.article for x in found)
+    return " ".join(x.text for x in found[surge:dive] if x.article or not inside), surge, max(surge, dive - 1)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +230,9 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """
     bounded_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
-    return pages.select(F.col(key).alias("_key"), "url", "html").mapInArrow(_extracted, f"_key {kinds[key]}, url {kinds['url']}, text string, surge long, dive long").withColumnRenamed("_key", key)
+    return pages.select(F.col(key).alias("_key"), F.col("url").alias("url"), F.col("html").alias("html")).mapInArrow(_extracted, f"_key {kinds[key]}, url {kinds['url']}, text string, surge long, dive long").withColumnRenamed("_key", key)
 
 
 def op9_html_extraction(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars and the lines of surge and dive of each page, by extract, which says how odd input counts."""
     return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "surge", "dive")
