@@ -89,6 +89,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The value that mix() made into h."""
+    back = _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    for _ in range(2):
+        h = (h ^ (h >> _U(32))) * back
+    return h ^ (h >> _U(32))
+
+
 class Hasher:
     """64-bit hashes of any stretches of a byte array, from one running sum."""
 

@@ -1,35 +1,55 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-All word and word-pair counts of the training texts are gathered by hash. Each hash range
-gets a Bloom filter that holds an n-gram once for every level of its quantised (log)
-count. A probe repeats with one level after the other until one is missing: the last
-level found gives the count. Smoothed probabilities are made of such probes. While the
-filter is within a bound it is broadcast; beyond it, the probes go to the range that
-holds the n-gram, with the same answers. The base score takes its exact counts there too.
+fit() gathers all word and word-pair counts of the training texts by hash. Each hash range
+gets a block of the filter, which holds an n-gram once for every level of its quantised
+(log) count; blocks are bounded in size, whatever the corpus, and are stored. A probe
+repeats with one level after the other until one is missing: the last level found gives
+the count. score() sends the n-grams of its texts to the workers that hold their blocks
+and makes probabilities of the answers. The filter as a whole grows with the corpus, so no
+worker gets all of it. The base score takes its exact counts from the ranges too.
+
+With c the quantised counts that the filter gives, a word w after u has the probability
+(c(u, w) + t(u) p(w)) / (c(u) + t(u)), where t(u) is how many different words follow u in
+training (Witten and Bell's estimate of how often a new one does), c(u) is the sum of
+their c(u, w), and p(w) = (c(w) + 1) / (sum of c + types + 1). Both sum to 1 over the
+words of training and one unknown word, but for what the filter wrongly finds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import SPACED, Chunk, Hasher, bounded_batches, chunks, lower, mix, words
+from ._arrow import SPACED, Chunk, Hasher, bounded_batches, chunks, lower, mix, unmix, words
 from ._tables import shuffle_files_end_with_each_job, written
 from .toxicity import held_out
 
 #: Bits of the filter for each level of an n-gram, probes of each, and levels a decade of counts.
-BITS, PROBES, DECADE = 10, 4, 6
-#: Filters up to this size are broadcast.
-MAX_BROADCAST = 48 << 20
-#: Weight of the pair model against the word model.
-PAIR_WEIGHT = 0.6
+BITS, PROBES, DECADE = 16, 6, 6
+#: Text whose n-grams one range holds, about.
+RANGE_BYTES = 16 << 20
 _CHUNK = 4 << 20
+#: Bits of a pair's hash that are its history's.
+_HISTORY = 28
 _END = np.uint64(0x51ED270B3A1F4C6D)
 _START = np.uint64(0x2545F4914F6CDD1D)
+_WORD, _PAIR, _MASS, _EXACT, _WORD_FILTER, _PAIR_FILTER, _FOLLOWERS = range(7)
+
+
+class Model(NamedTuple):
+    """table: counts and filter blocks by range; masses: the summed counts of each history, and its followers; tokens, types: of training; mass: of all words' quantised counts."""
+
+    table: DataFrame
+    masses: DataFrame
+    ranges: int
+    tokens: int
+    types: int
+    mass: float
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -38,51 +58,60 @@ def level(count: np.ndarray) -> np.ndarray:
 
 
 def dequantised(levels: np.ndarray) -> np.ndarray:
-    return np.where(levels > 0, 10 ** ((levels - 1) / DECADE), 0.0)
+    return np.where(levels > 0, 10 ** ((levels.astype(np.float64) - 1) / DECADE), 0.0)
 
 
 class BloomCounts:
-    """A log-frequency Bloom filter over 64-bit n-gram hashes."""
+    """A block of a log-frequency Bloom filter over 64-bit n-gram hashes."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
     @classmethod
-    def of(cls, grams: np.ndarray, counts: np.ndarray) -> BloomCounts:
+    def of(cls, grams: np.ndarray, counts: np.ndarray, bits: int = BITS) -> BloomCounts:
         levels = level(counts)
-        size = max(64, int(levels.sum()) * BITS)
-        bits = np.zeros(-(-size // 8), np.uint8)
+        size = -(-max(64, int(levels.sum()) * bits) // 8) * 8
+        on = np.zeros(size, bool)
         step, live = 1, np.flatnonzero(levels > 0)
         while len(live):
-            for at in _probes(grams[live], step, len(bits) * 8):
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for at in _probes(grams[live], step, size):
+                on[at] = True
             step += 1
             live = live[levels[live] >= step]
-        return cls(bits)
+        return cls(np.packbits(on, bitorder="little"))
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The largest level of each n-gram up to which no level is missing; 0 if it isn't in the filter."""
-        out = np.zeros(len(grams), np.int64)
+        out = np.zeros(len(grams), np.uint8)
         step, live = 1, np.arange(len(grams))
         while len(live):
-            there = np.ones(len(live), bool)
-            for at in _probes(grams[live], step, len(self.bits) * 8):
-                there &= self.bits[at >> 3] >> (at & 7) & 1 == 1
-            live = live[there]
+            for at in _probes(grams[live], step, len(self.bits) * 8, lambda: grams[live]):
+                live = live[self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
             out[live] = step
             step += 1
         return out
 
 
-def _probes(grams: np.ndarray, step: int, size: int) -> Iterator[np.ndarray]:
-    a = mix(grams + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    b = mix(a) | np.uint64(1)
+def _probes(grams: np.ndarray, step: int, size: int, left=None) -> Iterator[np.ndarray]:
+    """The places of one level of n-grams, probe by probe; left, if given, tells which n-grams are still asked for."""
     for i in range(PROBES):
+        if left is not None and i:
+            grams = left()
+        a = mix(grams + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        b = mix(a) | np.uint64(1)
         yield ((a + np.uint64(i) * b) % np.uint64(size)).astype(np.int64)
 
 
-def _tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the tokens, of the pairs that end in them, text number); each text's last token is its end."""
+def history(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - _HISTORY)
+
+
+def pair_history(pair: np.ndarray) -> np.ndarray:
+    return history(unmix(pair))
+
+
+def _tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the tokens, of those before them, of the pairs, text number); each text's last token is its end."""
     c = c._replace(data=lower(c.data))
     start, end, doc = words(c, SPACED)
     n = len(c.ids)
@@ -93,11 +122,12 @@ def _tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.repeat(np.arange(n), count + 1)
     before = np.concatenate([[_START], h[:-1]])
     before[np.concatenate([[0], np.cumsum(count + 1)[:-1]])[: n if n else 0]] = _START
-    return h, mix(before * np.uint64(3) + mix(h)), own
+    return h, before, mix(history(before) << np.uint64(64 - _HISTORY) | mix(h) >> np.uint64(_HISTORY)), own
 
 
-def _range(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _range(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash; a word's is its history's."""
+    return (history(grams) * np.uint64(ranges) >> np.uint64(_HISTORY)).astype(np.int64)
 
 
 def _distinct(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,6 +136,14 @@ def _distinct(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return value, np.bincount(inverse, weight, minlength=len(value)).astype(np.int64), inverse
 
 
+def _dealt(value: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """(range, part) of sorted hashes."""
+    bucket = _range(value, ranges)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
+        yield int(bucket[a]), slice(a, b)
+
+
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk of texts as one row with a name."""
     import zstandard
@@ -144,140 +182,182 @@ def _whole(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
 
 
-def _gathered(buckets: int):
-    """For each chunk and range: its sorted words, and word pairs, with their training counts."""
+def _gathered(ranges: int):
+    """For each chunk and range: its sorted training words, and word pairs, with their counts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw, texts in zip(*(batch.column(k).to_pylist() for k in ("chunk", "rows", "texts")), strict=True):
+            for raw, texts in zip(*(batch.column(k).to_pylist() for k in ("rows", "texts")), strict=True):
                 c, train = _unpacked(raw, texts)
-                h, pair, own = _tokens(c)
-                used = train[own].astype(np.float64)
+                h, _, pair, own = _tokens(c)
+                used = train[own]
                 rows = []
-                for kind, grams in (("word", h), ("pair", pair)):
-                    value, n, _ = _distinct(grams, used)
-                    bucket = _range(value, buckets)
-                    cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                    for b in np.unique(bucket).tolist():
-                        part = slice(cut[b], cut[b + 1])
-                        rows.append((kind, b, _planes(value[part]), _planes(n[part].astype("<u4"))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3))],
-                    names=["chunk", "kind", "bucket", "grams", "counts"],
-                )
+                for kind, grams in ((_WORD, h[used]), (_PAIR, pair[used])):
+                    value, n = np.unique(grams, return_counts=True)
+                    rows += [(kind, b, _planes(value[part]), _planes(n[part].astype("<u4"))) for b, part in _dealt(value, ranges)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3))], names=["kind", "bucket", "grams", "counts"])
 
     return gather
 
 
-_REPLY = "chunk string, kind string, bucket long, data binary, total long, types long"
+_MODEL = "kind long, bucket long, grams binary, counts binary, tokens long, types long, mass double"
+_ANSWERS = "chunk string, kind long, bucket long, data binary"
+
+
+def _fitted(bits: int):
+    def fitted(key: tuple, table: pa.Table) -> pa.Table:
+        """One range: its exact word counts, the filter's blocks, and the sums of quantised counts by history."""
+        bucket, kinds = key[0].as_py(), table.column("kind").to_numpy()
+        out: list[tuple] = []
+        columns = [pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())]
+        for kind, stored in ((_WORD, _WORD_FILTER), (_PAIR, _PAIR_FILTER)):
+            part = table.filter(pa.array(kinds == kind))
+            if not part.num_rows:
+                continue
+            grams, counts = (np.concatenate([_whole(x, t) for x in part.column(c).to_pylist()]) for c, t in (("grams", "<u8"), ("counts", "<u4")))
+            value, n, _ = _distinct(grams, counts.astype(np.float64))
+            block = BloomCounts.of(value, n, bits)
+            found = dequantised(block.levels(value))
+            if kind == _WORD:
+                out.append((_EXACT, bucket, _planes(value), _planes(n.astype("<u8")), int(n.sum()), len(value), float(found.sum())))
+            else:
+                before, inverse = np.unique(pair_history(value), return_inverse=True)
+                columns = [pa.array(before.astype(np.int64)), pa.array(np.bincount(inverse, found, minlength=len(before))), pa.array(np.bincount(inverse, minlength=len(before)))]
+            out.append((stored, bucket, block.bits.tobytes(), None, 0, 0, 0.0))
+        m = len(columns[0])
+        head = pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(("kind", "bucket", "grams", "counts", "tokens", "types", "mass"), _TYPES, strict=True))})
+        zero = pa.array(np.zeros(m, np.int64))
+        return pa.concat_tables([head, pa.table([pa.array(np.full(m, _MASS)), columns[0], pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), zero, columns[2], columns[1]], names=head.schema.names)])
+
+    return fitted
+
+
+_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64())
+
 
+def _asked(ranges: int):
+    """For each chunk and range: its sorted words (and the start of texts), and word pairs."""
 
-def _summed(key: tuple, table: pa.Table) -> pa.Table:
-    """One range: the filter of its n-grams, sums, and for each chunk the answers to its words and pairs."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw, texts in zip(*(batch.column(k).to_pylist() for k in ("chunk", "rows", "texts")), strict=True):
+                h, _, pair, _ = _tokens(_unpacked(raw, texts)[0])
+                rows = []
+                for kind, grams in ((_WORD, np.append(h, _START)), (_PAIR, pair)):
+                    value = np.unique(grams)
+                    rows += [(kind, b, _planes(value[part])) for b, part in _dealt(value, ranges)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "kind", "bucket", "grams"])
+
+    return ask
+
+
+def _answered(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
+    """The answers of one range to what chunks ask: exact and quantised counts of words and their masses as histories, quantised counts of pairs."""
+    own = {k: model.filter(pa.array(model.column("kind").to_numpy() == k)) for k in (_EXACT, _WORD_FILTER, _PAIR_FILTER, _MASS)}
+    known, counts = (np.concatenate([np.empty(0, "<u8"), *(_whole(x, "<u8") for x in own[_EXACT].column(c).to_pylist())]) for c in ("grams", "counts"))
+    blocks = {kind: [BloomCounts(np.frombuffer(x, np.uint8)) for x in own[stored].column("grams").to_pylist()] for kind, stored in ((_WORD, _WORD_FILTER), (_PAIR, _PAIR_FILTER))}
+    before, mass, followers = (own[_MASS].column(c).to_numpy() for c in ("history", "mass", "types"))
+    by = np.argsort(before)
+    before, mass, followers = before[by], mass[by], followers[by]
     out = []
-    bits = {}
-    kinds, names = table.column("kind").to_pylist(), table.column("chunk").to_pylist()
-    grams, sizes = table.column("grams").to_pylist(), table.column("counts").to_pylist()
-    bucket = key[0].as_py()
-    total = types = 0
-    for kind in ("word", "pair"):
-        rows = [i for i, k in enumerate(kinds) if k == kind]
-        if not rows:
-            continue
-        all_of = np.concatenate([_whole(grams[i], "<u8") for i in rows])
-        value, n, inverse = _distinct(all_of, np.concatenate([_whole(sizes[i], "<u4") for i in rows]).astype(np.float64))
-        seen = n > 0
-        if kind == "word":
-            total, types = int(n.sum()), int(seen.sum())
-        bits[kind] = BloomCounts.of(value[seen], n[seen])
-        levels = bits[kind].levels(value).astype(np.uint8)
-        at = 0
-        for i in rows:
-            size = len(grams[i]) // 8
-            own = inverse[at : at + size]
-            at += size
-            if kind == "word":
-                out.append((names[i], "exact", bucket, _planes(n[own].astype("<u4")), 0, 0))
-            out.append((names[i], kind, bucket, levels[own].tobytes(), 0, 0))
-    for kind, b in bits.items():
-        out.append((None, f"filter {kind}", bucket, b.bits.tobytes(), total if kind == "word" else 0, types if kind == "word" else 0))
-    return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate((("chunk", pa.string()), ("kind", pa.string()), ("bucket", pa.int64()), ("data", pa.binary()), ("total", pa.int64()), ("types", pa.int64())))})
-
-
-def _scored(total: int, types: int, shared, buckets: int, weight: float):
+    for chunk, kind, raw in zip(*(asked.column(c).to_pylist() for c in ("chunk", "kind", "grams")), strict=True):
+        value = _whole(raw, "<u8")
+        found = blocks[kind][0].levels(value) if blocks[kind] else np.zeros(len(value), np.uint8)
+        out.append((chunk, kind, found.tobytes()))
+        if kind == _WORD:
+            out.append((chunk, _EXACT, _planes(_looked_up(known, counts, value).astype("<u8"))))
+            for k, values, form in ((_MASS, mass, "<f8"), (_FOLLOWERS, followers, "<u4")):
+                out.append((chunk, k, _planes(_looked_up(before, values, history(value).astype(np.int64)).astype(form))))
+    return pa.table({"chunk": pa.array([r[0] for r in out], pa.string()), "kind": pa.array([r[1] for r in out], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "data": pa.array([r[2] for r in out], pa.binary())})
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted keys among sorted ones, or 0."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def _scored(tokens: int, types: int, mass: float):
     """Scores of the texts of one chunk from the answers to its n-grams."""
 
     def score(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        kinds, ranges, data = (replies.column(k).to_pylist() for k in ("kind", "bucket", "data"))
-        answers = {kind: b"".join(d for _, d in sorted((r, d) for k, r, d in zip(kinds, ranges, data, strict=True) if k == kind)) for kind in ("word", "pair")}
-        exact = np.concatenate([_whole(d, "<u4") for _, d in sorted((r, d) for k, r, d in zip(kinds, ranges, data, strict=True) if k == "exact")] or [np.empty(0, "<u4")])
+        order = np.lexsort((replies.column("bucket").to_numpy(), replies.column("kind").to_numpy()))
+        parts: dict[int, list[bytes]] = {k: [] for k in (_WORD, _PAIR, _EXACT, _MASS, _FOLLOWERS)}
+        for r in replies.select(["kind", "data"]).take(pa.array(order)).to_pylist():
+            parts[r["kind"]].append(r["data"])
+        word, pairs = (dequantised(np.frombuffer(b"".join(parts[k]), np.uint8)) for k in (_WORD, _PAIR))
+        exact, masses, followers = (np.concatenate([np.empty(0, t), *(_whole(x, t) for x in parts[k])]) for k, t in ((_EXACT, "<u8"), (_MASS, "<f8"), (_FOLLOWERS, "<u4")))
         out = []
         for raw, packed in zip(texts.column("rows").to_pylist(), texts.column("texts").to_pylist(), strict=True):
             c, _ = _unpacked(raw, packed)
             ids, n = c.ids, len(c.ids)
-            h, pair, own = _tokens(c)
-            value, _, word_at = _distinct(h, np.ones(len(h)))
-            pairs, _, pair_at = _distinct(pair, np.ones(len(h)))
-            count = exact[word_at].astype(np.float64)
-            if shared is None:
-                words_, pairs_ = np.frombuffer(answers["word"], np.uint8), np.frombuffer(answers["pair"], np.uint8)
-            else:
-                words_, pairs_ = _probed(shared.value["word"], value, buckets), _probed(shared.value["pair"], pairs, buckets)
-            first = np.ones(len(h), bool)
-            first[1:] = own[1:] != own[:-1]
-            word = dequantised(words_)[word_at]
-            ends = dequantised(words_[[np.searchsorted(value, _END)]])[0] if len(h) else 0.0  # as many texts start as end
-            before = np.where(first, ends, np.concatenate([[0.0], word[:-1]]) if len(h) else word)
-            both = np.minimum(dequantised(pairs_)[pair_at], np.minimum(before, word))
-            flat = (np.minimum(word, total) + 1) / (total + types + 1)
-            p = weight * np.divide(both, before, out=np.zeros_like(both), where=before > 0) + np.where(before > 0, 1 - weight, 1) * flat
+            h, before, pair, own = _tokens(c)
+            value = np.unique(np.append(h, _START))
+            at = np.searchsorted(value, h)
+            count, single = exact[at].astype(np.float64), word[at]
+            u = np.searchsorted(value, before)
+            all_pairs, new = masses[u], np.maximum(followers[u].astype(np.float64), 1)
+            both = np.where((all_pairs > 0) & (single > 0), pairs[np.unique(pair, return_inverse=True)[1]], 0)
+            p = (both + new * (single + 1) / (mass + types + 1)) / (all_pairs + new)
             sums = lambda x: np.bincount(own, x, minlength=n)
-            out.append(pa.table({"_key": ids, "n_tokens": sums(np.ones(len(h))).astype(np.int64), "n_known": sums(count > 0).astype(np.int64), "base_score": sums(np.log10((count + 1) / (total + types + 1))), "score": sums(np.log10(p))}))
+            out.append(pa.table({"_key": ids, "n_tokens": sums(np.ones(len(h))).astype(np.int64), "n_known": sums(count > 0).astype(np.int64), "base_score": sums(np.log10((count + 1) / (tokens + types + 1))), "score": sums(np.log10(p))}))
         return pa.concat_tables(out)
 
     return score
 
 
-def _probed(filters: list[bytes | None], grams: np.ndarray, buckets: int) -> np.ndarray:
-    """Levels of sorted n-grams, each from the filter of its range."""
-    out = np.zeros(len(grams), np.int64)
-    cut = np.searchsorted(_range(grams, buckets), np.arange(buckets + 1))
-    for b, bits in enumerate(filters):
-        if bits is not None and cut[b] < cut[b + 1]:
-            out[cut[b] : cut[b + 1]] = BloomCounts(np.frombuffer(bits, np.uint8)).levels(grams[cut[b] : cut[b + 1]])
-    return out
+def _ranges(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, size // RANGE_BYTES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _chunked(docs: DataFrame, train, key: str) -> DataFrame:
+    rows = docs.select(F.col(key).alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    return written(rows.mapInArrow(_packed_texts, "chunk string, rows binary, texts binary"))
 
 
-def score(docs: DataFrame, train, key: str = "doc_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """key, n_tokens, n_known, train_tokens, base_score and score for each row; train: which rows the model counts.
+def _fit(packed: DataFrame, ranges: int, bits: int) -> Model:
+    with shuffle_files_end_with_each_job(packed.sparkSession):
+        gathered = packed.mapInArrow(_gathered(ranges), "kind long, bucket long, grams binary, counts binary")
+        table = written(gathered.groupBy("bucket").applyInArrow(_fitted(bits), _MODEL), "kind")
+        tokens, types, mass = table.where(F.col("kind") == _EXACT).agg(F.sum("tokens"), F.sum("types"), F.sum("mass")).first()
+        by_history = table.where(F.col("kind") == _MASS).groupBy(F.col("bucket").alias("history")).agg(F.sum("mass").alias("mass"), F.sum("types").alias("types"))
+        masses = written(by_history.select(F.shiftright(F.col("history") * ranges, _HISTORY).alias("bucket"), "history", "mass", "types"))
+    return Model(table, masses, ranges, tokens or 0, types or 0, mass or 0.0)
+
+
+def fit(docs: DataFrame, train, key: str = "doc_id", bits: int = BITS) -> Model:
+    """The model of the rows of docs for which train is true: every n-gram of each of them is counted."""
+    bounded_batches(docs.sparkSession)
+    return _fit(_chunked(docs, train, key), _ranges(docs), bits)
+
+
+def _score(packed: DataFrame, model: Model, key: str, kind: str) -> DataFrame:
+    with shuffle_files_end_with_each_job(packed.sparkSession):
+        asked = packed.mapInArrow(_asked(model.ranges), "chunk string, kind long, bucket long, grams binary")
+        none = F.lit(None).cast("binary")
+        blocks = model.table.where(F.col("kind") != _MASS).select("kind", "bucket", "grams", "counts", F.lit(0).cast("long").alias("history"), "mass", "types")
+        held = blocks.unionAll(model.masses.select(F.lit(_MASS).cast("long"), "bucket", none, none, "history", "mass", "types"))
+        answers = written(asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_answered, _ANSWERS))
+    scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(model.tokens, model.types, model.mass), f"_key {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("_key").alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, train=None, key: str = "doc_id", model: Model | None = None, bits: int = BITS) -> DataFrame:
+    """key, n_tokens, n_known, train_tokens, base_score and score for each row, by a model, or by that of the rows for which train is true.
 
     Tokens are a text's words, lower-cased, and its end; a null or empty text has the end
-    alone. Keys stay as they are, null or repeated. Every n-gram of every training row is
-    counted. A row whose train is null is no training row.
+    alone. Keys stay as they are, null or repeated. A row whose train is null is no
+    training row. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    with shuffle_files_end_with_each_job(spark):
-        packed = written(rows.mapInArrow(_packed_texts, "chunk string, rows binary, texts binary"))
-        gathered = packed.mapInArrow(_gathered(buckets), "chunk string, kind string, bucket long, grams binary, counts binary")
-        replies = written(gathered.groupBy("bucket").applyInArrow(_summed, _REPLY), "kind")
-    filters = replies.where("kind LIKE 'filter %'")
-    total, types, size = filters.agg(F.sum("total"), F.sum("types"), F.sum(F.octet_length("data").cast("long"))).first()
-    shared = None
-    if (size or 0) <= max_broadcast:
-        parts: dict[str, list] = {"word": [None] * buckets, "pair": [None] * buckets}
-        for r in filters.select("kind", "bucket", "data").toLocalIterator():
-            parts[r["kind"].removeprefix("filter ")][r["bucket"]] = bytes(r["data"])
-        shared = spark.sparkContext.broadcast(parts)
-    wanted = ["exact"] if shared else ["exact", "word", "pair"]
-    answers = replies.where(F.col("kind").isin(wanted)).select("chunk", "kind", "bucket", "data")
-    scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(total or 0, types or 0, shared, buckets, PAIR_WEIGHT), f"_key {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("_key").alias(key), "n_tokens", "n_known", F.lit(total or 0).cast("long").alias("train_tokens"), "base_score", "score")
+    bounded_batches(docs.sparkSession)
+    packed = _chunked(docs, F.lit(False) if train is None else train, key)
+    return _score(packed, model or _fit(packed, _ranges(docs), bits), key, dict(docs.dtypes)[key])
 
 
 def op6_lm_scoring(documents: DataFrame) -> DataFrame:
+    """Scores of all documents by score(), which says how odd input counts; learnt from those whose crc32(doc_id) mod 7 is not 2."""
     held = F.coalesce(held_out("doc_id", 7, 2), F.lit(False))
     return score(documents, ~held_out("doc_id", 7, 2)).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -1,10 +1,11 @@
 """The operators' queries against plain versions, on a small corpus of odd texts and on the smallest tables."""
 
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
-from brute import base_scores, components, fingerprint, leaks, line_dedup, quality, removed
+from brute import ASCII_LOWER, WORD, base_scores, components, fingerprint, held_out, leaks, line_dedup, quality, removed
 from conftest import SF
 
 from bomloom.llm import decontam, lines, lm, rules, simhash, suffix_index
@@ -43,6 +44,16 @@ def test_suffix_dedup_of_anchors_with_many_runs(spark):
     assert [i for i in want if got[i] != want[i]] == [] and sum(x[1] > 0 for x in want.values()) == 300
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts that are taken in parts share stretches across the parts' ends, at other places."""
+    rng = np.random.default_rng(9)
+    say = lambda n: bytes(rng.integers(97, 123, n).tolist()).decode()
+    one, two = say(600_000), say(560_000)
+    rows = [(1, one), (2, two[:100_000] + one[200_000:320_000] + two[100_000:] + one[:49] + two[:49] + one[524_250:524_330]), (3, one[262_100:262_200] + two[-60:] + say(30))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_index.op1_suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed(rows) and got[2][2] >= 2
+
+
 @BOTH
 def test_simhash(case):
     table, rows = case
@@ -88,11 +99,37 @@ def test_model_beats_base(real):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_filter_beyond_broadcast(docs):
-    train = ~lm.held_out("doc_id", 7, 2)
-    near = {r.doc_id: r.score for r in lm.score(docs, train).collect()}
-    far = {r.doc_id: r.score for r in lm.score(docs, train, max_broadcast=0).collect()}
-    assert near == pytest.approx(far)
+def test_scores_of_a_plain_model(docs, texts):
+    """Without what the filter wrongly finds, scores are those of quantised counts in dictionaries, and probabilities sum to 1."""
+    train = [t for i, t in texts if not held_out(i, 7, 2)]
+    tokens = lambda t: [*WORD.findall((t or "").translate(ASCII_LOWER)), None]
+    one, two = Counter(), Counter()
+    for t in train:
+        seq = tokens(t)
+        one.update(seq)
+        two.update(zip(["start", *seq], [w if w is None else (w,) for w in seq], strict=False))
+    quantised = lambda n: float(lm.dequantised(lm.level(np.array([n])))[0])
+    single, pairs = {w: quantised(n) for w, n in one.items()}, {p: quantised(n) for p, n in two.items()}
+    mass, followers, total = Counter(), Counter(), sum(single.values()) + len(single) + 1
+    for (u, _), n in pairs.items():
+        mass[u] += n
+        followers[u] += 1
+    p = lambda u, w: (pairs.get((u, w if w is None else (w,)), 0) + max(1, followers[u]) * (single.get(w, 0) + 1) / total) / (mass[u] + max(1, followers[u]))
+    for u in list(mass)[:200]:
+        assert sum(p(u, w) for w in single) + p(u, "an unknown one") == pytest.approx(1)
+    want = {i: sum(math.log10(p(u, w)) for u, w in zip(["start", *tokens(t)], tokens(t), strict=False)) for i, t in texts}
+    got = {r.doc_id: r.score for r in lm.score(docs, ~lm.held_out("doc_id", 7, 2), bits=60).collect()}
+    assert got == pytest.approx(want)
+    near = {r.doc_id: r.score for r in lm.op6_lm_scoring(docs).collect()}
+    assert np.mean([abs(near[i] - want[i]) < 0.01 * abs(want[i]) for i in want]) > 0.9
+
+
+def test_a_stored_model_scores_other_texts(spark, docs, texts):
+    model = lm.fit(docs, ~lm.held_out("doc_id", 7, 2))
+    whole = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.op6_lm_scoring(docs).collect()}
+    some = docs.where("doc_id % 3 = 0")
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(some, model=model).collect()}
+    assert got and all(v == pytest.approx(whole[i]) for i, v in got.items())
 
 
 @BOTH
