@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,26 +33,30 @@ from ._arrow import Hasher, bounded_batches, chunks, mix
 from ._pointers import GROUP_BYTES, dealt, doc_group, first_of, located, of_rows, packed, texts, unpacked
 from ._tables import dropped, shuffle_files_end_with_each_job, written
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 12
 _SPAN = LENGTH - ANCHOR + 1
+#: Bytes of texts whose anchors are found at once; a longer text is taken in parts.
 _CHUNK = 256 << 10
 #: A window goes so far beyond its anchor on the left, or on the right.
 _HALF = (LENGTH - ANCHOR) // 2
 #: Anchors of several chunks that a task sorts into one array.
-_ROWS_AT_ONCE = 150_000
+_ROWS_AT_ONCE = 250_000
 #: Different runs of one anchor that a task's array sends to the anchor's bucket. Further ones are marked at once, and a
 #: record of no windows for the anchor goes to the bucket and stays in the levels: all other runs of it are marked too.
 _RUNS_A_KEY = 64
 #: Marked anchors that a task compares at once, about, and those that it looks up in texts at once.
 _MARKED_A_BUCKET, _LOOKED_UP = 60_000, 20_000
-#: A suffix: its first ANCHOR bytes as two big-endian numbers, the hash of its run, document, first window, number of
+#: A suffix: its first ANCHOR bytes as two big-endian numbers (of 8 bytes and of the rest), the hash of its run, document, first window, number of
 #: windows, place of the anchor in the run, tags of what stands on its sides, and whether it is marked (1) or of a level that stays (2).
-_ROW = np.dtype([("k", "<u8"), ("l", "<u8"), ("h", "<u8"), ("ord", "<i8"), ("s", "<i8"), ("n", "<u1"), ("at", "<u1"), ("left", "<u1"), ("right", "<u1"), ("sent", "<u1")])
+_ROW = np.dtype([("k", "<u8"), ("l", "<u8"), ("h", "<u8"), ("ord", "<i8"), ("s", "<i8"), ("n", "<u1"), ("at", "<u1"), ("left", "<u2"), ("right", "<u2"), ("sent", "<u1")])
 _SPANS = np.dtype([("ord", "<i8"), ("s", "<i8"), ("n", "<i8")])
-_SENT = "kind int, bucket long, k long, l long, h long, ord long, s long, n long"
-#: Kinds of records: a suffix for its bucket, a marked one, a settled span, a bucket of a level.
+_SENT = "bucket long, k long, l long, h long, ord long, s long, n long"
+#: Kinds of records: a suffix for its bucket, a marked one, a settled span, a bucket of a level. Before the scan the kind stands above so many bits of n.
 _SUFFIX, _MARK, _FULL, _LEVEL = range(4)
-_FOUND = "kind int, bucket long, ord long, s long, n long, data binary"
+_KIND = 48
+#: Fields of a suffix that travel as one number, and the bits of each.
+_META = (("n", 6), ("at", 6), ("left", 16), ("right", 16))
+_FOUND = "kind long, bucket long, ord long, s long, n long, data binary"
 _CONTEXT = "bucket long, ord long, s long, n long, data binary"
 #: Bytes to the left and to the right (from the anchor on) that the windows of either half need.
 _LEFT, _RIGHT = (_HALF, LENGTH), (LENGTH - ANCHOR, LENGTH - _HALF - 1)
@@ -62,7 +65,7 @@ _LEFT, _RIGHT = (_HALF, LENGTH), (LENGTH - ANCHOR, LENGTH - _HALF - 1)
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """(place, hash of the run, first window, number of windows, left and right tag) of each anchor of texts that begin at at.
 
-    A tag is eight bits of a hash of the anchor and _HALF bytes on one side, 0 at a text's
+    A tag is sixteen bits of a hash of the anchor and _HALF bytes on one side, 0 at a text's
     end: windows of two anchors can only be equal if the tags of one side are.
     """
     n = len(data) - LENGTH + 1
@@ -95,17 +98,26 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     for a, b in ((where - _HALF, where + ANCHOR), (where, where + ANCHOR + _HALF)):
         there = (a >= at[doc]) & (b <= at[doc + 1])
         a, b = np.where(there, a, first), np.where(there, b, first)
-        tags.append(np.where(there, 1 + hasher(a, b) % np.uint64(255), 0).astype(np.uint8))
+        tags.append(np.where(there, 1 + hasher(a, b) % np.uint64(65535), 0).astype(np.uint16))
     return where, mix(hasher(first, stop + LENGTH) + (where - first).astype(np.uint64)), first, stop - first + 1, *tags
 
 
 def suffix_rows(data: np.ndarray, at: np.ndarray, order: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """The sampled suffixes of texts as rows, in order of place."""
+    """The sampled suffixes of texts as rows, in order of place.
+
+    Of a text that is longer than a chunk, parts that overlap by all but one byte of a
+    window are taken one after the other; a run ends with its part.
+    """
+    if len(at) == 2 and len(data) > _CHUNK + LENGTH:
+        parts = (data[i : i + _CHUNK + LENGTH - 1] for i in range(0, len(data) - LENGTH + 1, _CHUNK))
+        return np.concatenate([suffix_rows(part, np.array([0, len(part)]), order, base + i * _CHUNK) for i, part in enumerate(parts)])
     where, h, first, n, left, right = anchors(data, at)
     doc = np.searchsorted(at, first, "right") - 1
     rows = np.zeros(len(where), _ROW)
-    head = data[where[:, None] + np.arange(ANCHOR)].view(">u8")
-    rows["k"], rows["l"], rows["h"] = head[:, 0], head[:, 1], h
+    head = np.zeros((len(where), 16), np.uint8)
+    head[:, :ANCHOR] = data[where[:, None] + np.arange(ANCHOR)]
+    head = head.view(">u8")
+    rows["k"], rows["l"], rows["h"] = head[:, 0], head[:, 1] >> np.uint64(8 * (16 - ANCHOR)), h
     rows["ord"], rows["s"], rows["n"], rows["at"] = order[doc], first - at[doc] + base[doc], n, where - first
     rows["left"], rows["right"] = left, right
     return rows
@@ -165,16 +177,28 @@ def _spans(rows: np.ndarray) -> np.ndarray:
 
 
 def _meta(rows: np.ndarray) -> np.ndarray:
-    return sum(rows[f].astype(np.int64) << 8 * i for i, f in enumerate(("n", "at", "left", "right")))
+    out, shift = np.zeros(len(rows), np.int64), 0
+    for f, bits in _META:
+        out |= rows[f].astype(np.int64) << shift
+        shift += bits
+    return out
+
+
+def _unmeta(meta: np.ndarray) -> dict[str, np.ndarray]:
+    out, shift = {}, 0
+    for f, bits in _META:
+        out[f] = meta >> shift & (1 << bits) - 1
+        shift += bits
+    return out
 
 
-def _records(parts: list[tuple[int, np.ndarray, dict[str, np.ndarray]]], names: tuple[str, ...]) -> pa.RecordBatch:
-    """Records of several kinds as one batch; fields that a kind lacks are 0."""
-    columns = [pa.array(np.repeat(np.array([k for k, _, _ in parts], np.int32), [len(r) for _, r, _ in parts]))]
+def _records(parts: list[tuple[np.ndarray, dict[str, np.ndarray]]], names: tuple[str, ...]) -> pa.RecordBatch:
+    """Rows of several kinds as one batch; fields that a kind lacks are 0."""
+    columns = []
     for name in names:
-        values = [more[name] if name in more else rows[name] if name in rows.dtype.names else np.zeros(len(rows), np.int64) for _, rows, more in parts]
+        values = [more[name] if name in more else rows[name] if name in rows.dtype.names else np.zeros(len(rows), np.int64) for rows, more in parts]
         columns.append(pa.array(np.concatenate([np.ascontiguousarray(v).view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64) for v in values])))
-    return pa.RecordBatch.from_arrays(columns, names=["kind", *names])
+    return pa.RecordBatch.from_arrays(columns, names=list(names))
 
 
 def _array(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -192,7 +216,7 @@ def _array(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     rows = np.concatenate([rows[~many], marks])
     bucket = dealt(mix(rows["k"] + mix(rows["l"])), buckets)
     passing = [dealt(mix(x["ord"].astype(np.uint64)), buckets) for x in (overfull, settled)]
-    parts = [(_SUFFIX, rows, {"bucket": bucket, "n": _meta(rows)}), (_MARK, overfull, {"bucket": passing[0], "n": _meta(overfull)}), (_FULL, settled, {"bucket": passing[1]})]
+    parts = [(rows, {"bucket": bucket, "n": _meta(rows)}), (overfull, {"bucket": passing[0], "n": _meta(overfull) | _MARK << _KIND}), (settled, {"bucket": passing[1], "n": settled["n"] | _FULL << _KIND})]
     return _records(parts, ("bucket", "k", "l", "h", "ord", "s", "n"))
 
 
@@ -220,9 +244,8 @@ def _rows_of(table: pa.Table) -> np.ndarray:
     rows = np.zeros(table.num_rows, _ROW)
     for f in ("k", "l", "h", "ord", "s"):
         rows[f] = table.column(f).to_numpy().view(_ROW[f])
-    meta = table.column("n").to_numpy()
-    for i, f in enumerate(("n", "at", "left", "right")):
-        rows[f] = meta >> 8 * i & 255
+    for f, values in _unmeta(table.column("n").to_numpy()).items():
+        rows[f] = values
     return rows
 
 
@@ -256,12 +279,15 @@ def _scanned(keep: bool):
     def scanned(key: tuple, new: pa.Table, levels: pa.Table) -> pa.Table:
         kinds, data = levels.column("kind").to_pylist(), levels.column("data").to_pylist()
         merging, staying = (unpacked([x for k, x in zip(kinds, data, strict=True) if k == kind], _ROW) for kind in ("merge", "stay"))
-        passing = new.filter(pc.not_equal(new.column("kind"), _SUFFIX))
-        settled, found, level = scan(merged(_rows_of(new.filter(pc.equal(new.column("kind"), _SUFFIX)))), merging, staying)
+        kind = new.column("n").to_numpy() >> _KIND
+        passing = new.filter(pa.array(kind != _SUFFIX)).select(["ord", "s", "n"])
+        settled, found, level = scan(merged(_rows_of(new.filter(pa.array(kind == _SUFFIX)))), merging, staying)
         blobs = int(keep and len(level) > 0)
-        out = _records([(_FULL, settled, {}), (_MARK, found, {"n": _meta(found)}), (_LEVEL, level[:blobs], {"bucket": np.full(blobs, key[0].as_py())})], ("bucket", "ord", "s", "n"))
+        out = _records([(settled, {"kind": np.full(len(settled), _FULL)}), (found, {"kind": np.full(len(found), _MARK), "n": _meta(found)}), (level[:blobs], {"kind": np.full(blobs, _LEVEL), "bucket": np.full(blobs, key[0].as_py())})], ("kind", "bucket", "ord", "s", "n"))
         out = pa.Table.from_batches([out]).append_column("data", pa.array([None] * (len(settled) + len(found)) + [packed(level)] * blobs, pa.binary()))
-        return pa.concat_tables([out, passing.select(["kind", "bucket", "ord", "s", "n"]).append_column("data", pa.nulls(passing.num_rows, pa.binary()))])
+        n = passing.column("n").to_numpy()
+        rest = [pa.array(n >> _KIND), pa.array(np.zeros(len(n), np.int64)), passing.column("ord"), passing.column("s"), pa.array(n & (1 << _KIND) - 1), pa.nulls(len(n), pa.binary())]
+        return pa.concat_tables([out, pa.table(rest, names=out.column_names)])
 
     return scanned
 
@@ -277,9 +303,8 @@ def _contexts(buckets: int):
         out = []
         for data, at, order, base in texts(docs):
             marked = np.empty(found.num_rows, np.dtype([*_SPANS.descr, ("at", "<i8")]))
-            meta = found.column("n").to_numpy()
-            marked["ord"], marked["s"], marked["n"], marked["at"] = found.column("ord").to_numpy(), found.column("s").to_numpy(), meta & 255, meta >> 8 & 255
-            hasher = Hasher(data)
+            meta = _unmeta(found.column("n").to_numpy())
+            marked["ord"], marked["s"], marked["n"], marked["at"] = found.column("ord").to_numpy(), found.column("s").to_numpy(), meta["n"], meta["at"]
             for i in range(0, len(marked), _LOOKED_UP):
                 p, row = of_rows(marked[i : i + _LOOKED_UP], at, order, base, LENGTH - 1)
                 first = at[row] + p["s"] - base[row]
@@ -291,8 +316,12 @@ def _contexts(buckets: int):
                     place = a[:, None] + np.arange(-left, right)
                     there = (place >= first[own, None]) & (place < end[own, None])
                     raw = np.where(there, data[np.clip(place, 0, len(data) - 1)], 0).astype(np.uint8)
-                    h = hasher(a - _HALF - 1, a + ANCHOR) if side else hasher(a, a + ANCHOR + _HALF)
-                    columns = (dealt(mix(h + np.uint64(side)), buckets), p["ord"][own], p["s"][own] + p["at"][own], side | np.maximum(low[own], _HALF + 1 if side else 0) << 1 | np.minimum(high[own], LENGTH if side else _HALF) << 9)
+                    shared = np.zeros((len(own), 40), np.uint8)
+                    shared[:, : ANCHOR + _HALF + side] = raw[:, left - side * (_HALF + 1) :][:, : ANCHOR + _HALF + side]
+                    h = np.full(len(own), side, np.uint64)
+                    for word in shared.view(np.uint64).T:
+                        h = mix(h + word)
+                    columns = (dealt(h, buckets), p["ord"][own], p["s"][own] + p["at"][own], side | np.maximum(low[own], _HALF + 1 if side else 0) << 1 | np.minimum(high[own], LENGTH if side else _HALF) << 9)
                     at_bytes = pa.py_buffer(np.arange(0, raw.size + 1, left + right, dtype=np.int32))
                     out.append(pa.table([*(pa.array(c.astype(np.int64)) for c in columns), pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, at_bytes, pa.py_buffer(raw.tobytes())])], names=["bucket", "ord", "s", "n", "data"]))
         empty = pa.table({**{k: pa.array([], pa.int64()) for k in ("bucket", "ord", "s", "n")}, "data": pa.array([], pa.binary())})
