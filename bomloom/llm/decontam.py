@@ -49,8 +49,9 @@ def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
     h, _, _, doc = _hashed(Chunk(pa.array(range(len(items))), data, at))
     known, number = np.unique(h, return_inverse=True)
     found: dict[int, dict[tuple, set]] = {}
+    cut = np.searchsorted(doc, np.arange(len(items) + 1))
     for i, (name, _) in enumerate(items):
-        own = tuple((number[doc == i] + 1).tolist())
+        own = tuple((number[cut[i] : cut[i + 1]] + 1).tolist())
         n = min(window, len(own))
         for k in range(len(own) - n + 1 if n else 0):
             found.setdefault(n, {}).setdefault(own[k : k + n], set()).add(name)
@@ -171,33 +172,72 @@ def _occurrences(h: np.ndarray, doc: np.ndarray, model: Phrases) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _scan(shared):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+class Found(NamedTuple):
+    """Of each text of a chunk: its number of words, the names of items with occurring windows, and removal spans."""
+
+    n_words: np.ndarray
+    items: list[list[str]]
+    spans: list[list[dict[str, int]]]
+
+
+def scan(c: Chunk, model: Phrases) -> Found:
+    n = len(c.ids)
+    h, start, end, doc = _hashed(c)
+    phrase, first, length = _occurrences(h, doc, model)
+    depth = np.zeros(len(h) + 1, np.int64)
+    np.add.at(depth, first, 1)
+    np.add.at(depth, first + length, -1)
+    hit = np.cumsum(depth)[:-1] > 0
+    edge = np.diff(np.concatenate([[0], (hit * (doc + 1)), [0]])) != 0
+    left = np.flatnonzero(edge[:-1] & hit)
+    right = np.flatnonzero(edge[1:] & hit)
+    names: dict[int, set] = {}
+    for p, d in set(zip(phrase.tolist(), doc[first].tolist(), strict=True)):
+        names.setdefault(d, set()).update(model.items[p])
+    spans: list[list] = [[] for _ in range(n)]
+    begins = np.searchsorted(doc, np.arange(n))
+    for d, a, b, i, j in zip(doc[left].tolist(), start[left].tolist(), end[right].tolist(), left.tolist(), right.tolist(), strict=True):
+        spans[d].append({"first": i - int(begins[d]), "last": j + 1 - int(begins[d]), "start": a - int(c.at[d]), "end": b - int(c.at[d])})
+    return Found(np.bincount(doc, minlength=n), [sorted(names.get(d, ())) for d in range(n)], spans)
+
+
+def _scanned(shared):
+    """The key of each document, and what is found in it."""
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
-            n = len(c.ids)
-            h, start, end, doc = _hashed(c)
-            phrase, first, length = _occurrences(h, doc, model)
-            depth = np.zeros(len(h) + 1, np.int64)
-            np.add.at(depth, first, 1)
-            np.add.at(depth, first + length, -1)
-            hit = np.cumsum(depth)[:-1] > 0
-            edge = np.diff(np.concatenate([[0], (hit * (doc + 1)), [0]])) != 0
-            left = np.flatnonzero(edge[:-1] & hit)
-            right = np.flatnonzero(edge[1:] & hit)
-            names: dict[int, set] = {}
-            for p, d in set(zip(phrase.tolist(), doc[first].tolist(), strict=True)):
-                names.setdefault(d, set()).update(model.items[p])
-            spans: list[list] = [[] for _ in range(n)]
-            begins = np.searchsorted(doc, np.arange(n))
-            for d, a, b, i, j in zip(doc[left].tolist(), start[left].tolist(), end[right].tolist(), left.tolist(), right.tolist(), strict=True):
-                spans[d].append({"first": i - int(begins[d]), "last": j + 1 - int(begins[d]), "start": a - int(c.at[d]), "end": b - int(c.at[d])})
-            yield pa.RecordBatch.from_arrays(
-                [c.ids, pa.array(np.bincount(doc, minlength=n), pa.int64()), pa.array([sorted(names.get(d, ())) for d in range(n)], pa.list_(pa.string())), pa.array(spans, _SPANS)],
-                names=["_key", "n_words", "items", "spans"],
-            )
-
-    return scan
+            found = scan(c, shared.value)
+            yield pa.RecordBatch.from_arrays([c.ids, pa.array(found.n_words, pa.int64()), pa.array(found.items, pa.list_(pa.string())), pa.array(found.spans, _SPANS)], names=["_key", "n_words", "items", "spans"])
+
+    return scanned
+
+
+def _cleaned(shared, text: str):
+    """The columns of documents as they are, their texts without removal spans."""
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [s for c in chunks(iter([batch]), key=text, text=text) for s in scan(c, shared.value).spans]
+            yield _without(batch, text, spans)
+
+    return cleaned
+
+
+def _without(batch: pa.RecordBatch, text: str, spans: list[list[dict[str, int]]]) -> pa.RecordBatch:
+    """A batch whose texts lack spans; those that have none are not touched."""
+    if not any(spans):
+        return batch
+    texts = []
+    for value, own in zip(batch.column(text), spans, strict=True):
+        if own:
+            raw, parts, last = value.as_py().encode(), [], 0
+            for s in own:
+                parts.append(raw[last : s["start"]])
+                last = s["end"]
+            texts.append(b"".join([*parts, raw[last:]]).decode())
+        else:
+            texts.append(value.as_py())
+    return batch.set_column(batch.schema.get_field_index(text), text, pa.array(texts, pa.string()))
 
 
 _SPAN = "struct<first:long,last:long,start:long,end:long>"
@@ -216,6 +256,24 @@ def _blocks(benchmark: DataFrame, item: str, window: int) -> Iterator[Phrases]:
     yield phrases(rows, window)
 
 
+def _in_blocks(docs: DataFrame, blocks: Iterator[Phrases]) -> DataFrame:
+    """row, n_words, items and spans of each row of docs (doc_id: a number of its own, text), over all blocks.
+
+    One block after the other is broadcast, and what it finds is a table; the blocks meet by row.
+    """
+    context = docs.sparkSession.sparkContext
+    found = []
+    for block in blocks:
+        shared = context.broadcast(block)
+        more = docs.mapInArrow(_scanned(shared), f"_key long, n_words long, items array<string>, spans array<{_SPAN}>")
+        found.append(written(more if not found else more.where(F.size("spans") > 0)))
+        shared.unpersist()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out.groupBy(F.col("_key").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(_MERGED).alias("spans"))
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", window: int = WINDOW) -> DataFrame:
     """A row per document: key, n_words, items (names of items with occurring windows, sorted as strings), spans (first and, exclusively, last word, start and end byte of each removal span).
 
@@ -224,55 +282,51 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
     as they are. Where the benchmark is more than one block, rows are numbered in a table
     first, and what the blocks find meets by that number.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(F.col(key).alias("doc_id"), "text")
-
-    def scanned(rows: DataFrame, block: Phrases) -> DataFrame:
-        schema = f"_key {rows.schema['doc_id'].dataType.simpleString()}, n_words long, items array<string>, spans array<{_SPAN}>"
-        return rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block)), schema)
-
     blocks = _blocks(benchmark, item, window)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return scanned(source, first).withColumnRenamed("_key", key)
-    source = written(source.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("key")).alias("doc_id"), "text"))
-    out = scanned(source, first).select("_key.row", "_key.key", "n_words", "items", "spans")
-    numbered = source.select(F.col("doc_id.row").alias("doc_id"), "text")
-    for block in chain([second], blocks):
-        more = scanned(numbered, block).where(F.size("spans") > 0)
-        out = out.unionAll(more.select(F.col("_key").alias("row"), F.lit(None).cast(out.schema["key"].dataType).alias("key"), "n_words", "items", "spans"))
-    out = out.groupBy("row").agg(F.first("key", ignorenulls=True).alias("key"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return out.select(F.col("key").alias(key), "n_words", "items", F.expr(_MERGED).alias("spans"))
+        schema = f"_key {source.schema['doc_id'].dataType.simpleString()}, n_words long, items array<string>, spans array<{_SPAN}>"
+        return source.mapInArrow(_scanned(spark.sparkContext.broadcast(first)), schema).withColumnRenamed("_key", key)
+    numbered = written(source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    found = _in_blocks(numbered.select(F.col("row").alias("doc_id"), "text"), chain([first, second], blocks))
+    return numbered.select("row", F.col("doc_id").alias(key)).join(found, "row").drop("row")
 
 
 #: Spans of several blocks that overlap or touch, as one.
-_MERGED = f"""aggregate(spans, cast(array() as array<{_SPAN}>), (acc, x) -> IF(size(acc) > 0 AND x.first <= element_at(acc, -1).last,
+_MERGED = f"""aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<{_SPAN}>), (acc, x) -> IF(size(acc) > 0 AND x.first <= element_at(acc, -1).last,
   concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, x.last), 'start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))), concat(acc, array(x))))"""
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            if spans:
-                raw, parts, last = text.encode(), [], 0
-                for s in spans:
-                    parts.append(raw[last : s["start"]])
-                    last = s["end"]
-                text = b"".join([*parts, raw[last:]]).decode()
-            texts.append(text)
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["spans"])
+def _cut(text: str):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _without(batch, text, [s or [] for s in batch.column("_spans").to_pylist()]).drop_columns(["_spans"])
 
+    return cut
 
-def without_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs with their texts cut: what lies in a removal span is gone. Null texts stay null."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    found = find_passages(docs.select(row.alias("row"), "text"), benchmark, key="row", window=window)
-    cut = found.select("row.text", "spans", F.col("row")).mapInArrow(_cut, f"text string, row {found.schema['row'].dataType.simpleString()}")
-    return cut.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """The rows of docs with their texts cut: what lies in a removal span is gone. Null texts stay null, other columns as they are."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows, text = docs.toDF(*names), names[docs.columns.index("text")]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    blocks = _blocks(benchmark, item, window)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return rows.mapInArrow(_cleaned(spark.sparkContext.broadcast(first), text), schema).toDF(*docs.columns)
+    numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()))
+    found = _in_blocks(numbered.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), chain([first, second], blocks))
+    spans = found.where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    return numbered.join(spans, "_row", "left").select(*names, "_spans").mapInArrow(_cut(text), schema).toDF(*docs.columns)
 
 
 def op10_decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What find_passages finds in each document, which also says how odd input counts, in digest form."""
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"]), F.lit(0))
     return find_passages(documents, benchmark).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans"
