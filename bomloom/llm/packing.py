@@ -24,7 +24,8 @@ from ._tables import shuffle_files_end_with_each_job, written
 
 CAPACITY = 2048
 END = 0
-_CACHE = 400_000
+#: Parts of texts whose ids a worker keeps.
+_CACHE = 150_000
 #: Letters and marks up to here split alike in both tokenizer libraries; texts with others go to the first.
 _BEYOND = re.compile("[^\x00-ɏ]")
 _encoders: dict[str, Encoder] = {}
@@ -83,14 +84,33 @@ def _encoder(tokenizer: str, ranks: str | None) -> Encoder:
     return _encoders[tokenizer]
 
 
+class _Numbers:
+    """The number of each piece among the task's pieces of its length."""
+
+    def __init__(self, capacity: int):
+        self.seen = np.zeros(capacity + 1, np.int64)
+
+    def __call__(self, length: np.ndarray) -> np.ndarray:
+        order = np.argsort(length, kind="stable")
+        value, at, count = np.unique(length[order], return_index=True, return_counts=True)
+        own = np.empty(len(length), np.int64)
+        own[order] = np.arange(len(length)) - np.repeat(at, count) + np.repeat(self.seen[value], count)
+        self.seen[value] += count
+        return own
+
+
 def _cut(tokenizer: str, ranks: str | None, capacity: int):
+    """The pieces of each text, with their numbers within the task and the task's."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, ranks)
+        from pyspark import TaskContext
+
+        encode, numbers, task = _encoder(tokenizer, ranks), _Numbers(capacity), TaskContext.get().partitionId()
         tail = np.array([END], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = (encode(text) if text else b"") + tail
+            for i, text in enumerate(batch.column("text")):
+                ids = (encode(text.as_py()) if text.is_valid else b"") + tail
                 n = len(ids) // 4
                 a, b, k = 0, (n - 1) % capacity + 1, 0
                 while a < n:
@@ -100,8 +120,9 @@ def _cut(tokenizer: str, ranks: str | None, capacity: int):
                     length.append(b - a)
                     crc.append(zlib.crc32(ids[4 * a : 4 * b]))
                     a, b, k = b, b + capacity, k + 1
-            out = [batch.column("_key").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(out, names=["_key", "piece", "start", "length", "ids_crc32"])
+            own = numbers(np.array(length, np.int64))
+            out = [batch.column("_key").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, np.full(len(own), task), own))]
+            yield pa.RecordBatch.from_arrays(out, names=["_key", "piece", "start", "length", "ids_crc32", "task", "own"])
 
     return cut
 
@@ -173,24 +194,6 @@ def _placed(shared, capacity: int):
     return place
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each piece's number among the task's pieces of its length, and the task's number."""
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    seen: np.ndarray | None = None
-    for batch in batches:
-        length = batch.column("length").to_numpy()
-        order = np.argsort(length, kind="stable")
-        value, at, count = np.unique(length[order], return_index=True, return_counts=True)
-        if seen is None or value.size and value.max() >= len(seen):
-            seen = np.concatenate([seen if seen is not None else np.zeros(0, np.int64), np.zeros(int(value.max(initial=0)) + 1, np.int64)])
-        own = np.empty(len(length), np.int64)
-        own[order] = np.arange(len(length)) - np.repeat(at, count) + np.repeat(seen[value], count)
-        seen[value] += count
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), task, np.int64)), pa.array(own)], names=[*batch.schema.names, "task", "own"])
-
-
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -203,8 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, key: str = "
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_key {kind}, piece int, start long, length long, ids_crc32 long"
     with shuffle_files_end_with_each_job(spark):
-        pieces = docs.select(F.col(key).alias("_key"), "text").mapInArrow(_cut(tokenizer, ranks, capacity), schema)
-        pieces = written(pieces.mapInArrow(_numbered, f"{schema}, task long, own long"))
+        pieces = written(docs.select(F.col(key).alias("_key"), "text").mapInArrow(_cut(tokenizer, ranks, capacity), f"{schema}, task long, own long"))
         counted = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
         from pyspark.sql import Window
 
@@ -219,6 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, key: str = "
 
 
 def op8_best_fit_packing(documents: DataFrame) -> DataFrame:
+    """The pieces of all documents and their places, by pack(), which says how odd input counts; ids are those of a public byte-level vocabulary."""
     import public_tokenizers
 
     return pack(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
