@@ -7,7 +7,8 @@ one or six. Words at most 2 bits apart have such a codeword in common: the one t
 nearest to a word between them. So the codeword indices of two segments are keys that
 near fingerprints share. Fingerprints of equal keys are compared, and linked where they
 are near; within a key only a spanning forest of the links is kept, which has the same
-components.
+components. A key of very many fingerprints is divided: near ones agree in at least one of
+five parts of the third segment, so each part with the key is a key of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import SPACED, Chunk, bounded_batches, chunks, lower, words
+from ._arrow import SPACED, Chunk, bounded_batches, chunks, lower, mix, words
 from ._components import components
 from ._tables import shuffle_files_end_with_each_job, written
 
@@ -30,6 +31,8 @@ SHINGLE, SEED, BITS = 4, 42, 4
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _GENERATOR, _CHECKS, _LENGTH = 0xC75, 11, 23
 _SMALL_GROUP = 16
+#: Fingerprints of one key beyond which it is divided, and fingerprints to a bucket of keys, about.
+MAX_GROUP, _PRINTS_A_BUCKET = 4_096, 16_000
 
 
 @cache
@@ -154,27 +157,79 @@ def linked(key: np.ndarray, prints: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.uint64)
 
 
-def _joined(table: pa.Table) -> pa.Table:
-    key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int32)
-    prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64)
-    edges = linked(key, prints).view(np.int64)
-    return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+def parts_of_key(key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key with a part of the third segment, number of the fingerprint): fingerprints of a key that differ in BITS bits at most share one."""
+    out, who = [], []
+    for pair in range(3):
+        rows = np.flatnonzero(key >> 24 == pair)
+        at, n = _SEGMENTS[(2, 1, 0)[pair]]
+        third = prints[rows] >> np.uint64(at) & np.uint64((1 << n) - 1)
+        cuts = [n * i // (BITS + 1) for i in range(BITS + 2)]
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            value = (third >> np.uint64(a) & np.uint64((1 << b - a) - 1)).astype(np.int64)
+            out.append((key[rows].astype(np.int64) << 9) | i << 6 | value)
+            who.append(rows)
+    return np.concatenate(out), np.concatenate(who)
 
 
-def links(prints: DataFrame) -> DataFrame:
+def _divided(buckets: int):
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch.column("a").to_numpy().view(np.uint64)
+            key, who = parts_of_key(batch.column("key").to_numpy(), prints)
+            bucket = (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key), pa.array(prints[who].view(np.int64))], names=["bucket", "key", "a"])
+
+    return divide
+
+
+_LINKS = "key long, a long, b long"
+
+
+def _linked(key: np.ndarray, prints: np.ndarray, limit: int | None) -> pa.Table:
+    """Edges (a, b) of a bucket; of a key with more than limit fingerprints they come back as they are (key, a) instead."""
+    large = np.zeros(len(key), bool)
+    if limit is not None and len(key):
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        large = count[inverse] > limit
+    edges = linked(key[~large], prints[~large]).view(np.int64)
+    left = int(large.sum())
+    return pa.table(
+        {
+            "key": pa.array(np.concatenate([np.zeros(len(edges), np.int64), key[large].astype(np.int64)]), mask=np.arange(len(edges) + left) < len(edges)),
+            "a": pa.array(np.concatenate([edges[:, 0], prints[large].view(np.int64)])),
+            "b": pa.array(np.concatenate([edges[:, 1], np.zeros(left, np.int64)])),
+        }
+    )
+
+
+def _joined(limit: int):
+    def joined(table: pa.Table) -> pa.Table:
+        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int32)
+        return _linked(key, np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64), limit)
+
+    return joined
+
+
+def _joined_parts(table: pa.Table) -> pa.Table:
+    return _linked(table.column("key").to_numpy(), table.column("a").to_numpy().view(np.uint64), None)
+
+
+def links(prints: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """Edges (a, b) with the components of all links between distinct fingerprints (column print, long)."""
-    spark = prints.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, prints.count() // _PRINTS_A_BUCKET)
     dealt = prints.select("print").mapInArrow(_dealt(buckets), "bucket long, keys binary, prints binary")
-    return dealt.groupBy("bucket").applyInArrow(_joined, "a long, b long").distinct()
-
+    found = written(dealt.groupBy("bucket").applyInArrow(_joined(max_group), _LINKS))
+    edges, large = found.where("key IS NULL").select("a", "b"), found.where("key IS NOT NULL")
+    if n := large.count():
+        parts = large.mapInArrow(_divided(max(least, 4 * n // max_group)), "bucket long, key long, a long")
+        edges = edges.unionAll(parts.groupBy("bucket").applyInArrow(_joined_parts, _LINKS).select("a", "b"))
+    return edges.distinct()
 
-def group(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, print (the fingerprint as a long) and component_id: the least key that links reach from the document.
 
-    A null or empty text has the fingerprint 0, which links like any other. Repeated rows
-    stay as they are. A null key is no component's name unless it has no other.
-    """
+def _grouped(docs: DataFrame, key: str) -> DataFrame:
+    """key, print, root (a fingerprint that names the component) and component_id."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     with shuffle_files_end_with_each_job(docs.sparkSession):
@@ -183,29 +238,50 @@ def group(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         roots = components(links(distinct))
         named = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
         least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-        by_print = written(named.join(least, "root").select("print", "component_id"))
-    return printed.join(by_print, "print").select(F.col("_key").alias(key), "print", "component_id")
+        by_print = written(named.join(least, "root").select("print", "root", "component_id"))
+    return printed.join(by_print, "print").select(F.col("_key").alias(key), "print", "root", "component_id")
+
+
+def group(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, print (the fingerprint as a long) and component_id: the least key that links reach from the document.
+
+    A null or empty text has the fingerprint 0, which links like any other. Repeated rows
+    stay as they are. A null key is no component's name unless it has no other. An empty
+    table gives an empty one.
+    """
+    return _grouped(docs, key).drop("root")
+
+
+def _with_print(text: str):
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprints(c) for c in chunks(iter([batch]), key=text, text=text)]
+            prints = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield batch.append_column("_print", pa.array(prints))
+
+    return printed
 
 
 def first_of_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is their component's name: one of each group of near-duplicates.
+    """One row of docs for each group of near-duplicates: of its rows of the least key, one of the least fingerprint.
 
-    Of rows that repeat that key one stays, as does one of a group whose keys are all null.
+    Of rows that repeat key and fingerprint one stays. Null keys come after all others.
     """
-    grouped = written(group(docs, key))
-    stay = grouped.where(F.col(key) == F.col("component_id")).select(key)
-    repeated = not stay.groupBy(key).count().where("count > 1").isEmpty()
-    named = docs.join(stay.distinct().hint("shuffle_hash"), key, "left_semi")
-    nameless = grouped.where(F.col("component_id").isNull()).select("print").distinct()
-    out = named.dropDuplicates([key]) if repeated else named
-    if nameless.isEmpty():
-        return out
-    rest = docs.where(F.col(key).isNull())
-    marked = rest.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), "text")
-    kind = marked.schema["doc_id"].dataType.simpleString()
-    roots = marked.mapInArrow(_printed, f"_key {kind}, print long").join(nameless, "print", "left_semi").dropDuplicates(["print"])
-    return out.unionByName(roots.select("_key.*"))
+    grouped = written(_grouped(docs, key))
+    stay = grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("_key"), F.min("print").alias("_print"))
+    stay = written(stay.select("_key", "_print"))
+    repeated = grouped.groupBy(key).count().where("count > 1")
+    if repeated.isEmpty() and stay.where("_key IS NULL").isEmpty():
+        named = stay.select(F.col("_key").alias(key)).hint("shuffle_hash")
+        return docs.join(named, key, "left_semi")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows, own = docs.toDF(*names), names[docs.columns.index(key)]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    rows = rows.mapInArrow(_with_print(names[docs.columns.index("text")]), f"{schema}, _print long")
+    first = rows.join(stay.withColumnRenamed("_print", "_p"), rows[own].eqNullSafe(F.col("_key")) & (rows["_print"] == F.col("_p")), "left_semi")
+    return first.dropDuplicates([own, "_print"]).select(*names).toDF(*docs.columns)
 
 
 def op4_simhash_dedup(documents: DataFrame) -> DataFrame:
+    """The fingerprint and component of each document, by group(), which says how odd input counts."""
     return group(documents).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

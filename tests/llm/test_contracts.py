@@ -66,6 +66,13 @@ def test_simhash(case):
     assert sorted(stay) == sorted(set(named.values()))
 
 
+def test_one_row_of_each_group_with_repeated_keys(spark):
+    one, two = "a first text of some words that say one thing", "and another which has nothing in common with it at all"
+    rows = [(7, one), (7, two), (3, one), (9, two), (None, one), (None, "x y z"), (None, "x y z"), (5, one)]
+    kept = [tuple(r) for r in simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(3, one), (7, two), (None, "x y z")], key=str)
+
+
 @BOTH
 def test_quality(case):
     table, rows = case

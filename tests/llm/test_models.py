@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from brute import components
 from conftest import SF, SF_LARGE, SF_MORE
 
 from bomloom.llm import decontam, html, langid, lm, packing, simhash, suffix_index, toxicity
@@ -124,6 +125,33 @@ def test_golay_keys_meet():
         assert set(key[who == 0]) & set(key[who == 1])
 
 
+def test_large_keys_are_divided(spark):
+    """Chains of fingerprints that mostly share keys have the components of brute force, divided or not."""
+    rng = np.random.default_rng(12)
+    prints = {0}
+    for base in rng.integers(0, 1 << 60, 12).tolist():
+        for _ in range(60):
+            for bit in rng.choice(64, int(rng.integers(0, 6)), replace=False).tolist():
+                base ^= 1 << bit
+            prints.add(base)
+    want = components({p: p for p in prints})
+    signed = np.array(sorted(prints), np.uint64).view(np.int64).tolist()
+    table = spark.createDataFrame([(p,) for p in signed], "print long")
+    for limit in (4096, 2):
+        edges = simhash.links(table, limit).collect()
+        own = {p: p for p in prints}
+
+        def find(p):
+            while own[p] != p:
+                p = own[p]
+            return p
+
+        for e in edges:
+            a, b = find(e.a % 2**64), find(e.b % 2**64)
+            own[max(a, b)] = min(a, b)
+        assert {p: find(p) for p in prints} == want
+
+
 def test_fm_index():
     rng = np.random.default_rng(4)
     s = np.append(rng.integers(0, 5, 300), 0)
