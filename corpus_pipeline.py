@@ -28,16 +28,19 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*rest).alias("rest"))
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs, with n_chars that is the text's, if there is such a column."""
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def _wide(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of docs again; n_chars is the text's."""
-    columns = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {}
-    return found.select(*(columns.get(c) if c in columns else F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    """The columns of docs again."""
+    return _counted(found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    whole = F.struct("doc_id", "text", "rest")
-    judged = rules.judge(rules.measure(_narrow(docs).select(whole.alias("row"), "text"), key="row"))
-    return _wide(judged.where("kept").select("row.*"), docs)
+    """The documents that the latest policy keeps; null and empty texts have too few words."""
+    return rules.kept_rows(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,16 +49,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group."""
+    """The document of the smallest id of each group; of repeated ids or null ones, one row."""
     return simhash.first_of_groups(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without benchmark passages; null texts stay null."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _wide(decontam.without_passages(_narrow(docs), benchmark), docs)
+    return _counted(decontam.without_passages(docs, benchmark))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places; a null or empty text is one piece, its end."""
     return packing.op8_best_fit_packing(docs)
 
 
