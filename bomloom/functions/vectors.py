@@ -32,8 +32,9 @@ def l2sq_distance(a: Column, b: Column) -> Column:
 
 def embed_text(text: Column, provider: Column | None = None) -> Column:
     """384 floats that depend on the text alone; zeros for an empty text. A stand-in for models, which this library has none of."""
-    h = F.pmod(portable_hash(text), F.lit(1000))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(383)), lambda i: (F.pmod(h + i, F.lit(1000)) / 1000.0 - 0.5).cast("float"))
+    # A stretch of one constant array, which repeats after a thousand values: no lambda runs for each element.
+    period = F.lit([i % 1000 / 1000.0 - 0.5 for i in range(1000 + 384)]).cast("array<float>")
+    vector = F.slice(period, (F.pmod(portable_hash(text), F.lit(1000)) + 1).cast("int"), 384)
     zeros = F.array_repeat(F.lit(0.0).cast("float"), 384)
     given = text.isNotNull() if provider is None else text.isNotNull() & provider.isNotNull()
     return F.when(given, F.when(text == "", zeros).otherwise(vector))

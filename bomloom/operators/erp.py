@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from bomloom.sources import schemas
+from bomloom.sources.inputs import default
 
 
 def _compact_date(c: str | Column) -> Column:
@@ -31,46 +35,57 @@ def extract_material_descriptions(makt: DataFrame, language: str = "EN") -> Data
     return out.select("material_id", F.concat_ws(" ", "maktx", "maktg").alias("full_text"))
 
 
-def _header_date(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string").try_cast("date"), _compact_date(F.col(c).cast("string")))
+def _either_date(c: str | Column) -> Column:
+    """A date written as 20240101 or as 2024-01-01; anything else is null."""
+    text = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.coalesce(_compact_date(text), text.try_cast("date"))
+
+
+def sap_to_bom_items(mast: DataFrame, stko: DataFrame, stpo: DataFrame, bom_alternative: str | None = "01", reference_date: str | None = "9999-12-31", bom_usage: str | None = None) -> DataFrame:
+    """The components of the newest header, at a date, of each material's bills under an alternative.
 
+    A missing alternative or date means its default. The date may be compact or ISO; to
+    one that is neither no dated header is due. bom_usage is accepted and has no effect.
+    """
+    due = _either_date("datuv") <= _either_date(F.lit(default(reference_date, "9999-12-31")))
+    newest = Window.partitionBy("parent_id", "bom_id", "bom_version").orderBy(F.col("datuv").desc_nulls_first())
+    heads = stko.where(F.col("datuv").isNull() | due).select(F.col("stlnr").alias("bom_id"), F.col("stlal").alias("bom_version"), "datuv")
+    heads = heads.where(F.col("bom_version") == default(bom_alternative, "01")).join(mast.select(F.trim("matnr").alias("parent_id"), F.col("stlnr").alias("bom_id")), "bom_id")
+    heads = heads.withColumn("rn", F.row_number().over(newest)).where("rn = 1")
+    lines = stpo.select(F.col("stlnr").alias("bom_id"), F.trim("idnrk").alias("child_id"), F.col("menge").alias("qty"), F.col("meins").alias("unit"))
+    return heads.join(lines, "bom_id").select("bom_id", "parent_id", "child_id", "qty", "unit", _either_date("datuv").alias("valid_from"), F.lit("9999-12-31").cast("date").alias("valid_to"), "bom_version")
 
-def sap_to_bom_items(mast: DataFrame, stko: DataFrame, stpo: DataFrame, bom_alternative: str = "01", reference_date: str = "9999-12-31") -> DataFrame:
-    """The components of each material's newest header of an alternative at a date."""
-    newest = Window.partitionBy("material", "stlnr", "stlal").orderBy(F.col("datuv").desc_nulls_last())
-    heads = mast.select(F.trim("matnr").alias("material"), "stlnr").join(stko.select("stlnr", "stlal", "datuv"), "stlnr")
-    heads = heads.where(F.col("datuv").isNull() | (_header_date("datuv") <= F.lit(reference_date).cast("date"))).withColumn("rn", F.row_number().over(newest)).where(F.col("rn") == 1).where(F.col("stlal") == bom_alternative)
-    lines = stpo.select("stlnr", "stlkn", F.trim("idnrk").alias("child_id"), F.col("menge").cast("double").alias("qty"), F.col("meins").alias("unit"))
-    return heads.join(lines, "stlnr").select(
-        F.concat_ws("_", "stlnr", "stlal", "stlkn").alias("bom_id"), F.col("material").alias("parent_id"), "child_id", "qty", "unit", _header_date("datuv").alias("valid_from"), F.lit("9999-12-31").cast("date").alias("valid_to"), F.col("stlal").alias("bom_version")
-    )
+
+def _table(df: DataFrame, schema: StructType, **values: Column) -> DataFrame:
+    """Columns of a schema: the given ones as they are, null ones of its types for the rest, and the time of creation."""
+    now = {"created_at": F.current_timestamp()}
+    return df.select(*((now | values).get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in schema))
 
 
 def dynamics365_to_materials(invent: DataFrame) -> DataFrame:
     kind = F.col("ItemType")
-    return invent.select(
-        F.col("ItemId").alias("material_id"), F.col("ItemName").alias("material_name"), F.col("ItemName").alias("description"),
-        F.when(kind == 0, "ASSEMBLY").when(kind == 1, "FINISHED").when(kind == 2, "COMPONENT").otherwise("OTHER").alias("material_type"),
-        F.lit(None).cast("string").alias("material_group"), F.lit("EA").alias("base_unit"), F.lit(None).cast("decimal(12,4)").alias("weight"), F.lit(None).cast("decimal(12,4)").alias("cost"),
-        F.lit("DYNAMICS365").alias("source_system"), F.col("ItemId").alias("source_id"), F.lit(True).alias("is_active"), F.current_timestamp().alias("created_at"),
+    return _table(
+        invent, schemas.MATERIALS, material_id=F.col("ItemId"), material_number=F.col("ItemId"), description=F.col("ItemName"),
+        material_type=F.when(kind == 0, "ASSEMBLY").when(kind == 1, "FINISHED").when(kind == 2, "COMPONENT").otherwise("OTHER"),
+        base_uom=F.lit("EA"), source_system=F.lit("DYNAMICS365"), is_active=F.lit(True),
     )
 
 
 def dynamics365_to_bom_header(bom_table: DataFrame, bom_version: DataFrame) -> DataFrame:
-    v = bom_version.select("BOMId", "VersionId", "ActivationDate", "ApprovedStatus")
-    return bom_table.where("Status = 0").select("BOMId", "ItemId").join(v, "BOMId", "left").select(
-        F.col("BOMId").alias("bom_id"), F.col("ItemId").alias("parent_material_id"), F.lit("PRODUCTION").alias("bom_usage"), F.col("VersionId").cast("string").alias("bom_version"), F.lit(None).cast("string").alias("alternative"),
-        F.lit(None).cast("string").alias("plant"), F.lit(1).cast("decimal(18,6)").alias("base_quantity"), F.lit("EA").alias("base_unit"), F.col("ActivationDate").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
-        F.coalesce(F.col("ApprovedStatus") == 1, F.lit(False)).alias("is_approved"), F.lit(True).alias("is_active"), F.lit("DYNAMICS365").alias("source_system"), F.current_timestamp().alias("created_at"),
+    """Headers in use, once for each of their versions; without one, with nulls for it."""
+    versions = bom_version.select("BOMId", "VersionId", "ActivationDate", "ApprovedStatus")
+    return _table(
+        bom_table.where("Status = 0").select("BOMId", "ItemId").join(versions, "BOMId", "left"), schemas.BOM_HEADER,
+        bom_id=F.col("BOMId"), source_system=F.lit("DYNAMICS365"), source_bom_id=F.col("BOMId"), parent_material_id=F.col("ItemId"), bom_type=F.lit("MANUFACTURING"), alternative_number=F.lit("01"), revision=F.col("VersionId"),
+        base_quantity=F.lit(1), base_uom=F.lit("EA"), valid_from=F.col("ActivationDate").cast("date"), is_approved=F.coalesce(F.col("ApprovedStatus") == 1, F.lit(False)),
     )
 
 
 def dynamics365_to_bom_component(bom_lines: DataFrame) -> DataFrame:
-    return bom_lines.select(
-        F.concat_ws("_", F.lit("COMP"), "BOMId", F.col("LineNum").cast("string")).alias("component_id"), F.col("BOMId").alias("bom_id"), F.col("ItemId").alias("child_material_id"), F.col("LineNum").cast("int").alias("item_number"),
-        F.col("Quantity").cast("decimal(18,6)").alias("quantity_per"), F.lit("EA").alias("unit"), F.coalesce(F.col("ScrapPercent"), F.lit(0)).cast("decimal(8,4)").alias("scrap_percent"), F.col("LineNum").cast("int").alias("operation_sequence"),
-        F.lit("STOCK").alias("supply_type"), F.lit("PUSH").alias("flushing_principle"), F.lit(False).alias("is_phantom"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
-        F.lit(None).cast("string").alias("reference_designator"), F.lit("DYNAMICS365").alias("source_system"), F.current_timestamp().alias("created_at"),
+    return _table(
+        bom_lines, schemas.BOM_COMPONENT, component_id=F.concat(F.lit("COMP_"), "BOMId", F.lit("_"), F.col("LineNum").cast("string")), bom_id=F.col("BOMId"), line_number=F.col("LineNum"), child_material_id=F.col("ItemId"),
+        quantity_per=F.col("Quantity"), quantity_uom=F.lit("EA"), is_fixed_quantity=F.lit(False), scrap_percent=F.coalesce(F.col("ScrapPercent"), F.lit(0)), component_type=F.lit("STOCK"), supply_type=F.lit("PUSH"),
+        operation_sequence=F.col("LineNum"), is_alternative=F.lit(False),
     )
 
 
@@ -81,25 +96,35 @@ def bom_to_items(header: DataFrame, component: DataFrame) -> DataFrame:
 
 def items_to_tables(items: DataFrame, source_system: str = "MIGRATED") -> dict[str, DataFrame]:
     """Typed materials, bom_header and bom_component of an edge list."""
-    ids = items.select(F.explode(F.array("parent_id", "child_id")).alias("material_id")).dropna().distinct()
+    ids = items.select(F.explode(F.array("parent_id", "child_id")).alias("id")).distinct()
     numbered = items.withColumn("rn", F.row_number().over(Window.partitionBy("parent_id").orderBy(F.asc_nulls_last("child_id"))))
-    bom_id = F.concat(F.lit("BOM_"), "parent_id").alias("bom_id")
+    bom_id, system = F.concat(F.lit("BOM_"), "parent_id"), F.lit(source_system)
     return {
-        "materials": ids.withColumn("source_system", F.lit(source_system)),
-        "bom_header": items.select(bom_id, F.col("parent_id").alias("parent_material_id"), F.lit("2024-01-01").cast("date").alias("valid_from"), F.lit(True).alias("is_approved")).distinct(),
-        "bom_component": numbered.select(
-            F.concat(F.lit("COMP_"), "parent_id", F.lit("_"), F.col("rn").cast("string")).alias("component_id"), bom_id, F.col("child_id").alias("child_material_id"), F.col("rn").alias("item_number"), F.coalesce(F.col("quantity"), F.lit(1)).alias("quantity_per")
+        "materials": _table(ids, schemas.MATERIALS, material_id=F.col("id"), material_number=F.col("id"), description=F.lit(""), base_uom=F.lit("EA"), source_system=system, is_active=F.lit(True)),
+        "bom_header": _table(
+            items.select("parent_id").distinct(), schemas.BOM_HEADER, bom_id=bom_id, source_system=system, source_bom_id=F.col("parent_id"), parent_material_id=F.col("parent_id"), bom_type=F.lit("MANUFACTURING"),
+            alternative_number=F.lit("01"), revision=F.lit("MIGRATED"), base_quantity=F.lit(1), base_uom=F.lit("EA"), valid_from=F.lit("2024-01-01").cast("date"), is_approved=F.lit(True),
+        ),
+        "bom_component": _table(
+            numbered, schemas.BOM_COMPONENT, component_id=F.concat(F.lit("COMP_"), "parent_id", F.lit("_"), F.col("rn").cast("string")), bom_id=bom_id, line_number=F.col("rn"), child_material_id=F.col("child_id"),
+            quantity_per=F.coalesce("quantity", F.lit(1)), quantity_uom=F.lit("EA"), is_fixed_quantity=F.lit(False), scrap_percent=F.lit(0), component_type=F.lit("STOCK"), supply_type=F.lit("PUSH"), is_alternative=F.lit(False),
         ),
-    }
+    }
 
 
 def items_to_bom(items: DataFrame, source_system: str = "MIGRATED") -> DataFrame:
-    """The three tables as one of strings: table_type, then key, references and values, by place."""
+    """The three tables as one of strings: table_type, then their columns by place, under the names of the materials' and col13 to col16.
+
+    A header has no column for its system here: what follows stands one place further to the left.
+    """
     parts = items_to_tables(items, source_system)
+    parts["bom_header"] = parts["bom_header"].drop("source_system")
+    width = len(schemas.BOM_COMPONENT)
+    names = [f.name for f in schemas.MATERIALS]
+    names += [f"col{i}" for i in range(len(names) + 1, width + 1)]
     out = None
-    width = max(len(df.columns) for df in parts.values())
-    for name, df in parts.items():
+    for kind, df in parts.items():
         cells = [F.col(c).cast("string") for c in df.columns] + [F.lit(None).cast("string")] * (width - len(df.columns))
-        row = df.select(F.lit(name).alias("table_type"), *(c.alias(f"col{i + 1}") for i, c in enumerate(cells)))
-        out = row if out is None else out.unionAll(row)
+        rows = df.select(F.lit(kind).alias("table_type"), *(c.alias(n) for c, n in zip(cells, names, strict=True)))
+        out = rows if out is None else out.unionAll(rows)
     return out

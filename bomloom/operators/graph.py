@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomloom.operators.search import Queries, best, fill, query_ids
-from bomloom.sources.inputs import cut_lineage, default, relation, required
+from bomloom.sources.inputs import default, relation, required
+from bomloom.sources.tables import written
 
 MAX_LEVELS, MAX_DEPTH = 5, 64
 
@@ -58,7 +59,7 @@ def find_similar_materials_wl_kernel(spark: SparkSession, queries: Queries, k: i
     """query_id, material_id, similarity: for each query the k most similar; to an unknown query every material is 0."""
     k, least = required(k, "k"), default(min_similarity, 0.0)
     ids = query_ids(spark, queries)
-    prints = fingerprints(relation(spark, default(bom_table, "bom_items"), ["parent_id", "child_id"], "bom_table"), iterations)
+    prints = written(fingerprints(relation(spark, default(bom_table, "bom_items"), ["parent_id", "child_id"], "bom_table"), iterations))
     totals = prints.groupBy("material_id").agg(F.sum("occurrence").alias("total"))
     own = prints.join(ids, prints["material_id"] == ids["query_id"]).select("query_id", "component", F.col("occurrence").alias("own"))
     common = own.join(prints, "component").where("material_id <> query_id").groupBy("query_id", "material_id").agg(F.sum(F.least("own", "occurrence")).alias("common"))
@@ -89,16 +90,16 @@ def reached(links: DataFrame, root: str, max_depth: int | None, otherwise: int)
     and diamonds end. The root is reached only over a cycle.
     """
     depth = min(default(max_depth, otherwise), MAX_DEPTH)
-    links = links.select("a", "b").dropna().distinct()
     spark = links.sparkSession
+    links = written(links.select("a", "b").dropna().distinct())
     front = spark.createDataFrame([(root,)], "node string")
     met = spark.createDataFrame([], "node string, depth int")
     for step in range(1, depth + 1):
-        new = front.join(links, front["node"] == links["a"]).select(F.col("b").alias("node")).distinct().join(met, "node", "left_anti")
-        new = cut_lineage(new.select("node"))
-        if new.isEmpty():
+        new = links.join(front, links["a"] == front["node"], "left_semi").select(F.col("b").alias("node")).distinct().join(met, "node", "left_anti")
+        front = written(new)
+        if front.isEmpty():
             break
-        met, front = met.unionAll(new.withColumn("depth", F.lit(step))), new
+        met = met.unionAll(front.withColumn("depth", F.lit(step)))
     return met
 
 
@@ -106,12 +107,12 @@ def bom_explosion_multilevel(material: str, header: DataFrame, component: DataFr
     """The distinct edges that a walk of at most max_depth steps from the material uses."""
     whole = bom_edges(header, component)
     depth = min(default(max_depth, 10), MAX_DEPTH)
-    spark = whole.sparkSession
     if depth < 1:
         return whole.limit(0)
+    spark, whole = whole.sparkSession, written(whole.distinct())
     below = reached(whole.select(F.col("parent_material_id").alias("a"), F.col("child_material_id").alias("b")), material, depth - 1, 10).select("node")
     start = below.unionAll(spark.createDataFrame([(material,)], "node string")).distinct()
-    return whole.join(start, whole["parent_material_id"] == start["node"], "left_semi").distinct()
+    return whole.join(start, whole["parent_material_id"] == start["node"], "left_semi")
 
 
 def bom_dfs_neighborhood(bom: DataFrame, root: str, max_depth: int | None = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomloom.functions import sets, vectors
-from bomloom.operators import compare, embeddings, erp, graph, metrics, search, statistics
+from bomloom.operators import compare, embeddings, erp, explosion, graph, metrics, search, statistics
 from bomloom.operators import movements as moves
 from bomloom.plans import inputs as tables
 from bomloom.plans.inputs import baskets, dag, makt, movements, suppliers, with_sql
@@ -60,20 +60,28 @@ def all_pairs_jaccard_from_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.all_pairs_jaccard(spark, suppliers(spark, sf_dir), 0.16)
 
 
-_BEST = " SELECT a AS query_id, b AS material_id, similarity, shared AS shared_components, total AS total_components FROM j WHERE similarity >= {least} QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= {k}"
+#: Materials that share nothing with a query are 0 to it.
+_FILLED = ", g AS (SELECT q.parent_id AS a, m.parent_id AS b, coalesce(shared, 0) AS shared, coalesce(total, q.n + m.n) AS total, coalesce(similarity, 0.0) AS similarity FROM n q JOIN n m ON m.parent_id <> q.parent_id LEFT JOIN j ON j.a = q.parent_id AND j.b = m.parent_id WHERE {q})"
+_BEST = " SELECT a AS query_id, b AS material_id, similarity, shared AS shared_components, total AS total_components FROM g WHERE similarity >= {least} QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= {k}"
 
 
-@query(with_sql(_pairs("baskets", "a.parent_id = 'C1' AND b.parent_id <> 'C1'") + _BEST.format(least=0, k=10), "baskets"))
+def _best(name: str, queries: str, least: float, k: int) -> str:
+    """SQL for the best k of each query; queries: a condition on q.parent_id."""
+    return with_sql(_pairs(name, f"{queries.replace('q.', 'a.')} AND b.parent_id <> a.parent_id") + _FILLED.format(q=queries) + _BEST.format(least=least, k=k), name)
+
+
+
+@query(_best("baskets", "q.parent_id = 'C1'", 0, 10))
 def find_similar_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_similar_materials_jaccard(spark, "C1", 10, bom_table=baskets(spark, sf_dir))
 
 
-@query(with_sql(_pairs("baskets", "a.parent_id IN ('C1', 'C2') AND b.parent_id <> a.parent_id") + _BEST.format(least=0.02, k=5), "baskets"))
+@query(_best("baskets", "q.parent_id IN ('C1', 'C2')", 0.02, 5))
 def find_similar_jaccard_min_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_similar_materials_jaccard(spark, ["C1", "C2", "nobody"], 5, 0.02, baskets(spark, sf_dir))
 
 
-@query(with_sql(_pairs("suppliers", "a.parent_id <> b.parent_id") + _BEST.format(least=0, k=3), "suppliers"))
+@query(_best("suppliers", "true", 0, 3))
 def find_similar_jaccard_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     bom = suppliers(spark, sf_dir)
     return search.find_similar_materials_jaccard(spark, bom.select("parent_id"), 3, bom_table=bom)
@@ -91,7 +99,12 @@ def find_similar_jaccard_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HISTORY = "h AS (SELECT material_id, min(movement_date) AS first_usage, max(movement_date) AS last_usage, (year(max(movement_date)) - year(min(movement_date))) * 12 + month(max(movement_date)) - month(min(movement_date)) AS history_months FROM movements GROUP BY 1)"
 
 
-@query(with_sql(_pairs("suppliers", "a.parent_id = 'S1' AND b.parent_id <> 'S1'") + f", {_HISTORY} SELECT a AS query_id, b AS material_id, similarity, shared AS shared_components, total AS total_components, history_months, first_usage, last_usage FROM j JOIN h ON h.material_id = b WHERE history_months >= 12 ORDER BY similarity DESC, b LIMIT 10", "suppliers", "movements"))
+def _analogs(queries: str) -> str:
+    chosen = " SELECT a AS query_id, b AS material_id, similarity, shared AS shared_components, total AS total_components, history_months, first_usage, last_usage FROM g JOIN h ON h.material_id = b WHERE history_months >= 12 QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 10"
+    return with_sql(_pairs("suppliers", f"{queries.replace('q.', 'a.')} AND b.parent_id <> a.parent_id") + f", {_HISTORY}" + _FILLED.format(q=queries) + chosen, "suppliers", "movements")
+
+
+@query(_analogs("q.parent_id = 'S1'"))
 def cold_start_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.cold_start_analogs(spark, "S1", 10, 12, 0.0, suppliers(spark, sf_dir), movements(spark, sf_dir))
 
@@ -104,7 +117,7 @@ def _queried(bom: DataFrame) -> DataFrame:
     return bom.select("parent_id").where(F.col("parent_id").rlike(_HUNDREDTH)).distinct()
 
 
-@query(with_sql(_pairs("suppliers", f"regexp_matches(a.parent_id, '{_HUNDREDTH}') AND b.parent_id <> a.parent_id") + f", {_HISTORY} SELECT a AS query_id, b AS material_id, similarity, shared AS shared_components, total AS total_components, history_months, first_usage, last_usage FROM j JOIN h ON h.material_id = b WHERE history_months >= 12 QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 10", "suppliers", "movements"))
+@query(_analogs(f"regexp_matches(q.parent_id, '{_HUNDREDTH}')"))
 def cold_start_analogs_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     bom = suppliers(spark, sf_dir)
     return search.cold_start_analogs(spark, _queried(bom), 10, 12, 0.0, bom, movements(spark, sf_dir))
@@ -150,12 +163,19 @@ def wl_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.wl_kernel_similarity(spark, pairs, 3, bom)
 
 
-@query(with_sql(_LEVELS.format(t="dag", n=3) + _WL.format(on="a.material_id = 'N1' AND b.material_id <> 'N1'") + " SELECT a AS query_id, b AS material_id, (common / (x.n + y.n - common))::DOUBLE AS similarity FROM p JOIN t x ON x.material_id = a JOIN t y ON y.material_id = b ORDER BY similarity DESC, b LIMIT 10", "dag", recursive=True))
+def _wl_best(queries: str, k: int) -> str:
+    """SQL for the best k of each query; queries: SQL for their material_id. One that the tables lack is 0 to all."""
+    asked = f", q AS (SELECT x.material_id, coalesce(n, 0) AS n FROM ({queries}) x LEFT JOIN t ON t.material_id = x.material_id)"
+    chosen = f" SELECT q.material_id AS query_id, m.material_id, (coalesce(common, 0) / (q.n + m.n - coalesce(common, 0)))::DOUBLE AS similarity FROM q JOIN t m ON m.material_id <> q.material_id LEFT JOIN p ON p.a = q.material_id AND p.b = m.material_id QUALIFY row_number() OVER (PARTITION BY q.material_id ORDER BY similarity DESC, m.material_id) <= {k}"
+    return with_sql(_LEVELS.format(t="dag", n=3) + _WL.format(on=f"a.material_id IN ({queries}) AND b.material_id <> a.material_id") + asked + chosen, "dag", recursive=True)
+
+
+@query(_wl_best("SELECT 'N1' AS material_id", 10))
 def find_similar_wl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.find_similar_materials_wl_kernel(spark, "N1", 10, 3, 0.0, dag(spark, sf_dir))
 
 
-@query(with_sql(_LEVELS.format(t="dag", n=3) + _WL.format(on=f"regexp_matches(a.material_id, '{_HUNDREDTH}') AND b.material_id <> a.material_id") + " SELECT a AS query_id, b AS material_id, (common / (x.n + y.n - common))::DOUBLE AS similarity FROM p JOIN t x ON x.material_id = a JOIN t y ON y.material_id = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 10", "dag", recursive=True))
+@query(_wl_best(f"SELECT DISTINCT parent_id AS material_id FROM dag WHERE regexp_matches(parent_id, '{_HUNDREDTH}')", 10))
 def find_similar_wl_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     bom = dag(spark, sf_dir)
     return graph.find_similar_materials_wl_kernel(spark, _queried(bom), 10, 3, 0.0, bom)
@@ -477,47 +497,56 @@ def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.missing_languages(values(spark, "matnr string, spras string, maktx string", _MULTI), ["EN", "DE"])
 
 
-_MARA = [(" M1 ", "FERT", "G1", "20200115", None), ("M2", "ROH", "G2", "bad", ""), ("M3", "HALB", "G1", "20210301", " "), ("M4", "ROH", None, None, "X")]
-_MARA_SCHEMA = "matnr string, mtart string, matkl string, ersda string, lvorm string"
+def _extract(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [tables.erp(spark, sf_dir, name) for name in names]
+
 
+_DATED = "coalesce(try_strptime({c}::VARCHAR, '%Y%m%d')::DATE, try_cast({c} AS DATE))"
+_LIVE = "SELECT trim(matnr) AS material_id, mtart AS material_type, matkl AS material_group, {d} AS description, try_strptime(ersda, '%Y%m%d')::DATE AS created_date FROM mara {j} WHERE lvorm IS NULL OR trim(lvorm) = ''"
 
-@query("SELECT * FROM (VALUES ('M1', 'FERT', 'G1', '', DATE '2020-01-15'), ('M2', 'ROH', 'G2', '', NULL), ('M3', 'HALB', 'G1', '', DATE '2021-03-01')) v(material_id, material_type, material_group, description, created_date)")
+
+@query(with_sql("x AS (SELECT 1) " + _LIVE.format(d="''", j=""), "mara"))
 def sap_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return erp.sap_to_materials(values(spark, _MARA_SCHEMA, _MARA))
+    return erp.sap_to_materials(*_extract(spark, sf_dir, "mara"))
 
 
-@query("SELECT * FROM (VALUES ('M1', 'FERT', 'G1', 'Pump', DATE '2020-01-15'), ('M2', 'ROH', 'G2', '', NULL), ('M3', 'HALB', 'G1', '', DATE '2021-03-01')) v(material_id, material_type, material_group, description, created_date)")
+@query(with_sql("t AS (SELECT trim(matnr) AS m, min(trim(maktx)) AS maktx FROM makt_of_parts WHERE spras = 'E' GROUP BY 1) " + _LIVE.format(d="coalesce(maktx, '')", j="LEFT JOIN t ON trim(matnr) = m"), "mara", "makt_of_parts"))
 def sap_materials_with_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = values(spark, "matnr string, spras string, maktx string", [("M1", "E", "Pump"), ("M1", "E", "Pump "), ("M2", "D", "Ventil")])
-    return erp.sap_to_materials_with_desc(values(spark, _MARA_SCHEMA, _MARA), texts)
+    return erp.sap_to_materials_with_desc(*_extract(spark, sf_dir, "mara", "makt_of_parts"))
+
 
+_ITEMS = f"""h AS (SELECT trim(matnr) AS parent_id, stko.stlnr AS bom_id, stlal AS bom_version, datuv, row_number() OVER (PARTITION BY trim(matnr), stko.stlnr, stlal ORDER BY datuv DESC) AS rn FROM mast JOIN stko ON mast.stlnr = stko.stlnr WHERE datuv IS NULL OR {_DATED.format(c="datuv")} <= {{on}})
+SELECT bom_id, parent_id, trim(idnrk) AS child_id, menge AS qty, meins AS unit, {_DATED.format(c="datuv")} AS valid_from, DATE '9999-12-31' AS valid_to, bom_version FROM h JOIN stpo ON stpo.stlnr = bom_id WHERE rn = 1 AND bom_version = '{{alt}}'"""
 
-@query("SELECT * FROM (VALUES ('100_01_1', 'M1', 'C1', 2.0::DOUBLE, 'EA', DATE '2024-01-01', DATE '9999-12-31', '01'), ('100_01_2', 'M1', 'C2', 5.5::DOUBLE, 'KG', DATE '2024-01-01', DATE '9999-12-31', '01')) v(bom_id, parent_id, child_id, qty, unit, valid_from, valid_to, bom_version)")
+
+@query(with_sql(_ITEMS.format(on="DATE '9999-12-31'", alt="01"), "mast", "stko", "stpo"))
 def sap_bom_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mast = values(spark, "matnr string, stlnr string", [("M1 ", "100"), ("M2", "200")])
-    stko = values(spark, "stlnr string, stlal string, datuv string", [("100", "01", "20230101"), ("100", "01", "20240101"), ("100", "01", "20300101"), ("200", "02", "20230101")])
-    stpo = values(spark, "stlnr string, stlkn string, idnrk string, menge string, meins string", [("100", "1", "C1", "2", "EA"), ("100", "2", " C2", "5.5", "KG"), ("200", "1", "C3", "1", "EA")])
-    return erp.sap_to_bom_items(mast, stko, stpo, reference_date="2025-01-01")
+    return erp.sap_to_bom_items(*_extract(spark, sf_dir, "mast", "stko", "stpo"), reference_date=None)
+
+
+@query(with_sql(_ITEMS.format(on="DATE '1996-06-01'", alt="03"), "mast", "stko", "stpo"))
+def sap_bom_items_at_a_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erp.sap_to_bom_items(*_extract(spark, sf_dir, "mast", "stko", "stpo"), "03", "19960601", "1")
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """Without the time of creation, and decimal columns as doubles."""
+    return df.select(*(F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema if f.name != "created_at"))
 
 
-@query("SELECT * FROM (VALUES ('I1', 'ASSEMBLY', 'EA', 'DYNAMICS365', true), ('I2', 'FINISHED', 'EA', 'DYNAMICS365', true), ('I3', 'OTHER', 'EA', 'DYNAMICS365', true)) v(material_id, material_type, base_unit, source_system, is_active)")
+@query(with_sql("x AS (SELECT 1) SELECT ItemId AS material_id, ItemId AS material_number, ItemName AS description, CASE ItemType WHEN 0 THEN 'ASSEMBLY' WHEN 1 THEN 'FINISHED' WHEN 2 THEN 'COMPONENT' ELSE 'OTHER' END AS material_type, NULL::VARCHAR AS material_group, NULL::VARCHAR AS procurement_type, 'EA' AS base_uom, NULL::DOUBLE AS weight, NULL::DOUBLE AS cost_per_unit, 'DYNAMICS365' AS source_system, true AS is_active FROM invent", "invent"))
 def dynamics365_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = erp.dynamics365_to_materials(values(spark, "ItemId string, ItemName string, ItemType int", [("I1", "a", 0), ("I2", "b", 1), ("I3", "c", 9)]))
-    return out.select("material_id", "material_type", "base_unit", "source_system", "is_active")
+    return _typed(erp.dynamics365_to_materials(*_extract(spark, sf_dir, "invent")))
 
 
-@query("SELECT * FROM (VALUES ('B1', 'I1', '1', true, DATE '2024-01-01'), ('B1', 'I1', '2', false, NULL), ('B2', 'I2', NULL, false, NULL)) v(bom_id, parent_material_id, bom_version, is_approved, valid_from)")
+@query(with_sql("x AS (SELECT 1) SELECT t.BOMId AS bom_id, 'DYNAMICS365' AS source_system, t.BOMId AS source_bom_id, ItemId AS parent_material_id, 'MANUFACTURING' AS bom_type, '01' AS alternative_number, VersionId AS revision, 1 AS base_quantity, 'EA' AS base_uom, ActivationDate::DATE AS valid_from, NULL::DATE AS valid_to, NULL::VARCHAR AS plant_id, coalesce(ApprovedStatus = 1, false) AS is_approved FROM bom_table t LEFT JOIN bom_version v ON t.BOMId = v.BOMId WHERE Status = 0", "bom_table", "bom_version"))
 def dynamics365_bom_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = values(spark, "BOMId string, ItemId string, Status int", [("B1", "I1", 0), ("B2", "I2", 0), ("B3", "I3", 1)])
-    versions = values(spark, "BOMId string, VersionId int, ActivationDate string, ApprovedStatus int", [("B1", 1, "2024-01-01", 1), ("B1", 2, None, None)])
-    return erp.dynamics365_to_bom_header(heads, versions).select("bom_id", "parent_material_id", "bom_version", "is_approved", "valid_from")
+    return _typed(erp.dynamics365_to_bom_header(*_extract(spark, sf_dir, "bom_table", "bom_version")))
 
 
-@query("SELECT * FROM (VALUES ('COMP_B1_1', 'B1', 'I2', 2.0::DOUBLE, 0.0::DOUBLE, 1), ('COMP_B1_2', 'B1', 'I3', 1.5::DOUBLE, 5.0::DOUBLE, 2)) v(component_id, bom_id, child_material_id, quantity_per, scrap_percent, operation_sequence)")
+@query(with_sql("x AS (SELECT 1) SELECT 'COMP_' || BOMId || '_' || LineNum AS component_id, BOMId AS bom_id, LineNum AS line_number, ItemId AS child_material_id, Quantity AS quantity_per, 'EA' AS quantity_uom, false AS is_fixed_quantity, coalesce(ScrapPercent, 0) AS scrap_percent, NULL::DATE AS effective_from, NULL::DATE AS effective_to, 'STOCK' AS component_type, 'PUSH' AS supply_type, LineNum AS operation_sequence, false AS is_alternative, NULL::VARCHAR AS alternative_group FROM bom_lines", "bom_lines"))
 def dynamics365_bom_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = values(spark, "BOMId string, LineNum int, ItemId string, Quantity double, ScrapPercent double", [("B1", 1, "I2", 2.0, None), ("B1", 2, "I3", 1.5, 5.0)])
-    out = erp.dynamics365_to_bom_component(lines)
-    return out.select("component_id", "bom_id", "child_material_id", F.col("quantity_per").cast("double").alias("quantity_per"), F.col("scrap_percent").cast("double").alias("scrap_percent"), "operation_sequence")
+    return _typed(erp.dynamics365_to_bom_component(*_extract(spark, sf_dir, "bom_lines")))
 
 
 @query(with_sql("x AS (SELECT 1) SELECT parent_id, child_id, 1.0::DOUBLE AS quantity FROM dag", "dag"))
@@ -525,6 +554,150 @@ def bom_to_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return erp.bom_to_items(*_universal(spark, sf_dir))
 
 
-@query(with_sql("m AS (SELECT DISTINCT unnest([parent_id, child_id]) AS id FROM suppliers), c AS (SELECT parent_id, child_id, row_number() OVER (PARTITION BY parent_id ORDER BY child_id) AS rn FROM suppliers) SELECT 'materials' AS table_type, id AS col1, 'MIGRATED' AS col2, NULL AS col3, NULL AS col4, NULL AS col5 FROM m UNION ALL SELECT DISTINCT 'bom_header', 'BOM_' || parent_id, parent_id, '2024-01-01', 'true', NULL FROM suppliers UNION ALL SELECT 'bom_component', 'COMP_' || parent_id || '_' || rn, 'BOM_' || parent_id, child_id, rn::VARCHAR, '2' FROM c", "suppliers"))
+#: Columns of items_to_bom, and where each kind of row has its time of creation.
+_BOM_COLUMNS = "material_id material_number description material_type material_group procurement_type base_uom weight cost_per_unit source_system is_active created_at col13 col14 col15 col16".split()
+_CREATED = {"materials": "created_at", "bom_header": "col13", "bom_component": "col16"}
+
+
+def _strings(*cells: str) -> str:
+    """A row's cells, filled up with nulls."""
+    return ", ".join(f"({c})::VARCHAR AS {n}" for c, n in zip([*cells, *["NULL"] * (16 - len(cells))], _BOM_COLUMNS, strict=True))
+
+
+@query(
+    with_sql(
+        "m AS (SELECT DISTINCT unnest([parent_id, child_id]) AS id FROM suppliers), c AS (SELECT parent_id, child_id, row_number() OVER (PARTITION BY parent_id ORDER BY child_id) AS rn FROM suppliers) SELECT 'materials' AS table_type, "
+        + _strings("id", "id", "''", "NULL", "NULL", "NULL", "'EA'", "NULL", "NULL", "'MIGRATED'", "true")
+        + " FROM m UNION ALL SELECT DISTINCT 'bom_header', "
+        + _strings("'BOM_' || parent_id", "parent_id", "parent_id", "'MANUFACTURING'", "'01'", "'MIGRATED'", "1", "'EA'", "DATE '2024-01-01'", "NULL", "NULL", "true")
+        + " FROM suppliers UNION ALL SELECT 'bom_component', "
+        + _strings("'COMP_' || parent_id || '_' || rn", "'BOM_' || parent_id", "rn", "child_id", "2", "'EA'", "false", "0", "NULL", "NULL", "'STOCK'", "'PUSH'", "NULL", "false")
+        + " FROM c",
+        "suppliers",
+    )
+)
 def items_to_bom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return erp.items_to_bom(suppliers(spark, sf_dir).withColumn("quantity", F.lit(2)))
+    out = erp.items_to_bom(suppliers(spark, sf_dir).withColumn("quantity", F.lit(2)))
+    for kind, column in _CREATED.items():
+        out = out.withColumn(column, F.when(F.col("table_type") != kind, F.col(column)))
+    return out
+
+
+_ON = "DATE '2024-05-01'"
+_SAP = f"""t AS (SELECT matnr, min(name) AS maktx FROM nodes WHERE name IS NOT NULL GROUP BY 1), hd AS (SELECT matnr, maktx, coalesce(werks, 'XX00') AS werks, stlan, stlnr FROM heads JOIN t USING (matnr) WHERE stlan IN ('2', 'E', 'V') AND stlal = '01'),
+bl AS (SELECT DISTINCT stlnr FROM (SELECT *, coalesce(lead(datuv) OVER (PARTITION BY stlnr ORDER BY lkenz IS NOT NULL, datuv), DATE '9999-12-31') AS date_to FROM bills WHERE stlty = 'M') WHERE lkenz IS NULL AND date_to >= {_ON}),
+own AS (SELECT matnr, werks, stlan, max(stlnr) AS stlnr, bool_or(stlnr IN (SELECT stlnr FROM bl)) AS active FROM hd GROUP BY ALL),
+sg AS (SELECT hd.matnr AS mast_matnr, hd.maktx AS mast_maktx, m.mtart AS mara_mtart, m.matkl AS mara_matkl, hd.werks AS mast_werks, hd.stlan AS mast_stlan, hd.stlnr AS mast_stlnr, posnr AS stpo_posnr, postp AS stpo_postp, idnrk AS stpo_idnrk, t.maktx AS idnrk_maktx, c.mtart AS idnrk_mtart, c.matkl AS idnrk_matkl, coalesce(own.stlnr, '00000000') AS idnrk_stlnr, rekrs IS NOT NULL AS stpo_rekrs, menge AS stpo_menge, meins AS stpo_meins, own.stlnr IS NOT NULL AS is_assembly, coalesce(own.active, false) AS is_active_assembly
+ FROM lines l JOIN t ON t.matnr = idnrk JOIN bl ON bl.stlnr = l.stlnr JOIN hd ON hd.stlnr = l.stlnr JOIN nodes m ON m.matnr = hd.matnr LEFT JOIN own ON own.matnr = idnrk AND own.werks = hd.werks AND own.stlan = hd.stlan LEFT JOIN nodes c ON c.matnr = idnrk)"""
+_SAP_INPUTS = ("heads", "bills", "lines", "nodes")
+
+
+def _sap_single(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    heads, bills, lines, nodes = _extract(spark, sf_dir, *_SAP_INPUTS)
+    texts = nodes.select("matnr", F.lit("EN").alias("spras"), F.col("name").alias("maktx"))
+    entries = lines.select(F.lit("M").alias("stlty"), "stlnr", F.lit("01").alias("stlal"), "stlkn", F.lit("2020-01-01").cast("date").alias("datuv"), F.lit(None).cast("string").alias("lkenz"))
+    on = F.lit("2024-05-01").cast("date")
+    return explosion.sap_single_level(heads, bills, entries, lines.withColumn("stlty", F.lit("M")), nodes, texts, on), explosion.sap_collector(nodes, heads, texts)
+
+
+@query(with_sql(_SAP + " SELECT * FROM sg", *_SAP_INPUTS))
+def sap_single_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sap_single(spark, sf_dir)[0]
+
+
+_COLLECTOR = "cl AS (SELECT n.matnr AS matnr_collector, t.maktx AS matnr_collector_maktx, zzut AS matnr_collector_zzut, mtart AS matnr_collector_mtart, coalesce(werks, 'XX00') AS matnr_collector_werks, coalesce(stlal, 'X0') AS matnr_collector_stlal, coalesce(stlan, 'X') AS matnr_collector_stlan FROM nodes n LEFT JOIN (SELECT * FROM heads WHERE stlan = '2') h ON h.matnr = n.matnr JOIN t ON t.matnr = n.matnr)"
+
+
+@query(with_sql(_SAP + f", {_COLLECTOR} SELECT * FROM cl", *_SAP_INPUTS))
+def sap_collector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sap_single(spark, sf_dir)[1]
+
+
+_SAP_WALK = """, w AS (SELECT 1 AS nodelevel, matnr_collector, matnr_collector_maktx, matnr_collector_werks, matnr_collector_stlan, sg.* EXCLUDE (mast_werks, mast_stlan) FROM cl JOIN sg ON mast_matnr = matnr_collector AND mast_werks = matnr_collector_werks AND mast_stlan = matnr_collector_stlan WHERE matnr_collector_zzut IN ('01', '11')
+UNION ALL SELECT nodelevel + 1, matnr_collector, matnr_collector_maktx, matnr_collector_werks, matnr_collector_stlan, sg.* EXCLUDE (mast_werks, mast_stlan) FROM w JOIN sg ON sg.mast_matnr = w.stpo_idnrk AND sg.mast_werks = matnr_collector_werks AND sg.mast_stlan = matnr_collector_stlan WHERE nodelevel < {n} AND w.is_active_assembly AND NOT w.stpo_rekrs)"""
+
+
+@query(with_sql(_SAP + f", {_COLLECTOR}" + _SAP_WALK.format(n=6) + " SELECT * FROM w", *_SAP_INPUTS, recursive=True))
+def sap_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explosion.sap_explosion(*_sap_single(spark, sf_dir), max_levels=6)
+
+
+#: Of the same bills, in Dynamics form: versions, lines and items of two companies.
+_D365 = {
+    "versions": "SELECT stlnr AS bom_id, matnr AS item_id, stlnr NOT LIKE '%7' AS is_active, stlnr NOT LIKE '%9' AS is_approved, DATE '2020-01-01' AS valid_from_date, CASE WHEN stlnr LIKE '%3' THEN DATE '2023-01-01' ELSE CAST(NULL AS DATE) END AS valid_to_date, CASE WHEN matnr LIKE '%1' THEN 'de' ELSE 'us' END AS data_area_id FROM heads",
+    "parts": "SELECT stlnr AS bom_id, idnrk AS item_id, posnr AS line_num, stlkn AS position, menge AS bom_qty, CASE WHEN idnrk LIKE '%5' THEN 0.0 ELSE 4.0 END AS bom_qty_serie, meins AS unit_id, CASE WHEN rekrs IS NULL THEN 0 ELSE 1 END AS bom_type, CAST(NULL AS DATE) AS valid_from_date, CASE WHEN stlkn LIKE '%22' THEN DATE '2022-01-01' ELSE CAST(NULL AS DATE) END AS valid_to_date, CASE WHEN stlnr LIKE '%1' THEN 'de' ELSE 'us' END AS data_area_id FROM lines",
+    "items": "SELECT matnr AS item_id, name AS item_name, mtart AS item_type, matkl AS item_group_id, CASE WHEN matnr LIKE '%1' THEN 'de' ELSE 'us' END AS data_area_id FROM nodes",
+}
+_D365_SQL = ", ".join(f"{k} AS ({v})" for k, v in _D365.items()) + f""", v AS (SELECT * FROM versions WHERE is_active AND is_approved AND valid_from_date <= {_ON} AND (valid_to_date IS NULL OR valid_to_date >= {_ON})),
+sg AS (SELECT v.item_id AS parent_item_id, p.item_name AS parent_item_name, v.bom_id, line_num, position, bom_type, l.item_id AS component_item_id, c.item_name AS component_item_name, c.item_type AS component_item_type, c.item_group_id AS component_item_group_id, bom_qty, bom_qty_serie, unit_id, o.item_id IS NOT NULL AS is_assembly, o.item_id IS NOT NULL AND bom_type <> 1 AS is_active_assembly, bom_type = 1 AS is_phantom, v.data_area_id
+ FROM v JOIN parts l ON l.bom_id = v.bom_id AND l.data_area_id = v.data_area_id AND (l.valid_to_date IS NULL OR l.valid_to_date >= {_ON}) JOIN items p ON p.item_id = v.item_id AND p.data_area_id = v.data_area_id LEFT JOIN items c ON c.item_id = l.item_id AND c.data_area_id = l.data_area_id LEFT JOIN (SELECT DISTINCT item_id, data_area_id FROM v) o ON o.item_id = l.item_id AND o.data_area_id = l.data_area_id),
+w AS (SELECT 1 AS nodelevel, sg.parent_item_id AS collector_item_id, sg.parent_item_name AS collector_item_name, sg.data_area_id AS collector_data_area_id, sg.*, bom_qty / nullif(bom_qty_serie, 0) AS extended_qty, [sg.parent_item_id, component_item_id] AS nodes FROM sg
+UNION ALL SELECT nodelevel + 1, collector_item_id, collector_item_name, collector_data_area_id, sg.*, extended_qty * (sg.bom_qty / nullif(sg.bom_qty_serie, 0)), list_append(nodes, sg.component_item_id) FROM w JOIN sg ON sg.parent_item_id = w.component_item_id AND sg.data_area_id = collector_data_area_id WHERE nodelevel < 20 AND w.is_active_assembly AND NOT w.is_phantom AND NOT list_contains(nodes, sg.component_item_id))"""
+
+
+@query(with_sql(_D365_SQL + " SELECT * EXCLUDE (nodes), array_to_string(nodes, ' > ') AS hierarchy_path FROM w", *_SAP_INPUTS, recursive=True))
+def d365_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = dict(zip(_SAP_INPUTS, _extract(spark, sf_dir, *_SAP_INPUTS), strict=True))
+    versions, parts, items = (spark.sql(text.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: inputs[name]}) for (text, name) in zip(_D365.values(), ("heads", "lines", "nodes"), strict=True))
+    on = F.lit("2024-05-01").cast("date")
+    return explosion.d365_explosion(explosion.d365_single_level(versions, parts, items, on), explosion.d365_collector(items, versions, on))
+
+
+#: Edges of two alternatives: line items by the parity of their number, and three by its remainder.
+_ALTERNATIVES = "alts AS (SELECT DISTINCT '0' || (1 + l_linenumber % 3) AS alt, 'S' || l_suppkey AS parent_id, 'P' || l_partkey AS child_id FROM lineitem)"
+_ALT_PAIR = _ALTERNATIVES + ", a AS (SELECT parent_id, child_id FROM alts WHERE alt = '01'), b AS (SELECT parent_id, child_id FROM alts WHERE alt = '02')"
+
+
+def _alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = tables.table(spark, sf_dir, "lineitem")
+    return lines.select(F.concat(F.lit("0"), 1 + F.col("l_linenumber") % 3).alias("alt"), F.concat(F.lit("S"), "l_suppkey").alias("parent_id"), F.concat(F.lit("P"), "l_partkey").alias("child_id"))
+
+
+@query(f"WITH {_ALT_PAIR}, x AS (SELECT parent_id, list(child_id) AS c FROM a GROUP BY 1), y AS (SELECT parent_id, list(child_id) AS c FROM b GROUP BY 1) SELECT x.parent_id AS material_id, len(x.c) AS components_a, len(y.c) AS components_b, len(list_intersect(x.c, y.c))::DOUBLE / (len(x.c) + len(y.c) - len(list_intersect(x.c, y.c))) AS similarity FROM x JOIN y ON x.parent_id = y.parent_id")
+def alternative_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alts = _alternatives(spark, sf_dir)
+    return compare.alternative_overlap(alts.where("alt = '01'"), alts.where("alt = '02'"))
+
+
+@query(f"WITH {_ALT_PAIR} SELECT coalesce(a.parent_id, b.parent_id) AS material_id, CASE WHEN b.child_id IS NULL THEN 'ONLY_A' WHEN a.child_id IS NULL THEN 'ONLY_B' ELSE 'BOTH' END AS presence, coalesce(a.child_id, b.child_id) AS child_id FROM a FULL JOIN b ON a.parent_id = b.parent_id AND a.child_id = b.child_id")
+def alternative_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alts = _alternatives(spark, sf_dir)
+    return compare.alternative_diff(alts.where("alt = '01'"), alts.where("alt = '02'"))
+
+
+@query(f"WITH {_ALTERNATIVES}, c AS (SELECT alt, parent_id, list(child_id) AS c FROM alts GROUP BY ALL) SELECT x.parent_id AS material_id, x.alt AS alt_a, y.alt AS alt_b, len(list_intersect(x.c, y.c))::DOUBLE / (len(x.c) + len(y.c) - len(list_intersect(x.c, y.c))) AS similarity FROM c x JOIN c y ON x.parent_id = y.parent_id AND x.alt < y.alt")
+def alternative_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.alternative_matrix(_alternatives(spark, sf_dir))
+
+
+_LANGUAGES = {"E": "en", "D": "de"}
+_PIVOT = "p AS (SELECT mara.matnr AS material_id, mtart AS material_type, matkl AS material_group, en.x AS description_en, de.x AS description_de FROM mara LEFT JOIN (SELECT trim(matnr) AS m, min(maktx) AS x FROM makt_of_parts WHERE spras = 'E' GROUP BY 1) en ON en.m = trim(mara.matnr) LEFT JOIN (SELECT trim(matnr) AS m, min(maktx) AS x FROM makt_of_parts WHERE spras = 'D' GROUP BY 1) de ON de.m = trim(mara.matnr) WHERE lvorm IS NULL OR lvorm <> 'X')"
+
+
+def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mara, texts = _extract(spark, sf_dir, "mara", "makt_of_parts")
+    return compare.language_pivot(mara, texts.withColumn("matnr", F.concat(F.lit(" "), F.trim("matnr"), F.lit(" "))), _LANGUAGES)
+
+
+@query(with_sql(_PIVOT + " SELECT * FROM p", "mara", "makt_of_parts"))
+def language_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pivot(spark, sf_dir)
+
+
+@query(with_sql(_PIVOT + " SELECT material_type, count(*) AS n_materials, count(description_en) AS has_en, count(description_de) AS has_de FROM p GROUP BY 1", "mara", "makt_of_parts"))
+def translation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.translation_coverage(_pivot(spark, sf_dir))
+
+
+@query(with_sql("x AS (SELECT 1) SELECT DISTINCT matnr AS material_id, spras AS language, maktx AS description FROM makt_of_parts WHERE regexp_matches(maktx, '(?i)(widget|^cold)')", "makt_of_parts"))
+def search_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.search_descriptions(*_extract(spark, sf_dir, "makt_of_parts"), "(widget|^cold)")
+
+
+@query(with_sql(_pairs("suppliers", "a.parent_id < b.parent_id") + ", y AS (SELECT a, b, 0.7::DOUBLE * similarity AS s FROM j UNION ALL SELECT 'S' || a.s_suppkey, 'S' || b.s_suppkey, 0.3::DOUBLE FROM supplier a JOIN supplier b USING (s_nationkey) WHERE 'S' || a.s_suppkey < 'S' || b.s_suppkey) SELECT a AS material_a, b AS material_b, round(sum(s), 9) AS similarity FROM y GROUP BY ALL", "suppliers"))
+def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By shared parts, and by whether two suppliers are of one nation."""
+    places = tables.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("m"), "s_nationkey")
+    near = places.select(F.col("m").alias("material_a"), "s_nationkey").join(places.select(F.col("m").alias("material_b"), "s_nationkey"), "s_nationkey").where("material_a < material_b")
+    fused = compare.late_fusion({"structure": (search.all_pairs_jaccard(spark, suppliers(spark, sf_dir)), 0.7), "place": (near.withColumn("similarity", F.lit(1.0)), 0.3)})
+    return fused.withColumn("similarity", F.round("similarity", 9))

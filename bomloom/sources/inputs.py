@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +46,6 @@ def default(value, otherwise):
     return otherwise if value is None else value
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bomloom-"))
-    return df.checkpoint()
-
-
 def edges(bom: DataFrame, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
     """Distinct (parent_id, child_id) without nulls, as strings."""
     return bom.select(F.col(parent).cast("string").alias("parent_id"), F.col(child).cast("string").alias("child_id")).dropna().distinct()

@@ -20,21 +20,23 @@ def _schema(text: str) -> StructType:
     return StructType(fields)
 
 
-# Column names and types of the universal bill-of-materials tables.
+# Column names and types of the universal bill-of-materials tables, and of those of the embeddings.
 MATERIALS = _schema(
-    "material_id string, material_name string, description string, material_type string, material_group string, base_unit string, weight decimal(12,4), cost decimal(12,4), source_system string, source_id string, is_active boolean, created_at timestamp"
+    "material_id string, material_number string, description string, material_type string, material_group string, procurement_type string, base_uom string, weight decimal(12,4), cost_per_unit decimal(12,4), source_system string, is_active boolean, created_at timestamp"
 )
 BOM_HEADER = _schema(
-    "bom_id string, parent_material_id string, bom_usage string, bom_version string, alternative string, plant string, base_quantity decimal(18,6), base_unit string, valid_from date, valid_to date, is_approved boolean, is_active boolean, source_system string, created_at timestamp"
+    "bom_id string, source_system string, source_bom_id string, parent_material_id string, bom_type string, alternative_number string, revision string, base_quantity decimal(18,6), base_uom string, valid_from date, valid_to date, plant_id string, is_approved boolean, created_at timestamp"
 )
 BOM_COMPONENT = _schema(
-    "component_id string, bom_id string, child_material_id string, item_number int, quantity_per decimal(18,6), unit string, scrap_percent decimal(8,4), operation_sequence int, supply_type string, flushing_principle string, is_phantom boolean, valid_from date, valid_to date, reference_designator string, source_system string, created_at timestamp"
+    "component_id string, bom_id string, line_number int, child_material_id string, quantity_per decimal(18,6), quantity_uom string, is_fixed_quantity boolean, scrap_percent decimal(8,4), effective_from date, effective_to date, component_type string, supply_type string, operation_sequence int, is_alternative boolean, alternative_group string, created_at timestamp"
 )
 MATERIAL_EMBEDDINGS = _schema(
     "material_id string, jaccard_embedding array<float>, structural_embedding array<float>, textual_embedding array<float>, transactional_embedding array<float>, combined_embedding array<float>, updated_at timestamp, num_components int"
 )
+FEATURE_MAPPING = _schema("feature_index int, feature_name string, category string, description string, is_advanced boolean, created_at timestamp")
+EMBEDDINGS_DIRTY = _schema("material_id string, reason string, marked_at timestamp")
 STATISTICS = _schema("feature_name string, feature_index int, feature_category string, mean_value double, std_value double, min_value double, max_value double, num_samples long, updated_at timestamp, version int")
-_DEFAULT_VALUES = {"base_quantity": 1, "scrap_percent": 0, "is_approved": False, "is_active": True}
+_DEFAULT_VALUES = {"base_quantity": 1, "scrap_percent": 0, "is_approved": False, "is_active": True, "is_fixed_quantity": False, "is_alternative": False, "is_advanced": False}
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:

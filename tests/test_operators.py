@@ -134,7 +134,9 @@ def test_freshness_of_nothing(spark):
 def test_schemas(spark):
     header = schemas.conform(spark.createDataFrame([("b", "m")], "bom_id string, parent_material_id string"), schemas.BOM_HEADER)
     row = header.first()
-    assert row.base_quantity == 1 and row.is_active and not row.is_approved
+    assert row.base_quantity == 1 and row.is_approved is False
+    material = schemas.conform(spark.createDataFrame([("m",)], "material_id string"), schemas.MATERIALS).first()
+    assert material.is_active and material.material_number is None
     component = schemas.conform(spark.createDataFrame([("c", "x", "n"), ("c", "b", "m")], "component_id string, bom_id string, child_material_id string"), schemas.BOM_COMPONENT)
     materials = schemas.conform(spark.createDataFrame([("m",)], "material_id string"), schemas.MATERIALS)
     assert {tuple(r) for r in schemas.violations(materials, header, component).collect()} == {("bom_component_pk", "c", 2), ("component_bom_fk", "x", 1), ("component_child_fk", "n", 1)}
