@@ -123,7 +123,8 @@ def fit(docs: DataFrame, key: str = "doc_id", parts: int = 4, rest: int = 2) ->
     ids = docs.where(~held_out(key, parts, rest)).where("lang IS NOT NULL AND text <> ''").select(key, "lang")
     ids = ids.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED).select(key).distinct()
     sample = docs.where("lang IS NOT NULL").select(F.col(key), "text", "lang").join(F.broadcast(ids), key).select(F.col(key).alias("doc_id"), "text", "lang")
-    rows = sample.mapInArrow(_sampled, "lang string, bytes binary").limit(MAX_LABELLED * WINDOWS_EACH).collect()
+    sampled = sample.mapInArrow(_sampled, "lang string, bytes binary")  # repeated ids make more rows than the bound
+    rows = sampled.orderBy(F.xxhash64("bytes"), "bytes", "lang").limit(MAX_LABELLED * WINDOWS_EACH).collect()
     languages = sorted({r["lang"] for r in rows}) or [UNKNOWN]
     if not rows:
         return train(np.zeros((1, LENGTH), np.uint8), np.zeros(1, np.int64), languages)
@@ -166,6 +167,7 @@ def identify(docs: DataFrame, network: Network, key: str = "doc_id") -> DataFram
 
 
 def op3_language_id(documents: DataFrame) -> DataFrame:
+    """The language of each document by identify() with the network of fit(); identify() says how odd input counts."""
     bounded_batches(documents.sparkSession)
     held = F.coalesce(held_out("doc_id", 4, 2), F.lit(False)).alias("held_out")
     return identify(documents, fit(documents)).select("doc_id", held, "lang_pred", "score")

@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
 From a bounded sample of labelled training rows a lexicon of words and word beginnings is
-drawn, and dealt into many lexicon voters, to which pattern voters are added. A generative
-label model (expectation maximisation over the voters' votes) estimates each voter's
-accuracy, and the correlations that the class doesn't explain, which lower the weight of
-voters that repeat each other. A linear classifier over the lexicon's entries and the
-patterns is trained on the model's posterior labels, and scores every whole text.
+drawn, and dealt into many lexicon voters, to which pattern voters are added. They vote on
+these rows and on a bounded sample of rows whatever their labels. From the votes alone a
+generative label model (expectation maximisation) estimates the share of toxic rows, each
+voter's accuracy, and the correlations that the class doesn't explain, which lower the
+weight of voters that repeat each other. A linear classifier over the lexicon's entries
+and the patterns is trained on the model's posterior labels, and scores every whole text.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 
 from ._arrow import Chunk, Hasher, bounded_batches, byte_class, chunks, lower, words
 
-#: Labelled rows from which lexicon, label model and classifier are fitted, at most.
-MAX_LABELLED = 10_000
-#: Weight of the rates seen on labelled rows against those that the label model infers.
-TRUST = 4.0
+#: Labelled rows from which the lexicon is drawn, and rows of any kind from which with them label model and classifier are fitted, at most.
+MAX_LABELLED, MAX_ROWS = 10_000, 10_000
 #: Log-likelihood by which an entry's count in toxic rows must exceed chance: among many rare words, some do by less.
 SURPRISE = 10.0
 MAX_CANDIDATES, MAX_ENTRIES, VOTERS = 20_000, 1_000, 24
+#: Correlations up to here, which two classes always leave, don't lower a voter's weight.
+_CORRELATED = 0.4
 _PREFIXES = (4, 5, 6)
 _LETTER = byte_class(r"[A-Za-z\x80-\xff]")
 _PATTERNS = ("capitals", "shouting", "exclaiming", "short")
@@ -92,6 +93,8 @@ def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _counts(candidates: np.ndarray):
+    """In how many texts of either label each candidate is: place, clean, toxic."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, len(candidates)), np.int64)
         for batch in batches:
@@ -102,7 +105,8 @@ def _counts(candidates: np.ndarray):
                 for y in (0, 1):
                     sums[y] += np.bincount(entry[toxic[at + doc] == y], minlength=len(candidates))
                 at += len(c.ids)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+        seen = np.flatnonzero(sums.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, sums[0][seen], sums[1][seen])], names=["place", "clean", "toxic"])
 
     return count
 
@@ -123,26 +127,28 @@ def _rows(entries: np.ndarray):
     return rows
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, trust: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of class 1 for each row, rates P(vote | class) as voters x 2, correlations that the class leaves).
+def label_model(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of class 1 for each row, rates P(vote | class) as voters x 2, correlations that the class leaves), from votes alone.
 
-    votes: rows x voters of 0 and 1; start: rates seen on labelled rows, which count as
-    trust times those rows. Voters of one mind share the weight of their evidence: each
-    counts less by its correlations with the others that voted as it did.
+    votes: rows x voters of 0 and 1. It begins with class 1 as where voters that seldom vote
+    do. Voters of one mind share the weight of their evidence: each counts less by its
+    correlations with the others that voted as it did.
     """
-    rates, shared = start.copy(), np.zeros((votes.shape[1], votes.shape[1]))
-    against = 1 - votes
-    size = np.array([1 - prior, prior]) * len(votes) * trust
+    seldom = np.clip(votes.mean(0), 1e-4, 0.5)
+    prior, rates = 0.1, np.stack([np.clip(seldom / 2, 1e-4, 1), np.full(len(seldom), 0.5)], 1)
+    rates[votes.mean(0) > 0.25] = votes.mean(0)[votes.mean(0) > 0.25, None]  # what many rows have tells nothing at first
+    shared, against = np.zeros((votes.shape[1], votes.shape[1])), 1 - votes
     for _ in range(rounds):
         odds = np.log(rates[:, 1] / rates[:, 0]) * votes / (1 + votes @ shared) + np.log((1 - rates[:, 1]) / (1 - rates[:, 0])) * against / (1 + against @ shared)
         posterior = 1 / (1 + np.exp(-np.clip(odds.sum(1) + np.log(prior / (1 - prior)), -30, 30)))
         share = np.stack([1 - posterior, posterior], 1)
-        rates = np.clip((votes.T @ share + size * start) / (share.sum(0) + size), 1e-4, 1 - 1e-4)
+        prior = float(np.clip(posterior.mean(), 1e-3, 0.5))
+        rates = np.clip((votes.T @ share + 0.5) / (share.sum(0) + 1), 1e-4, 1 - 1e-4)
         residual = votes - share @ rates.T
         spread = np.sqrt((residual**2).mean(0)) + 1e-9
         correlation = (residual.T @ residual) / len(votes) / spread[:, None] / spread
         np.fill_diagonal(correlation, 0)
-        shared = np.maximum(correlation - 0.05, 0)
+        shared = np.maximum(correlation - _CORRELATED, 0)
     return posterior, rates, correlation
 
 
@@ -151,10 +157,10 @@ def _classifier(x: np.ndarray, target: np.ndarray, steps: int = 400, decay: floa
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
     w = np.zeros(x.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
-    balance = np.where(target > 0.5, 2.0, 1.0)
+    balance = np.where(target > 0.5, 2.0, 1.0) / len(x)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ ((p - target) * balance) / len(x) + decay * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        g = ((p - target) * balance).astype(np.float32) @ x + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -168,10 +174,11 @@ def _vote(strength: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 5) -> Model:
-    """A model from at most MAX_LABELLED labelled rows whose crc32(key as text) mod parts isn't 0; the driver gets counts and hits, no texts."""
+    """A model from rows whose crc32(key as text) mod parts isn't 0: at most MAX_LABELLED labelled ones, and MAX_ROWS of any kind; the driver gets counts and hits, no texts."""
     rows = labels.where(~held_out(key, parts, 0)).where("toxic IN (0, 1)").groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
-    sample = docs.select(F.col(key), "text").join(F.broadcast(rows), key).select(F.col(key).alias("doc_id"), "text", "toxic")
+    texts = docs.select(F.col(key).alias("doc_id"), "text")
+    sample = texts.join(F.broadcast(rows.withColumnRenamed(key, "doc_id")), "doc_id").select("doc_id", "text", "toxic")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     neg, pos = n.get(0, 0), n.get(1, 0)
     least = max(3, round(0.004 * pos))
@@ -180,7 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 5)
     if not len(candidates) or not neg:
         constant = 5.0 if pos > neg else -5.0
         return Model(candidates[:0], np.array([0.0] * len(_PATTERNS) + [constant]))
-    sums = sum(np.frombuffer(r["sums"], np.int64).reshape(2, -1) for r in sample.mapInArrow(_counts(candidates), "sums binary").toLocalIterator())
+    sums = np.zeros((2, len(candidates)), np.int64)
+    for r in sample.mapInArrow(_counts(candidates), "place long, clean long, toxic long").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():
+        sums[:, r["place"]] = r["clean"], r["toxic"]
     score = np.log((sums[1] + 0.5) / (pos + 1)) - np.log((sums[0] + 0.5) / (neg + 1))
     chance = sums.sum(0) * pos / (pos + neg)  # of the rows with a feature, as many would be toxic
     surprise = sums[1] * np.log(np.maximum(sums[1], 1) / np.maximum(chance, 1e-9)) - (sums[1] - chance)
@@ -188,16 +197,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 5)
     strong = strong[np.argsort(-surprise[strong], kind="stable")][:MAX_ENTRIES]
     rank = np.argsort(candidates[strong])  # places of the entries by strength, in order of their hashes
     entries, n = candidates[strong][rank], len(strong)
-    collected = sample.mapInArrow(_rows(entries), "toxic int, hits binary, rates binary, marks binary").collect()
-    toxic = np.array([r["toxic"] for r in collected], np.int64)
-    x = np.zeros((len(collected), 2 * n + len(_PATTERNS)), np.float32)
-    for i, r in enumerate(collected):
+    more = texts.where(~held_out("doc_id", parts, 0)).withColumn("at", F.xxhash64("doc_id"))
+    more = more.join(F.broadcast(more.select("at").orderBy("at").limit(MAX_ROWS).distinct()), "at", "left_semi").select("doc_id", "text", F.lit(None).cast("int").alias("toxic"))
+    voting = sample.unionAll(more).mapInArrow(_rows(entries), "toxic int, hits binary, rates binary, marks binary").collect()
+    toxic = np.array([-1 if r["toxic"] is None else r["toxic"] for r in voting], np.int64)
+    x = np.zeros((len(voting), 2 * n + len(_PATTERNS)), np.float32)
+    for i, r in enumerate(voting):
         hits = np.frombuffer(r["hits"], np.int32)
         x[i, hits], x[i, n + hits] = 1, np.frombuffer(r["rates"], np.float32)
         x[i, 2 * n :] = np.frombuffer(r["marks"], np.float32)
-    votes = np.stack([*(_vote(x[:, n : 2 * n][:, rank % VOTERS == v].sum(1), toxic) for v in range(min(VOTERS, n))), *x[:, 2 * n :].T], 1).astype(np.float64)
-    start = np.stack([(votes[toxic == y].sum(0) + 0.05) / ((toxic == y).sum() + 0.1) for y in (0, 1)], 1)
-    posterior, _, _ = label_model(votes, max(1e-3, pos / (pos + neg)), np.clip(start, 1e-4, 1 - 1e-4), TRUST)
+    lexicon = [x[:, n : 2 * n][:, rank % VOTERS == v].sum(1) for v in range(min(VOTERS, n))]
+    votes = np.stack([*(_vote(s, toxic) for s in lexicon), *x[:, 2 * n :].T], 1).astype(np.float64)
+    posterior, _, _ = label_model(votes)
     return Model(entries, _classifier(x, posterior))
 
 
@@ -222,6 +233,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 
 def op2_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The score of each document by score() with the model of fit(), which say how odd input counts."""
     bounded_batches(documents.sparkSession)
     held = F.coalesce(held_out("doc_id", 5, 0), F.lit(False)).alias("held_out")
     return score(documents, fit(documents, labels)).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -29,7 +29,7 @@ def test_label_model_finds_voters():
     rates = np.array([[0.05, 0.8], [0.1, 0.6], [0.02, 0.5], [0.3, 0.3], [0.05, 0.7]])
     votes = (rng.random((4000, 5)) < rates[:, y.astype(int)].T).astype(float)
     votes = np.concatenate([votes, votes[:, :1]], 1)  # a voter that repeats another
-    posterior, found, correlation = toxicity.label_model(votes, 0.3, np.tile([0.1, 0.5], (6, 1)), 0.01)
+    posterior, found, correlation = toxicity.label_model(votes)
     assert ((posterior > 0.5) == y).mean() > 0.88 and np.abs(found[:5] - rates).max() < 0.12 and correlation[0, 5] > 0.9
 
 
