@@ -9,7 +9,7 @@ partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +43,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+@cache
+def _libc():
+    import ctypes
+
+    return ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine, which allocators would keep for this worker."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     column = column.cast(pa.large_binary()) if column.type != pa.large_binary() else column

@@ -1,49 +1,22 @@
-"""Tables between the jobs of an operator, in the folder that all executors share."""
+"""Tables between the jobs of an operator, and the shuffle files of these jobs."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bomloom.sources import tables
+from bomloom.sources.tables import dropped
+
+__all__ = ["dropped", "shuffle_files_end_with_each_job", "written"]
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Files that a task writes at once for a table with keys, instead of sorting its rows by them.
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of our own only where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="bomloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tables"
-
-
-def written(df: DataFrame, *keys: str) -> DataFrame:
-    """df as a Parquet table: its lineage ends here, and a lost executor costs only tasks."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    with _set(spark, _WRITERS, "8"):
-        (out.partitionBy(*keys) if keys else out).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.bomloom_path = path
-    return table
-
-
-def dropped(*tables: DataFrame, part: str = "") -> None:
-    """Delete tables, or a part (key=value) of each, that no later job reads."""
-    for table in tables:
-        if path := getattr(table, "bomloom_path", None):
-            jvm = table.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
-            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 @contextlib.contextmanager
 def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     old = spark.conf.get(name, None)
@@ -54,6 +27,11 @@ def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
+def written(df: DataFrame, *keys: str) -> DataFrame:
+    with _set(df.sparkSession, _WRITERS, "8"):
+        return tables.written(df, *keys)
+
+
 def shuffle_files_end_with_each_job(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
     """Within, the shuffle files of a finished job go at once, not when the driver next collects garbage."""
     return _set(spark, _CLEANUP, "true")
