@@ -23,7 +23,7 @@ from ._arrow import SPACED, Chunk, Hasher, bounded_batches, chunks, mix, words
 from ._pointers import GROUP_BYTES, POINTER, batch_of, by_doc, dealt, doc_group, first_of, groups_of, located, of_rows, packed, texts, unpacked
 from ._tables import shuffle_files_end_with_each_job, written
 
-#: Shorter lines (in characters) are removed only if they equal an earlier one.
+#: Shorter lines (in characters) are removed only if they equal an earlier one, unless a caller asks for less: a character makes "1." another line than "2.".
 MIN_NEAR = 16
 _CHUNK = 1 << 20
 _HASHES = "kind string, bucket long, data binary"
@@ -44,21 +44,21 @@ def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return begin[full], stop[full], doc[full]
 
 
-def _halves(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+def _halves(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hasher: Hasher, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of the line, key) of the beginnings and endings whose sharing nearness implies."""
     points = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     first = np.searchsorted(points, begin)
     n = np.searchsorted(points, end) - first
     who, key = [], []
     for size in (n // 2, (n - 1) // 2):
-        rows = np.flatnonzero(n >= MIN_NEAR - 1)
+        rows = np.flatnonzero(n >= max(3, least - 1))
         cut, rest = points[first[rows] + size[rows]], points[first[rows] + n[rows] - size[rows]]
         who += [rows, rows]
         key += [mix(hasher(begin[rows], cut) ^ size[rows].astype(np.uint64)), mix(hasher(rest, end[rows]) ^ size[rows].astype(np.uint64) ^ _HALF_KEYS)]
     return np.concatenate(who), np.concatenate(key)
 
 
-def _hashed(buckets: int, groups: int):
+def _hashed(buckets: int, groups: int, least: int):
     """For each chunk: its distinct lines dealt by hash, their halves dealt by key, and its own repeats for their documents."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +75,7 @@ def _hashed(buckets: int, groups: int):
                 new = first_of(rows["h"][by])
                 first = by[new]
                 again = _pointers(rows[by[~new]])
-                who, key = _halves(c.data, begin[first], end[first], hasher)
+                who, key = _halves(c.data, begin[first], end[first], hasher, least)
                 own = rows[first]
                 half = own[who]
                 half["k"] = key
@@ -158,13 +158,13 @@ def _varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(place), pa.array(n), *(batch.column(k).take(rows) for k in ("ord", "s"))], names=["v", "place", "n", "ord", "s"])
 
 
-def near_pairs(found: DataFrame) -> DataFrame:
+def near_pairs(found: DataFrame, least: int = MIN_NEAR) -> DataFrame:
     """Of lines (ord, s, line): a verified pair (ord, s, other ord, other s) for each line that has an earlier near one.
 
     Lines that share a variant at the same place are near each other, so each needs only
     the earliest of them as its partner, and a line and its variants meet at the line.
     """
-    varied = written(found.where(F.char_length("line") >= MIN_NEAR - 1).mapInArrow(_varied, "v long, place long, n long, ord long, s long"))
+    varied = written(found.where(F.char_length("line") >= least - 1).mapInArrow(_varied, "v long, place long, n long, ord long, s long"))
     me = F.struct("ord", "s")
     deleted, whole = varied.where("place >= 0"), varied.where("place < 0")
     first = deleted.groupBy("v", "place", "n").agg(F.min(me).alias("a"), F.count("*").alias("m")).where("m > 1").select("v", "place", "n", "a")
@@ -175,7 +175,7 @@ def near_pairs(found: DataFrame) -> DataFrame:
     pairs = same.unionAll(crossed).distinct()
     a = found.select(F.struct("ord", "s").alias("a"), F.col("line").alias("line_a"))
     b = found.select(F.struct("ord", "s").alias("b"), F.col("line").alias("line_b"))
-    near = pairs.join(a, "a").join(b, "b").where("greatest(char_length(line_a), char_length(line_b)) >= %d AND levenshtein(line_a, line_b) <= 1" % MIN_NEAR)
+    near = pairs.join(a, "a").join(b, "b").where("greatest(char_length(line_a), char_length(line_b)) >= %d AND levenshtein(line_a, line_b, 1) >= 0" % least)
     return near.select(F.col("b.ord").alias("ord"), F.col("b.s").alias("s"), F.col("a.ord").alias("other_ord"), F.col("a.s").alias("other_s"))
 
 
@@ -222,10 +222,11 @@ def _kept(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([row, pa.array(kept, pa.string()), *map(pa.array, counts)], names=["_row", "text", "n_lines", "n_removed", "n_near"])
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", min_near: int = MIN_NEAR) -> DataFrame:
     """The rows of docs, with text without the lines that equal or are near an earlier line, and n_lines, n_removed, n_near (long).
 
-    Earlier: in a document of smaller key (null keys last), or further up in the same.
+    Near: by one character that is put in, left out or changed, where the longer of the two
+    has min_near characters (4 at least). Earlier: in a document of smaller key (null keys last), or further up in the same.
     Lines are judged on the input, not on what is left of it. Lines without a word stay
     and count for nothing; a null text stays null, or is empty if its key repeats. Texts
     of one key count as one document. Other columns come back as they are.
@@ -236,12 +237,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups = max(1, size // GROUP_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     with shuffle_files_end_with_each_job(spark):
-        hashed = rows.select("ord", "base", "text").mapInArrow(_hashed(groups, groups), _HASHES)
+        hashed = rows.select("ord", "base", "text").mapInArrow(_hashed(groups, groups, min_near), _HASHES)
         met = written(hashed.groupBy("bucket").applyInArrow(_met(groups), _HASHES), "kind")
         placed = rows.select("_row", "ord", "base", "text", doc_group(groups).alias("bucket"))
         wanted = met.where("kind = 'near'").select("bucket", "data")
         found = written(placed.drop("_row").groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_taken, "ord long, s long, line string"))
-        near = written(near_pairs(found).select("ord", "s").distinct().mapInArrow(_dealt_out(groups), _HASHES))
+        near = written(near_pairs(found, min_near).select("ord", "s").distinct().mapInArrow(_dealt_out(groups), _HASHES))
     gone = met.where("kind = 'again'").select("bucket", "data").unionAll(near.select("bucket", "data"))
     kind = rows.schema["_row"].dataType.simpleString()
     out = placed.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(_kept, f"_row {kind}, text string, n_lines long, n_removed long, n_near long")
@@ -249,4 +250,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op7_line_dedup(documents: DataFrame) -> DataFrame:
+    """What dedup_lines removes from each document, which also says how odd input counts; kept_sha256 is of the text that is left."""
     return dedup_lines(documents.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
