@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import text_buffers
+from ._arrow import give_back, text_buffers
 
 #: Text bytes that a task holds at once when documents meet their pointers, about.
 GROUP_BYTES = 4 << 20
@@ -66,8 +66,8 @@ def batch_of(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
 
 
 def texts(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, begins, ord, base) of all texts of a group; Arrow's memory of earlier groups goes back first."""
-    pa.default_memory_pool().release_unused()
+    """(bytes, begins, ord, base) of all texts of a group; memory of earlier groups goes back first."""
+    give_back()
     table = docs.combine_chunks()
     if table.num_rows:
         column = table.column("text")

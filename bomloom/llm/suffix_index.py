@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import Hasher, bounded_batches, chunks, mix
+from ._arrow import Hasher, bounded_batches, chunks, give_back, mix
 from ._pointers import GROUP_BYTES, dealt, doc_group, first_of, located, of_rows, packed, texts, unpacked
 from ._tables import dropped, shuffle_files_end_with_each_job, written
 
@@ -234,6 +234,7 @@ def _arrays(buckets: int):
                 if sum(map(len, held)) >= _ROWS_AT_ONCE:
                     yield _array(np.concatenate(held), buckets)
                     held = []
+                    give_back()
         if held:
             yield _array(np.concatenate(held), buckets)
 
@@ -277,6 +278,7 @@ def _scanned(keep: bool):
     """scan() of one bucket's records; marked suffixes and settled spans among them pass."""
 
     def scanned(key: tuple, new: pa.Table, levels: pa.Table) -> pa.Table:
+        give_back()
         kinds, data = levels.column("kind").to_pylist(), levels.column("data").to_pylist()
         merging, staying = (unpacked([x for k, x in zip(kinds, data, strict=True) if k == kind], _ROW) for kind in ("merge", "stay"))
         kind = new.column("n").to_numpy() >> _KIND
@@ -370,6 +372,7 @@ def repeated_windows(left: np.ndarray, right: np.ndarray, ord_: np.ndarray, low:
 
 def _compared(key: tuple, table: pa.Table) -> pa.Table:
     """The spans of windows of one bucket that an earlier document has."""
+    give_back()
     found = []
     meta, ord_, s = (table.column(c).to_numpy() for c in ("n", "ord", "s"))
     raw = table.column("data").combine_chunks()
