@@ -241,6 +241,12 @@ def quantity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.quantity_rollup(values(spark, "parent_id string, child_id string, quantity double", _ROLL), "A", 4)
 
 
+@query(with_sql("e AS (SELECT DISTINCT parent_id AS p, child_id AS c, 1 + length(child_id) % 3 + 0.5::DOUBLE AS q FROM dag), w AS (SELECT c AS component, 1 AS depth, [p, c] AS nodes, q AS quantity FROM e WHERE p = 'R1' UNION ALL SELECT e.c, depth + 1, list_append(nodes, e.c), quantity * e.q FROM w JOIN e ON w.component = e.p WHERE depth < 3 AND NOT list_contains(nodes, e.c)) SELECT component, depth, array_to_string(nodes, '/') AS path, quantity FROM w", "dag", recursive=True))
+def quantity_rollup_of_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bom = dag(spark, sf_dir).distinct().withColumn("quantity", 1 + F.length("child_id") % 3 + 0.5)
+    return graph.quantity_rollup(bom, "R1", 3)
+
+
 @query(with_sql("n AS (SELECT DISTINCT unnest([parent_id, child_id]) AS node FROM dag), l0 AS (SELECT node, md5('') AS label FROM n), l1 AS (SELECT n.node, md5(l0.label || '|' || coalesce((SELECT string_agg(c.label, ',' ORDER BY c.label) FROM dag e JOIN l0 c ON c.node = e.child_id WHERE e.parent_id = n.node), '')) AS label FROM n JOIN l0 ON l0.node = n.node) SELECT node, label FROM l1", "dag"))
 def refined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.refined_labels(dag(spark, sf_dir), 1)
@@ -301,9 +307,13 @@ def extract_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return erp.extract_material_descriptions(makt(spark, sf_dir), "en").select("material_id", F.md5(F.col("full_text").cast("binary")).alias("digest"))
 
 
-@query()
+_TEXTS = "d AS (SELECT trim(matnr) AS material_id, min(trim(maktx)) AS a, min(trim(maktg)) AS b FROM makt WHERE spras = 'en' GROUP BY 1), t AS (SELECT material_id, " + _HASH.format(x="concat_ws(' ', a, b)") + " % 1000 AS h FROM d WHERE a IS NOT NULL OR b IS NOT NULL)"
+
+
+@query(with_sql(_TEXTS + " SELECT material_id, 384 AS length, round(h / 1000 - 0.5, 5)::DOUBLE AS first, round((h + 383) % 1000 / 1000 - 0.5, 5)::DOUBLE AS last FROM t", "makt"))
 def textual_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.compute_textual_embeddings(makt(spark, sf_dir), "en")
+    v = F.col("textual_embedding")
+    return embeddings.compute_textual_embeddings(makt(spark, sf_dir), "en").select("material_id", F.size(v).alias("length"), F.round(F.get(v, F.lit(0)).cast("double"), 5).alias("first"), F.round(F.get(v, F.lit(383)).cast("double"), 5).alias("last"))
 
 
 @query(with_sql("n AS (SELECT max(movement_date) AS m FROM movements), r AS (SELECT material_id, quantity AS q FROM movements, n WHERE movement_date >= m - 365 AND quantity > 0) SELECT material_id, round(avg(q), 6) AS mean, median(q) AS median, round(var_pop(q), 6) AS variance, sum(q) AS sum_values, count(*) AS length, min(q) AS minimum, max(q) AS maximum, sum(q * q) AS absolute_energy, max(q) - min(q) AS range, quantile_cont(q, 0.75) - quantile_cont(q, 0.25) AS iqr FROM r GROUP BY 1 HAVING count(*) >= 3", "movements"))
@@ -335,9 +345,50 @@ def domain_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("feature_index IN (92, 94)").select("feature_name", "feature_index", F.round("mean_value", 6).alias("mean_value"), F.round("std_value", 6).alias("std_value"), "num_samples")
 
 
-@query()
+_DOMAIN = """n AS (SELECT max(movement_date) AS m FROM movements WHERE quantity > 0), r AS (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY movement_date, quantity) - 1 AS t FROM movements, n WHERE movement_date >= m - 365 AND quantity > 0),
+c AS (SELECT material_id, count(*) AS n FROM r GROUP BY 1), dd AS (SELECT material_id, dayofweek(movement_date) AS d, count(*) AS k FROM r GROUP BY ALL), w AS (SELECT material_id, (1 + sum(k / c.n * ln(k / c.n)) / ln(7))::FLOAT::DOUBLE AS concentration FROM dd JOIN c USING (material_id) GROUP BY 1),
+f AS (SELECT material_id, avg((movement_type = '261')::INT)::FLOAT::DOUBLE AS receipt, avg((movement_type = '262')::INT)::FLOAT::DOUBLE AS reversal, avg((dayofweek(movement_date) IN (0, 6))::INT)::FLOAT::DOUBLE AS weekend, coalesce(regr_slope(quantity, t), 0) AS slope, abs(coalesce(regr_slope(quantity, t), 0)) / avg(quantity) AS strength FROM r GROUP BY 1 HAVING count(*) >= 3),
+x AS (SELECT 'receipt_ratio' AS feature_name, 92 AS feature_index, receipt AS v FROM f UNION ALL SELECT 'reversal_ratio', 93, reversal FROM f UNION ALL SELECT 'weekend_ratio', 94, weekend FROM f UNION ALL SELECT 'weekday_concentration', 95, concentration FROM f JOIN w USING (material_id) UNION ALL SELECT '{t}', 96, strength::FLOAT::DOUBLE FROM f UNION ALL SELECT '{g}', 97, (sign(slope) * least(1, strength))::FLOAT::DOUBLE FROM f)
+SELECT feature_name, feature_index, 'advanced' AS feature_category, round(avg(v), 6) AS mean_value, round(stddev_pop(v), 6) AS std_value, round(min(v), 6) AS min_value, round(max(v), 6) AS max_value, count(*) AS num_samples FROM x GROUP BY ALL"""
+
+
+def _rounded_statistics(found: DataFrame, digits: int) -> DataFrame:
+    return found.select("feature_name", "feature_index", "feature_category", *(F.round(c, digits).alias(c) for c in ("mean_value", "std_value", "min_value", "max_value")), "num_samples")
+
+
+@query(with_sql(_DOMAIN.format(t=statistics.DOMAIN[4], g=statistics.DOMAIN[5]), "movements"))
 def domain_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.compute_domain_specific_statistics(spark, movements(spark, sf_dir))
+    return _rounded_statistics(statistics.compute_domain_specific_statistics(spark, movements(spark, sf_dir)), 6)
+
+
+#: Features that SQL can say, over r (material_id, q, t from 0 in order, a: the mean, nx: the next): name in the catalogue, SQL.
+_SAID = {
+    "mean": "avg(q)", "median": "median(q)", "variance": "var_pop(q)", "standard_deviation": "stddev_pop(q)", "linear_trend__slope": "regr_slope(q, t)", "linear_trend__intercept": "regr_intercept(q, t)", "sum_values": "sum(q)", "length": "count(*)::DOUBLE",
+    "quantile__q_0_1": "quantile_cont(q, 0.1)", "quantile__q_0_25": "quantile_cont(q, 0.25)", "quantile__q_0_75": "quantile_cont(q, 0.75)", "quantile__q_0_9": "quantile_cont(q, 0.9)", "iqr": "quantile_cont(q, 0.75) - quantile_cont(q, 0.25)",
+    "minimum": "min(q)", "maximum": "max(q)", "absolute_maximum": "max(abs(q))", "range": "max(q) - min(q)", "absolute_energy": "sum(q * q)", "mean_abs_change": "avg(abs(nx - q))", "count_above_mean": "count(*) FILTER (q > a)::DOUBLE",
+    "count_below_mean": "count(*) FILTER (q < a)::DOUBLE", "moment_3": "avg((q - a) ** 3)", "moment_4": "avg((q - a) ** 4)", "raw_moment_3": "avg(q ** 3)", "raw_moment_4": "avg(q ** 4)", "ratio_beyond_r_sigma__r_1": "avg((abs(q - a) > s)::INT)", "coefficient_variation": "stddev_pop(q) / avg(q)",
+}
+_SERIES = "n AS (SELECT max(movement_date) AS m FROM movements WHERE quantity > 0), r AS (SELECT material_id, quantity AS q, row_number() OVER w - 1 AS t, lead(quantity) OVER w AS nx, avg(quantity) OVER p AS a, stddev_pop(quantity) OVER p AS s FROM movements, n WHERE movement_date >= m - 365 AND quantity > 0 WINDOW w AS (PARTITION BY material_id ORDER BY movement_date, quantity), p AS (PARTITION BY material_id)), f AS (SELECT material_id, " + ", ".join(f"{x} AS {n}" for n, x in _SAID.items()) + " FROM r GROUP BY 1 HAVING count(*) >= 3)"
+
+
+@query(with_sql(_SERIES + " SELECT material_id, " + ", ".join(f"round({n}, 4) AS {n}" for n in _SAID) + " FROM f", "movements"))
+def ts_features_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = statistics.extract_ts_features(spark, movements(spark, sf_dir))
+    return found.select("material_id", *(F.round(F.get("features", F.lit(statistics.NAMES.index(n))), 4).alias(n) for n in _SAID))
+
+
+@query(
+    with_sql(
+        _SERIES
+        + ", x AS ("
+        + " UNION ALL ".join(f"SELECT '{n}' AS feature_name, {statistics.NAMES.index(n)} AS feature_index, '{statistics.CATEGORIES[statistics.NAMES.index(n)]}' AS feature_category, {n} AS v FROM f" for n in _SAID)
+        + ") SELECT feature_name, feature_index, feature_category, round(avg(v), 3) AS mean_value, round(stddev_pop(v), 3) AS std_value, round(min(v), 3) AS min_value, round(max(v), 3) AS max_value, count(*) AS num_samples FROM x GROUP BY ALL",
+        "movements",
+    )
+)
+def embedding_statistics_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = statistics.recompute_embedding_statistics(spark, movements(spark, sf_dir))
+    return _rounded_statistics(found.where(F.col("feature_index").isin([statistics.NAMES.index(n) for n in _SAID])), 3)
 
 
 @query()
@@ -366,11 +417,13 @@ def fuse_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", F.when(v.isNotNull(), F.size(v)).alias("length"), F.round(F.aggregate(v, F.lit(0.0), lambda a, b: a + b.cast("double")), 2).alias("total"))
 
 
-@query()
+@query(with_sql(_TEXTS + " SELECT material_id, 768 AS length, round(sqrt(0.5) * 0.1, 4) AS structural, round(sqrt(0.5) * (h / 1000 - 0.5), 4) AS textual, 0.0::DOUBLE AS transactional, 0.5::DOUBLE AS weight FROM t", "makt"))
 def fused_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = embeddings.compute_textual_embeddings(makt(spark, sf_dir), "en")
     rows = texts.select("material_id", F.array_repeat(F.lit(0.1).cast("float"), 256).alias("structural_embedding"), "textual_embedding", F.lit(None).cast("array<float>").alias("transactional_embedding"))
-    return embeddings.compute_fused_embeddings(rows)
+    v = F.col("combined_embedding")
+    at = {"structural": 0, "textual": 256, "transactional": 767}
+    return embeddings.compute_fused_embeddings(rows).select("material_id", F.size(v).alias("length"), *(F.round(F.get(v, F.lit(i)).cast("double"), 4).alias(m) for m, i in at.items()), F.col("fusion_weights.textual").cast("double").alias("weight"))
 
 
 _COSINE = "1 - coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) / nullif(sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x))), 0), 0)"
