@@ -153,6 +153,11 @@ def test_lines(case):
     assert lines.dedup_lines(table).columns == [*table.columns, "n_lines", "n_removed", "n_near"]
 
 
+def test_near_lines_of_another_least_length(docs, texts):
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_near) for r in lines.dedup_lines(docs, min_near=5).collect()}
+    assert got == {i: x[1:] for i, x in line_dedup(texts, 5).items()} != {i: x[1:] for i, x in line_dedup(texts).items()}
+
+
 @BOTH
 def test_decontamination(spark, which, case):
     table, rows = case

@@ -64,6 +64,32 @@ def test_only_nulls(spark):
     assert corpus_pipeline.near_dedup(spark, docs, SF).count() == 1
 
 
+def test_very_long_texts(spark):
+    """Two megabytes in one text, and its copy, are treated as whole as any other."""
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 12)) for _ in range(28_000)]
+    long = "\n".join(lines)
+    docs = wide(spark, [(2, long), (1, long), (3, "a short one of some words")])
+    items = spark.createDataFrame([("tail", lines[-1])], ITEMS)
+    got = {name: {r.doc_id: r for r in out.collect() if r.doc_id < 3} for name, out in all_of(spark, docs).items() if name not in ("op2", "op3", "op8")}
+    size = len(long.encode())
+    assert size > 2_000_000 and (got["op1"][1].n_removed, got["op1"][2].n_removed, got["op1"][2].n_spans) == (0, size, 1)
+    assert got["op4"][1].fingerprint == got["op4"][2].fingerprint == f"{fingerprint(long):016x}" and got["op4"][2].component_id == 1
+    assert got["op5"][1].n_words == 12 * len(lines) and got["op6"][1].n_tokens == 12 * len(lines) + 1
+    assert (got["op7"][1].n_lines, got["op7"][2].n_removed) == (len(lines), len(lines))
+    found = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.op10_decontamination(docs, items).collect()}
+    assert found[1] == found[2] == (12 * len(lines), 12)
+    pieces = packing.op8_best_fit_packing(docs).where("doc_id = 1").agg({"length": "sum", "piece": "max"}).first()
+    assert pieces[0] > 12 * len(lines) or pieces[1] > 12 * len(lines)
+
+
+def test_ids_that_are_no_integers(spark):
+    docs = spark.createDataFrame([("a", "one two three")], "doc_id string, text string")
+    for operator in (suffix_index.removed_spans, lines.dedup_lines):
+        with pytest.raises(TypeError, match="integers"):
+            operator(docs)
+
+
 def brute_pipeline(rows, items):
     """Documents before packing: doc_id -> text."""
     kept = [(i, t) for i, t in rows if not quality(t)[5]]
