@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bomloom.functions.sets import overlap
 from bomloom.sources.inputs import default, edges, relation, required
+from bomloom.sources.tables import written
 
 Queries = str | list | DataFrame
 
@@ -50,6 +51,7 @@ def fill(found: DataFrame, queries: DataFrame, materials: DataFrame, k: int) ->
 
 
 def _scored(pairs: DataFrame, queries: DataFrame, k: int, min_similarity: float, eligible: DataFrame | None = None) -> DataFrame:
+    pairs = written(pairs)  # read by four joins
     size = sizes(pairs)
     known = queries.join(size.select(F.col("material_id").alias("query_id"), F.col("size").alias("own")), "query_id")
     found = sharing(pairs, known.select("query_id"))
@@ -96,7 +98,7 @@ def all_pairs_jaccard(spark: SparkSession, bom_table: DataFrame | str, min_simil
     With a bound above 0 a component list is searched by its prefix only: two sets that
     reach it share one of their rarest components, so common ones needn't be joined on.
     """
-    pairs = edges(relation(spark, bom_table, ["parent_id", "child_id"], "bom_table"))
+    pairs = written(edges(relation(spark, bom_table, ["parent_id", "child_id"], "bom_table")))
     sized = pairs.join(sizes(pairs).withColumnRenamed("material_id", "parent_id"), "parent_id")
     if min_similarity > 0:
         frequency = pairs.groupBy("child_id").agg(F.count("*").alias("frequency"))
