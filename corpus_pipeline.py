@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomloom.llm import decontam, lines, packing, rules, simhash
-from bomloom.llm._tables import written
+from bomloom.llm._tables import dropped, written
 
 #: SQL can't express line nearness, fingerprint components or packing; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -74,9 +74,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents after all stages; each stage's table goes when the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs)
+            dropped(before)
     return docs
