@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import Chunk, Hasher, bounded_batches, byte_class, chunks, lower, words
+from ._tables import written
 
 #: Labelled rows from which the lexicon is drawn, and rows of any kind from which with them label model and classifier are fitted, at most.
 MAX_LABELLED, MAX_ROWS = 10_000, 10_000
@@ -175,10 +176,12 @@ def _vote(strength: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 5) -> Model:
     """A model from rows whose crc32(key as text) mod parts isn't 0: at most MAX_LABELLED labelled ones, and MAX_ROWS of any kind; the driver gets counts and hits, no texts."""
-    rows = labels.where(~held_out(key, parts, 0)).where("toxic IN (0, 1)").groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = rows.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
-    texts = docs.select(F.col(key).alias("doc_id"), "text")
-    sample = texts.join(F.broadcast(rows.withColumnRenamed(key, "doc_id")), "doc_id").select("doc_id", "text", "toxic")
+    labelled = labels.where(~held_out(key, parts, 0)).where("toxic IN (0, 1)").groupBy(F.col(key).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    labelled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    drawn = docs.select(F.col(key).alias("doc_id")).where(~held_out("doc_id", parts, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS).distinct()
+    chosen = F.broadcast(written(drawn.join(labelled, "doc_id", "full")))  # at most MAX_LABELLED + MAX_ROWS ids
+    voting = written(docs.select(F.col(key).alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "toxic"))
+    sample = voting.where("toxic IS NOT NULL")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     neg, pos = n.get(0, 0), n.get(1, 0)
     least = max(3, round(0.004 * pos))
@@ -197,12 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 5)
     strong = strong[np.argsort(-surprise[strong], kind="stable")][:MAX_ENTRIES]
     rank = np.argsort(candidates[strong])  # places of the entries by strength, in order of their hashes
     entries, n = candidates[strong][rank], len(strong)
-    more = texts.where(~held_out("doc_id", parts, 0)).withColumn("at", F.xxhash64("doc_id"))
-    more = more.join(F.broadcast(more.select("at").orderBy("at").limit(MAX_ROWS).distinct()), "at", "left_semi").select("doc_id", "text", F.lit(None).cast("int").alias("toxic"))
-    voting = sample.unionAll(more).mapInArrow(_rows(entries), "toxic int, hits binary, rates binary, marks binary").collect()
-    toxic = np.array([-1 if r["toxic"] is None else r["toxic"] for r in voting], np.int64)
-    x = np.zeros((len(voting), 2 * n + len(_PATTERNS)), np.float32)
-    for i, r in enumerate(voting):
+    found = voting.mapInArrow(_rows(entries), "toxic int, hits binary, rates binary, marks binary").collect()
+    toxic = np.array([-1 if r["toxic"] is None else r["toxic"] for r in found], np.int64)
+    x = np.zeros((len(found), 2 * n + len(_PATTERNS)), np.float32)
+    for i, r in enumerate(found):
         hits = np.frombuffer(r["hits"], np.int32)
         x[i, hits], x[i, n + hits] = 1, np.frombuffer(r["rates"], np.float32)
         x[i, 2 * n :] = np.frombuffer(r["marks"], np.float32)
