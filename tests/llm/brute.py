@@ -76,6 +76,21 @@ def quality(text: str | None) -> tuple:
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeat), len(words) < 20 or 100 * len(repeat) > 30 * len(words)
 
 
+def kept(text: str | None) -> bool:
+    """Whether the latest policy of the quality rules keeps a text."""
+    text = text or ""
+    words = WORD.findall(text)
+    n, chars, symbols, repeated, _, base_failed = quality(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    capitals, small = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    shouted, stuttered = sum(w.count("!") > 1 for w in words), sum(a == b for a, b in zip(words, words[1:], strict=False))
+    failed = (
+        base_failed, 10 * symbols > 3 * n, 10 * shouted > 3 * n, capitals > 2 * small and capitals > 40, len(lines) > 3 and 2 * repeated > len(lines),
+        n > 0 and not 2 * n <= chars <= 25 * n, 2 * stuttered > n, n == 0,
+    )
+    return not any(failed)
+
+
 def base_scores(docs: list[tuple[int, str | None]]) -> dict[int, tuple]:
     """doc_id -> held_out, n_tokens, n_known, train_tokens, base_score."""
     tokens = {i: [*WORD.findall((t or "").translate(ASCII_LOWER)), None] for i, t in docs}

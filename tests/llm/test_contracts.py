@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import ASCII_LOWER, WORD, base_scores, components, fingerprint, held_out, leaks, line_dedup, quality, removed
+from brute import ASCII_LOWER, WORD, base_scores, components, fingerprint, held_out, kept, leaks, line_dedup, quality, removed
 from conftest import SF
 
 from bomloom.llm import decontam, lines, lm, rules, simhash, suffix_index
@@ -78,6 +78,9 @@ def test_quality(case):
     table, rows = case
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rules.op5_quality_rules(table).collect()}
     assert got == {i: quality(t) for i, t in rows}
+    verdicts = {r.doc_id: r.kept for r in rules.op5_quality_rules(table).collect()}
+    assert verdicts == {i: kept(t) for i, t in rows} and set(verdicts.values()) == {True, False}
+    assert sorted(r.doc_id for r in rules.kept_rows(table).collect()) == sorted(i for i, t in rows if kept(t))
 
 
 def test_quality_policies(docs):

@@ -39,6 +39,8 @@ def test_language_held_out(spark):
     rows = [r for r in langid.op3_language_id(table).collect() if r.held_out]
     plain = [r for r in rows if lang[r.doc_id][0] and len(lang[r.doc_id][1] or "") > 200 and r.lang_pred != "und"]
     assert np.mean([r.lang_pred == lang[r.doc_id][0] for r in plain]) > 0.95
+    short = [r for r in rows if lang[r.doc_id][0] and len(lang[r.doc_id][1] or "") <= 200 and r.lang_pred != "und"]
+    assert len(short) > 5 and np.mean([r.lang_pred == lang[r.doc_id][0] for r in short]) > 0.9
     assert all((r.lang_pred == "und") == (not any(map(str.isalpha, lang[r.doc_id][1] or ""))) and 0 <= r.score <= 1 for r in rows)
 
 
