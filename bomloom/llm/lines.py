@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import SPACED, Chunk, Hasher, bounded_batches, chunks, mix, words
+from ._arrow import SPACED, Chunk, Hasher, bounded_batches, chunks, give_back, mix, words
 from ._pointers import GROUP_BYTES, POINTER, batch_of, by_doc, dealt, doc_group, first_of, groups_of, located, of_rows, packed, texts, unpacked
 from ._tables import shuffle_files_end_with_each_job, written
 
@@ -83,6 +83,7 @@ def _hashed(buckets: int, groups: int, least: int):
                 out += [("half", b, packed(half[r])) for b, r in groups_of(dealt(key, buckets))] if len(half) else []
                 out += [("again", g, packed(again[r])) for g, r in by_doc(again, groups)]
                 yield batch_of(out)
+            give_back()
 
     return build
 
@@ -112,7 +113,9 @@ def _met(groups: int):
         shared = half[np.bincount(group)[group] > 1] if len(half) else half
         shared = _pointers(shared[np.unique(shared["h"], return_index=True)[1]])
         out += [("near", g, packed(shared[r])) for g, r in by_doc(shared, groups)]
-        return pa.Table.from_batches([batch_of(out)])
+        out = pa.Table.from_batches([batch_of(out)])
+        give_back()
+        return out
 
     return meet
 
