@@ -42,6 +42,8 @@ _NAMED = frozenset(
 _HEADERS = frozenset("header head masthead topbar banner".split())
 #: Parts of class names that say where something stands or what shape it has, not what it is.
 _NEUTRAL = frozenset("site page main top bottom left right upper lower box list bar block slot wrap wrapper container section area unit item items inner outer panel row col column group link links button buttons form field icon icons holder zone region primary secondary global mobile desktop js the a s".split())
+#: Parts by which a name tells a state or a layout.
+_STATES = frozenset("has with without no not is and or content enabled disabled open closed active".split())
 _HEADINGS = frozenset(["h1", "h2", "h3"])
 
 _OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
@@ -65,9 +67,13 @@ class Line(NamedTuple):
 
 
 def _names_boilerplate(token: str, names: frozenset) -> bool:
-    """Whether a class, id or role is such a name: alone, or joined only with others and with neutral parts."""
+    """Whether a class, id or role is such a name, or a compound of which one is the head; what only tells a state is not."""
     parts = [p for p in _SPLIT.split(token) if p]
-    return any(p in names for p in parts) and all(p in names or p in _NAMED or p in _NEUTRAL for p in parts)
+    if not _STATES.isdisjoint(parts):
+        return False
+    while parts and parts[-1] in _NEUTRAL:
+        parts.pop()
+    return bool(parts) and parts[-1] in names
 
 
 def _is_boilerplate(name: str, rest: str, in_article: bool) -> bool:

@@ -32,6 +32,7 @@ PAGES = [
     ("light last section", f"{BODY}<div class=ads>a</div><div class=ads>b</div><div class=ads>c</div><h2>After</h2><p>The water fell on Friday, they say.</p>", f"{TEXT} After The water fell on Friday, they say."),
     ("related article class", f"<div class='related-article content'>{BODY}</div>", TEXT),
     ("has-sidebar", f"<body class='has-sidebar nav-open'><div id=wrap class=post-comment-enabled>{BODY}</div>", TEXT),
+    ("compounds", f"<div class='content-sidebar-wrap with-comments'><div class='news-article'>{BODY}</div><div class='article-comments'><p>I was there, and it was not like that at all.</p></div><div id=site_footer>Imprint and all that, in a long line of text.</div></div>", TEXT),
     ("cookie notice", f"<div id=cookie-notice>We set cookies. This text about them is longer than any of the article's own paragraphs, and says nothing.</div>{BODY}", TEXT),
     ("comments", f"<article>{BODY}</article><section id=comments><p>{P[0]} I was there, and it was not like that at all.</p></section>", TEXT),
     ("comments in divs", f"{BODY}<div class='comment-list'><p>I was there, and it was not like that at all, I tell you.</p></div>", TEXT),
