@@ -131,7 +131,7 @@ def bom_property_graph(header: DataFrame, component: DataFrame, source_system: s
     """One row: graph_name, source, num_nodes, num_edges of a source's bills of materials."""
     own = header.where(F.col("source_system") == source_system)
     nodes = own.agg(F.count_distinct("parent_material_id").alias("num_nodes"))
-    lines = component.join(own.select("bom_id").distinct(), "bom_id", "left_semi").agg(F.count("*").alias("num_edges"))
+    lines = component.join(own.select("bom_id"), "bom_id").agg(F.count("*").alias("num_edges"))
     return nodes.crossJoin(lines).select(F.lit(f"BOM_PROPERTY_GRAPH_{source_system}").alias("graph_name"), F.lit(source_system).alias("source"), "num_nodes", "num_edges")
 
 

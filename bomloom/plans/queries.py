@@ -257,6 +257,11 @@ def aggregate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.aggregate_material_components(spark, baskets(spark, sf_dir)).select("material_id", F.array_join("components", ",").alias("components"))
 
 
+@query(with_sql("x AS (SELECT 1) SELECT parent_id AS material_id, array_to_string(list(child_id ORDER BY child_id), ',') AS components FROM suppliers WHERE parent_id IN ('S1', 'S2') GROUP BY 1", "suppliers"))
+def aggregate_components_of_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moves.aggregate_material_components(spark, suppliers(spark, sf_dir), ["S1", "S2", "nobody"]).select("material_id", F.array_join("components", ",").alias("components"))
+
+
 @query(with_sql("n AS (SELECT max(movement_date) AS m FROM movements WHERE quantity > 10) SELECT material_id, movement_date, quantity FROM movements, n WHERE quantity > 10 AND movement_date >= m - 180", "movements"))
 def filter_recent_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.filter_recent_movements(spark, movements(spark, sf_dir), 180, 10)
