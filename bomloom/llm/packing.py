@@ -25,7 +25,7 @@ from ._tables import shuffle_files_end_with_each_job, written
 CAPACITY = 2048
 END = 0
 #: Parts of texts whose ids a worker keeps.
-_CACHE = 150_000
+_CACHE = 400_000
 #: Letters and marks up to here split alike in both tokenizer libraries; texts with others go to the first.
 _BEYOND = re.compile("[^\x00-ɏ]")
 _encoders: dict[str, Encoder] = {}
