@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, lines, lm, packing, rules, simhash, suffix_index, toxicity
+from . import decontam, fim, html, langid, lines, lm, mixing, packing, rules, simhash, suffix_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,8 +34,10 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": _on(packing.op8_best_fit_packing, "documents"),
         "op9_html_extraction": _on(html.op9_html_extraction, "pages"),
         "op10_decontamination": _on(decontam.op10_decontamination, "documents", "benchmark"),
+        "op11_fill_in_middle": _on(fim.op11_fill_in_middle, "documents"),
+        "op13_source_mixing": _on(mixing.op13_source_mixing, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fill_in_middle": fim.OP11_SQL, "op13_source_mixing": mixing.OP13_SQL}
