@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fim, html, langid, lines, lm, mixing, packing, rules, simhash, suffix_index, toxicity
+from . import alignment, decontam, fim, html, langid, lines, lm, mixing, packing, rules, simhash, suffix_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op9_html_extraction": _on(html.op9_html_extraction, "pages"),
         "op10_decontamination": _on(decontam.op10_decontamination, "documents", "benchmark"),
         "op11_fill_in_middle": _on(fim.op11_fill_in_middle, "documents"),
+        "op12_tokenizer_alignment": _on(alignment.op12_tokenizer_alignment, "documents"),
         "op13_source_mixing": _on(mixing.op13_source_mixing, "documents"),
     }
 
