@@ -30,7 +30,11 @@ from ._tables import shuffle_files_end_with_each_job, written
 from .packing import Encoder
 
 #: Parts that a worker keeps between batches.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 200_000
+#: Parts that are aligned at once.
+_TOGETHER = 20_000
+#: Parts whose pairs are summed at once; a longer text is alone.
+_PARTS_AT_ONCE = 200_000
 _SPACE_MARK = "▁"
 #: Spaces between two characters that are no white space; and where others are.
 _LONE_SPACE, _SPACES = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
@@ -105,8 +109,7 @@ class Parts:
         """Align texts that have no number yet, each once."""
         first = len(self.number)
         self.number.update(zip(texts, range(first, first + len(texts)), strict=True))
-        ids_a, ids_b = self.v.encode(texts)
-        found = _aligned(texts, ids_a, ids_b, self.v)
+        found = _aligned(texts, *self.v.encode(texts), self.v)
         self.said += found.said
         self.figures = np.concatenate([self.figures, found.figures])
         self.at = np.concatenate([self.at, self.at[-1] + found.at[1:]])
@@ -194,7 +197,8 @@ def _of_texts(texts: list[str | None], v: Vocabularies) -> Texts:
     while True:
         number = v.parts.number
         if new := [*dict.fromkeys(p for c in cuts for p in c if p not in number)]:
-            v.parts.add(new)
+            for i in range(0, len(new), _TOGETHER):
+                v.parts.add(new[i : i + _TOGETHER])
         sizes = np.array([*map(len, cuts)], np.int64)
         ids = np.fromiter((number[p] for c in cuts for p in c), np.int64, int(sizes.sum()))
         doc = np.repeat(np.arange(len(texts)), sizes)
@@ -210,22 +214,26 @@ def _of_texts(texts: list[str | None], v: Vocabularies) -> Texts:
     said, at_doc = v.parts.said, np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
     numbers = ids.tolist()
     texts_said = [b";".join([said[p] for p in numbers[i:j]]) for i, j in zip(at_doc, at_doc[1:], strict=False)]
-    # Pairs of all parts of all texts, then summed by text and pair.
-    rows = _expanded(v.parts.at, ids)
-    per = np.repeat(doc, v.parts.at[ids + 1] - v.parts.at[ids])
-    kinds, kind = np.unique(ids, return_inverse=True)  # distinct parts of the batch, whose pairs alone are numbered
-    kind_rows = _expanded(v.parts.at, kinds)
-    distinct, local = np.unique(v.parts.pair[kind_rows], return_inverse=True)
-    kind_at = np.r_[0, np.cumsum(v.parts.at[kinds + 1] - v.parts.at[kinds])]
-    key = per * max(len(distinct), 1) + local[_expanded(kind_at, kind)]
-    times = v.parts.times[rows]
+    # Some texts at a time, the pairs of all their parts, summed by text and pair.
+    ends = np.searchsorted(np.asarray(at_doc[1:]), np.arange(_PARTS_AT_ONCE, len(ids) + _PARTS_AT_ONCE, _PARTS_AT_ONCE), "right")
+    found = [_summed(v.parts, ids[at_doc[i] : at_doc[j]], doc[at_doc[i] : at_doc[j]]) for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(texts)], strict=True) if i < j]
+    per, pair, times = map(np.concatenate, zip(*found, strict=True))
+    distinct, pair = np.unique(pair, return_inverse=True)
+    return Texts(figures, texts_said, np.searchsorted(per, np.arange(len(texts) + 1)), distinct, pair, times)
+
+
+def _summed(parts: Parts, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, pair, how often it is linked there) of texts that consist of parts, by text."""
+    kinds, kind = np.unique(ids, return_inverse=True)
+    distinct, local = np.unique(parts.pair[_expanded(parts.at, kinds)], return_inverse=True)
+    kind_at = np.r_[0, np.cumsum(parts.at[kinds + 1] - parts.at[kinds])]
+    key = np.repeat(doc, parts.at[ids + 1] - parts.at[ids]) * max(len(distinct), 1) + local[_expanded(kind_at, kind)]
     order = np.argsort(key, kind="stable")
-    key, times = key[order], times[order]
+    times = parts.times[_expanded(parts.at, ids)][order]
+    key = key[order]
     new = _runs(key)[:-1]
-    times = np.add.reduceat(times, new) if len(new) else times
-    key = key[new]
-    per, pair = key // max(len(distinct), 1), key % max(len(distinct), 1)
-    return Texts(figures, texts_said, np.searchsorted(per, np.arange(len(texts) + 1)), distinct, pair, times)
+    key, times = key[new], np.add.reduceat(times, new) if len(new) else times
+    return key // max(len(distinct), 1), distinct[key % max(len(distinct), 1)], times
 
 
 _TEXT_COLUMNS = "n_a long, n_b long, n_groups long, n_links long, groups string"

@@ -1,12 +1,14 @@
 """Empty tables, null and repeated ids, clashing names, and the pipeline."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from brute import fingerprint, leaks, line_dedup, quality
 from conftest import KINDS, SF, wide
 
 import corpus_pipeline
-from bomloom.llm import decontam, langid, lines, lm, packing, queries, rules, simhash, suffix_index, toxicity
+from bomloom.llm import alignment, decontam, fim, langid, lines, lm, mixing, packing, queries, rules, simhash, suffix_index, toxicity
 
 ITEMS, LABELS = "item_id string, text string", "doc_id long, quality int, toxic int"
 
@@ -25,15 +27,18 @@ def all_of(spark, docs):
         "op7": lines.op7_line_dedup(docs),
         "op8": packing.op8_best_fit_packing(docs),
         "op10": decontam.op10_decontamination(docs, items),
+        "op11": fim.op11_fill_in_middle(docs),
+        "op12": alignment.op12_tokenizer_alignment(docs),
+        "op13": mixing.op13_source_mixing(docs),
     }
 
 
 def test_names():
-    assert len(queries.queries()) == 11 and {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {k.split("_")[0] for k in queries.queries()}
+    assert len(queries.queries()) == 14 and {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {k.split("_")[0] for k in queries.queries()}
 
 
 def test_empty_tables(spark, empty):
-    assert {k: v.count() for k, v in all_of(spark, empty).items()} == dict.fromkeys(("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op10"), 0)
+    assert {k: v.count() for k, v in all_of(spark, empty).items()} == dict.fromkeys(("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op10", "op11", "op12", "op13"), 0)
     none = spark.createDataFrame([], ITEMS)
     docs = wide(spark, [(1, "one two three")])
     assert not decontam.op10_decontamination(docs, none).first().contaminated
@@ -77,6 +82,8 @@ def test_very_long_texts(spark):
     assert got["op4"][1].fingerprint == got["op4"][2].fingerprint == f"{fingerprint(long):016x}" and got["op4"][2].component_id == 1
     assert got["op5"][1].n_words == 12 * len(lines) and got["op6"][1].n_tokens == 12 * len(lines) + 1
     assert (got["op7"][1].n_lines, got["op7"][2].n_removed) == (len(lines), len(lines))
+    assert (got["op11"][1].n, got["op11"][1].restored_sha256) == (12 * len(lines), hashlib.sha256(long.encode()).hexdigest())
+    assert got["op12"][1].n_links == got["op12"][2].n_links > 12 * len(lines) and got["op13"][1]["size"] == 12 * len(lines)
     found = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.op10_decontamination(docs, items).collect()}
     assert found[1] == found[2] == (12 * len(lines), 12)
     pieces = packing.op8_best_fit_packing(docs).where("doc_id = 1").agg({"length": "sum", "piece": "max"}).first()
