@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bomloom.functions.sets import portable_hash
 from bomloom.functions.vectors import cosine_distance, embed_text, fuse_embeddings, l2sq_distance
 from bomloom.operators.erp import extract_material_descriptions
+from bomloom.operators.minhash import SEEDS, signatures
 from bomloom.sources.inputs import default, edges, relation
 
-SEEDS = 128
-_MERSENNE = (1 << 31) - 1
-
-
-def seeded(h: Column, seed: Column) -> Column:
-    """One of the hash functions of a family: linear ones modulo a prime."""
-    a = (seed.cast("long") * 1_000_003 + 12_345) % _MERSENNE + 1
-    b = (seed.cast("long") * 7_919_777 + 54_321) % _MERSENNE
-    return (a * (h % _MERSENNE) + b) % _MERSENNE
-
 
 def compute_jaccard_embeddings(spark: SparkSession, bom_table: DataFrame | str | None = "bom_items") -> DataFrame:
     """material_id, seed, minhash_value, num_components: for each seed the least hash of a material's components."""
-    pairs = edges(relation(spark, default(bom_table, "bom_items"), ["parent_id", "child_id"], "bom_table")).select("parent_id", portable_hash(F.col("child_id")).alias("h"))
-    spread = pairs.select("parent_id", "h", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed"))
-    return spread.groupBy(F.col("parent_id").alias("material_id"), "seed").agg(F.min(seeded(F.col("h"), F.col("seed"))).cast("float").alias("minhash_value"), F.count("*").cast("int").alias("num_components"))
+    pairs = edges(relation(spark, default(bom_table, "bom_items"), ["parent_id", "child_id"], "bom_table"))
+    each = signatures(pairs).select("material_id", F.posexplode("signature").alias("seed", "least"), F.col("size").cast("int").alias("num_components"))
+    return each.select("material_id", "seed", F.col("least").cast("float").alias("minhash_value"), "num_components")
 
 
 def estimated_jaccard(minhash: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -92,6 +92,19 @@ def cold_start_analogs(spark: SparkSession, queries: Queries, k: int, min_histor
     )
 
 
+def prefix_candidates(pairs: DataFrame, min_similarity: float) -> DataFrame:
+    """material_a < material_b that share one of their rarest components, and are near enough in size: all pairs of at least the bound are among them."""
+    sized = pairs.join(sizes(pairs).withColumnRenamed("material_id", "parent_id"), "parent_id")
+    frequency = pairs.groupBy("child_id").agg(F.count("*").alias("frequency"))
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("frequency", "child_id"))
+    prefix = F.col("size") - F.ceil(F.col("size") * min_similarity - 1e-9) + 1
+    rare = sized.join(frequency, "child_id").withColumn("place", place).where(F.col("place") <= prefix).select("parent_id", "child_id", "size")
+    a, b = rare.alias("a"), rare.alias("b")
+    near = F.least("a.size", "b.size") >= min_similarity * F.greatest("a.size", "b.size") - 1e-9
+    met = a.join(b, F.col("a.child_id") == F.col("b.child_id")).where(F.col("a.parent_id") < F.col("b.parent_id")).where(near)
+    return met.select(F.col("a.parent_id").alias("material_a"), F.col("b.parent_id").alias("material_b")).distinct()
+
+
 def all_pairs_jaccard(spark: SparkSession, bom_table: DataFrame | str, min_similarity: float = 0.0) -> DataFrame:
     """material_a < material_b that share a component, with their similarity of at least min_similarity.
 
@@ -99,15 +112,8 @@ def all_pairs_jaccard(spark: SparkSession, bom_table: DataFrame | str, min_simil
     reach it share one of their rarest components, so common ones needn't be joined on.
     """
     pairs = written(edges(relation(spark, bom_table, ["parent_id", "child_id"], "bom_table")))
-    sized = pairs.join(sizes(pairs).withColumnRenamed("material_id", "parent_id"), "parent_id")
     if min_similarity > 0:
-        frequency = pairs.groupBy("child_id").agg(F.count("*").alias("frequency"))
-        place = F.row_number().over(Window.partitionBy("parent_id").orderBy("frequency", "child_id"))
-        prefix = F.col("size") - F.ceil(F.col("size") * min_similarity - 1e-9) + 1
-        rare = sized.join(frequency, "child_id").withColumn("place", place).where(F.col("place") <= prefix).select("parent_id", "child_id", "size")
-        a, b = rare.alias("a"), rare.alias("b")
-        near = F.least("a.size", "b.size") >= min_similarity * F.greatest("a.size", "b.size") - 1e-9
-        candidates = a.join(b, F.col("a.child_id") == F.col("b.child_id")).where(F.col("a.parent_id") < F.col("b.parent_id")).where(near).select(F.col("a.parent_id").alias("material_a"), F.col("b.parent_id").alias("material_b")).distinct()
+        candidates = prefix_candidates(pairs, min_similarity)
         left = candidates.join(pairs.withColumnRenamed("parent_id", "material_a"), "material_a")
         shared = left.join(pairs.withColumnRenamed("parent_id", "material_b"), ["material_b", "child_id"]).groupBy("material_a", "material_b").agg(F.count("*").alias("shared_components"))
     else:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +10,9 @@ from bomloom.operators import compare, embeddings, erp, explosion, graph, metric
 from bomloom.operators import movements as moves
 from bomloom.plans import inputs as tables
 from bomloom.plans.inputs import baskets, dag, makt, movements, suppliers, with_sql
+from bomloom.plans.registry import ORACLES, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
@@ -34,7 +21,6 @@ def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
 
 _SETS = [(1, ["A", "B", "C"], ["B", "C", "D"]), (2, ["A"], ["A"]), (3, ["A"], ["B"]), (4, [], []), (5, ["A", "B"], []), (6, ["A", "A", "B"], ["B", "B", "C"]), (7, None, ["A"]), (8, ["A", None], ["A", None])]
 _SETS_SQL = "sets(id, a, b) AS (VALUES (1, ['A','B','C'], ['B','C','D']), (2, ['A'], ['A']), (3, ['A'], ['B']), (4, [], []), (5, ['A','B'], []), (6, ['A','A','B'], ['B','B','C']), (7, NULL, ['A']), (8, ['A', NULL], ['A', NULL]))"
-_LISTS = "l AS (SELECT parent_id, list(child_id) AS c FROM suppliers GROUP BY 1)"
 
 
 @query(f"WITH {_SETS_SQL}, d AS (SELECT id, a, b, list_distinct(a) AS x, list_distinct(b) AS y FROM sets) SELECT id, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN len(x) + len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END AS similarity, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN len(x) + len(y) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) END AS dice FROM d")
@@ -759,3 +745,6 @@ def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = places.select(F.col("m").alias("material_a"), "s_nationkey").join(places.select(F.col("m").alias("material_b"), "s_nationkey"), "s_nationkey").where("material_a < material_b")
     fused = compare.late_fusion({"structure": (search.all_pairs_jaccard(spark, suppliers(spark, sf_dir)), 0.7), "place": (near.withColumn("similarity", F.lit(1.0)), 0.3)})
     return fused.withColumn("similarity", F.round("similarity", 9))
+
+
+from bomloom.plans import stored  # noqa: E402, F401  (registers more queries, which use some of these)
