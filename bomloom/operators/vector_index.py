@@ -86,7 +86,7 @@ def _best(k: int, metric: str, _key: tuple, vectors: pa.Table, queries: pa.Table
     apart = pc.fill_null(pc.not_equal(own, other.cast(own.type)), True).to_numpy(zero_copy_only=False)
     at_q, at_v = at_q[apart], at_v[apart]
     distance = _exact(q[at_q], v[at_v], metric)
-    place = pc.rank(vectors.column("vec_id").combine_chunks(), tiebreaker="first").to_numpy()
+    place = pc.rank(vectors.column("vec_id").combine_chunks(), null_placement="at_start", tiebreaker="first").to_numpy()
     order = np.lexsort((place[at_v], distance, at_q))
     at_q, at_v, distance = at_q[order], at_v[order], distance[order]
     first = np.searchsorted(at_q, at_q)
