@@ -11,7 +11,7 @@ from bomloom.sources.tables import dropped, written
 
 
 def connected(pairs: DataFrame) -> DataFrame:
-    """member, first: for each member of pairs (its first two columns) the least member that it is joined with.
+    """member, first: for each member of pairs (its first two columns) the least member that it is joined with. Pairs with a null don't count.
 
     In turn, each member's greater neighbours and then its lesser ones are joined to the
     least of them, until nothing changes: a chain shortens by a factor in each round,
@@ -19,7 +19,7 @@ def connected(pairs: DataFrame) -> DataFrame:
     """
     a, b = pairs.columns[:2]
     state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first())
-    ordered = pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).dropna()
+    ordered = pairs.select(a, b).dropna().select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     alone = ordered.where("a = b").select("a", "b").distinct()
     links = written(ordered.where("a <> b").distinct())
     before = state(links)
