@@ -83,15 +83,15 @@ def bom_where_used(material: str, header: DataFrame, component: DataFrame) -> Da
     return bom_edges(header, component.where(F.col("child_material_id") == material)).orderBy("parent_material_id")
 
 
-def reached(links: DataFrame, root: str, max_depth: int | None, otherwise: int) -> DataFrame:
-    """node, depth: the nodes that 1 to max_depth steps over links (a, b) reach from root, each at its least depth.
+def reached(links: DataFrame, root: str, max_depth: int | None, otherwise: int, stored: bool = False) -> DataFrame:
+    """node, depth: the nodes that 1 to max_depth steps over links (a, b) reach from root, each at its least depth; stored: links are distinct rows of a table.
 
     Breadth first, one join a level; nodes that were met aren't followed again, so cycles
     and diamonds end. The root is reached only over a cycle.
     """
     depth = min(default(max_depth, otherwise), MAX_DEPTH)
     spark = links.sparkSession
-    links = written(links.select("a", "b").dropna().distinct())
+    links = links if stored else written(links.select("a", "b").dropna().distinct())
     front = spark.createDataFrame([(root,)], "node string")
     met = spark.createDataFrame([], "node string, depth int")
     for step in range(1, depth + 1):
@@ -110,7 +110,8 @@ def bom_explosion_multilevel(material: str, header: DataFrame, component: DataFr
     if depth < 1:
         return whole.limit(0)
     spark, whole = whole.sparkSession, written(whole.distinct())
-    below = reached(whole.select(F.col("parent_material_id").alias("a"), F.col("child_material_id").alias("b")), material, depth - 1, 10).select("node")
+    links = whole.select(F.col("parent_material_id").alias("a"), F.col("child_material_id").alias("b")).dropna()
+    below = reached(links, material, depth - 1, 10, stored=True).select("node")
     start = below.unionAll(spark.createDataFrame([(material,)], "node string")).distinct()
     return whole.join(start, whole["parent_material_id"] == start["node"], "left_semi")
 
@@ -137,12 +138,12 @@ def bom_property_graph(header: DataFrame, component: DataFrame, source_system: s
 
 def quantity_rollup(bom: DataFrame, root: str, max_depth: int = 4) -> DataFrame:
     """component, depth, path, quantity: every path below root with the product of its quantities; a path never meets a node twice."""
-    pairs = bom.select(F.col("parent_id").alias("p"), F.col("child_id").alias("c"), F.col("quantity").cast("double").alias("q"))
+    pairs = written(bom.select(F.col("parent_id").alias("p"), F.col("child_id").alias("c"), F.col("quantity").cast("double").alias("q")))
     level = pairs.where(F.col("p") == root).select(F.col("c").alias("component"), F.array("p", "c").alias("nodes"), F.col("q").alias("quantity"))
     out = level.withColumn("depth", F.lit(1))
     for depth in range(2, max_depth + 1):
         step = level.join(pairs, level["component"] == pairs["p"]).where(~F.array_contains("nodes", F.col("c")))
-        level = step.select(F.col("c").alias("component"), F.concat("nodes", F.array("c")).alias("nodes"), (F.col("quantity") * F.col("q")).alias("quantity"))
+        level = written(step.select(F.col("c").alias("component"), F.concat("nodes", F.array("c")).alias("nodes"), (F.col("quantity") * F.col("q")).alias("quantity")))
         out = out.unionAll(level.withColumn("depth", F.lit(depth)))
     return out.select("component", "depth", F.array_join("nodes", "/").alias("path"), "quantity")
 

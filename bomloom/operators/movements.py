@@ -71,13 +71,17 @@ def infer_predecessors(
     own_weeks = own.groupBy("query_id", week).agg(F.sum("quantity").alias("query_quantity")).withColumn("week", F.date_sub("week", 7 * default(lag_weeks, 8)))
     theirs = candidates.join(starts, "query_id").join(moves.withColumnRenamed("material_id", "predecessor_id"), "predecessor_id").where(F.col("date") >= F.add_months("successor_start", -default(lookback_months, 24)))
     key = ["query_id", "predecessor_id"]
-    spans = theirs.groupBy(*key, "similarity", "successor_start").agg(F.min("date").alias("predecessor_first_usage"), F.max("date").alias("predecessor_last_usage"))
-    weeks = theirs.groupBy(*key, week).agg(F.sum("quantity").alias("quantity"))
+    span = ["similarity", "successor_start"]
+    weeks = theirs.groupBy(*key, *span, week).agg(F.sum("quantity").alias("quantity"), F.min("date").alias("first"), F.max("date").alias("last"))
+    # Weeks in which only the candidate was used count for its span alone.
+    both = weeks.join(own_weeks.withColumn("met", F.lit(1)), ["query_id", "week"], "left").withColumn("theirs", F.when(F.col("met") == 1, F.col("quantity")))
     # corr() fails on constant series under ANSI; they have no correlation here.
-    spread = F.stddev_pop("quantity") * F.stddev_pop("query_quantity")
-    fits = weeks.join(own_weeks, ["query_id", "week"]).groupBy(*key).agg((F.covar_pop("quantity", "query_quantity") / F.nullif(spread, F.lit(0.0))).alias("correlation"), F.count("*").alias("overlapping_weeks"))
+    spread = F.stddev_pop("theirs") * F.stddev_pop("query_quantity")
+    fits = both.groupBy(*key, *span).agg(
+        (F.covar_pop("theirs", "query_quantity") / F.nullif(spread, F.lit(0.0))).alias("correlation"), F.count("met").alias("overlapping_weeks"), F.min("first").alias("predecessor_first_usage"), F.max("last").alias("predecessor_last_usage")
+    )
     fits = fits.where(F.col("overlapping_weeks") >= default(min_overlapping_weeks, 8))
-    scored = fits.join(spans, key).withColumn("temporal_score", temporal_score(F.col("predecessor_last_usage"), F.col("successor_start"))).where("correlation < 0 AND temporal_score > 0")
+    scored = fits.withColumn("temporal_score", temporal_score(F.col("predecessor_last_usage"), F.col("successor_start"))).where("correlation < 0 AND temporal_score > 0")
     confidence = 0.4 * F.greatest(F.lit(0.0), -F.col("correlation")) + 0.3 * F.col("similarity") + 0.3 * F.col("temporal_score")
     scored = scored.withColumn("confidence", confidence).where(F.col("confidence") >= default(min_confidence, 0.5))
     rounded = [F.round(c, 4).alias(c) for c in ("confidence", "correlation", "similarity", "temporal_score")]

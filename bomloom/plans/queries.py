@@ -747,4 +747,4 @@ def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.withColumn("similarity", F.round("similarity", 9))
 
 
-from bomloom.plans import derived, stored, structures, surface  # noqa: E402, F401  (these register more queries, and use some of these)
+from bomloom.plans import derived, files, stored, structures, surface  # noqa: E402, F401  (these register more queries, and use some of these)
