@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomloom.operators import families, quantities
-from bomloom.plans.inputs import dag, erp, table, with_sql
+from bomloom.operators import families, quantities, truth
+from bomloom.plans import queries as base
+from bomloom.plans.inputs import baskets, dag, erp, table, with_sql
 from bomloom.plans.registry import query
 
 _QUANTITY = "1 + length(child_id) % 3 + 0.5::DOUBLE"
@@ -47,3 +48,12 @@ def product_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands and sizes over the types that they come in."""
     parts = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("parent_id"), F.col("p_type").alias("child_id"))
     return families.product_families(spark, parts, 0.6)
+
+
+_DRAWN = f"m AS (SELECT parent_id AS id, row_number() OVER (ORDER BY parent_id) - 1 AS place FROM (SELECT DISTINCT parent_id FROM baskets)), t AS (SELECT count(*) * (count(*) - 1) // 2 AS total FROM m), q AS (SELECT {base._HASH.format(x="'42:' || i")} % total AS number, min(i) AS i FROM range(9000) r(i), t GROUP BY 1 ORDER BY min(i) LIMIT 3000), w AS (SELECT x.id AS a, y.id AS b FROM m x JOIN m y ON x.place < y.place JOIN q ON q.number = y.place * (y.place - 1) // 2 + x.place), n AS (SELECT parent_id, count(*) AS n FROM baskets GROUP BY 1), g AS (SELECT a, b, (SELECT count(*) FROM baskets c JOIN baskets d ON c.child_id = d.child_id WHERE c.parent_id = a AND d.parent_id = b) AS shared FROM w), s AS (SELECT a, b, shared, shared::DOUBLE / (k.n + l.n - shared) AS similarity FROM g JOIN n k ON k.parent_id = a JOIN n l ON l.parent_id = b)"
+
+
+@query(with_sql(_DRAWN + f" SELECT a AS material_a, b AS material_b, shared AS shared_components, similarity, {base._RELATION.format(s='similarity')} AS relationship_type FROM s", "baskets"))
+def sampled_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawing is the operator: 3,000 of all pairs of customers."""
+    return truth.sampled_ground_truth(baskets(spark, sf_dir), 3000)
