@@ -1,6 +1,5 @@
 """Total quantities, cycles, families and the functions of SQL, against plain versions and the DataFrame operators."""
 
-import itertools
 import random
 from collections import defaultdict
 
@@ -112,14 +111,14 @@ def rows_of(df):
 
 def test_sql_functions_equal_the_operators(spark, registered):
     assert len(registered) == len(set(registered)) == 14
-    for query, k, least in itertools.product(["m1", "m5", "nobody"], [1, 4, 50], [0.0, 0.2]):
+    for query, k, least in (("m1", 4, 0.0), ("m5", 50, 0.2), ("nobody", 3, 0.0)):
         want = search.find_similar_materials_jaccard(spark, query, k, least, "sql_bom").drop("query_id")
         assert sorted(rows_of(spark.sql(f"SELECT * FROM t_find_similar_materials_jaccard('{query}', {k}, {least})"))) == sorted(rows_of(want))
         want = graph.find_similar_materials_wl_kernel(spark, query, k, 2, least, "sql_bom").drop("query_id")
         assert sorted(rows_of(spark.sql(f"SELECT * FROM t_find_similar_materials_wl_kernel('{query}', {k}, 2, {least})"))) == sorted(rows_of(want))
         want = search.cold_start_analogs(spark, query, k, 3, least, "sql_bom", "sql_moves").drop("query_id")
         assert sorted(rows_of(spark.sql(f"SELECT * FROM t_cold_start_analogs('{query}', {k}, 3, {least})"))) == sorted(rows_of(want))
-    for n in (1, 3, 5):
+    for n in (1, 5):
         want = graph.fingerprints(spark.table("sql_bom"), n).where("material_id = 'm1'").drop("material_id")
         assert sorted(rows_of(spark.sql(f"SELECT * FROM t_wl_fingerprint('m1', iterations => {n})")), key=str) == sorted(rows_of(want), key=str)
 
