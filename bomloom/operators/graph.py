@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bomloom.operators.search import Queries, best, fill, query_ids
@@ -10,16 +10,28 @@ from bomloom.sources.inputs import default, relation, required
 from bomloom.sources.tables import written
 
 MAX_LEVELS, MAX_DEPTH = 5, 64
+#: The share of a query's weight, in its rarest components, by which kernel search finds its first materials.
+SEED_SHARE = 0.1
+#: By so much a score may miss its bound in binary fractions.
+_SLACK = 1e-9
 
 
-def fingerprints(bom: DataFrame, iterations: int | None = 3, roots: DataFrame | None = None) -> DataFrame:
-    """material_id, component, occurrence: at how many depths a component lies below a material (of roots, or of all).
+def kernel_levels(iterations: int | None) -> int:
+    return max(1, min(MAX_LEVELS, default(iterations, 3)))
+
+
+def distinct_edges(bom: DataFrame) -> DataFrame:
+    return bom.select(F.col("parent_id").cast("string").alias("parent_id"), F.col("child_id").cast("string").alias("child_id")).where("parent_id IS NOT NULL").distinct()
+
+
+def fingerprints(bom: DataFrame, iterations: int | None = 3, roots: DataFrame | None = None, stored: bool = False) -> DataFrame:
+    """material_id, component, occurrence: at how many depths a component lies below a material (of roots, or of all); stored: bom has distinct edges.
 
     Depths are 1 to iterations, 5 at most; each level is distinct before the next join. A
     null child is a component of its own, below which nothing lies.
     """
-    levels = max(1, min(MAX_LEVELS, default(iterations, 3)))
-    pairs = bom.select(F.col("parent_id").cast("string").alias("parent_id"), F.col("child_id").cast("string").alias("child_id")).where("parent_id IS NOT NULL").distinct()
+    levels = kernel_levels(iterations)
+    pairs = bom if stored else distinct_edges(bom)
     level = pairs.select(F.col("parent_id").alias("material_id"), F.col("child_id").alias("component"))
     if roots is not None:
         level = level.join(roots.select(F.col(roots.columns[0]).alias("material_id")).distinct(), "material_id", "left_semi")
@@ -55,8 +67,90 @@ def wl_kernel_similarity(spark: SparkSession, pairs: DataFrame, iterations: int
     return out.select("material_a", "material_b", score.alias("similarity"))
 
 
+def total_bounds(pairs: DataFrame, levels: int) -> DataFrame:
+    """material_id, least, most: numbers between which its fingerprint's total lies, from distinct edges without a fingerprint.
+
+    Its children are its first level; no more components lie d levels down than paths go
+    there. Each level is one join with a number a material.
+    """
+    level = pairs.groupBy(F.col("parent_id").alias("material_id")).agg(F.count("*").cast("double").alias("n"))
+    out = level.select("material_id", F.col("n").alias("least"), F.col("n").alias("most"))
+    for _ in range(1, levels):
+        level = pairs.join(level, pairs["child_id"] == level["material_id"]).groupBy(F.col("parent_id").alias("material_id")).agg(F.sum("n").alias("n"))
+        out = out.join(level, "material_id", "left").select("material_id", "least", (F.col("most") + F.coalesce("n", F.lit(0.0))).alias("most"))
+    return out
+
+
+def _above(pairs: DataFrame, start: DataFrame, levels: int) -> DataFrame:
+    """start's columns but node, with material_id: the materials above its nodes, at most so many levels."""
+    keys = [c for c in start.columns if c != "node"]
+    level, out = start, None
+    for _ in range(levels):
+        level = pairs.join(level, pairs["child_id"] == level["node"]).select(*keys, F.col("parent_id").alias("node")).distinct()
+        out = level if out is None else out.unionAll(level)
+    return out.distinct().withColumnRenamed("node", "material_id")
+
+
+def _rarest(own: DataFrame, bounds: DataFrame) -> DataFrame:
+    """query_id, component: the rarest components of each query, so many that who shares others alone has a score below the query's bound.
+
+    Sharing components of weight w gives a score of w / total at most. Components of equally
+    many holders are taken or left together, so that numbers of holders are ranked, not
+    the components of one query.
+    """
+    weights = own.groupBy("query_id", "holders").agg(F.sum("own").alias("weight"))
+    commoner = F.sum("weight").over(Window.partitionBy("query_id").orderBy(F.desc("holders")))
+    kept = weights.withColumn("commoner", commoner).join(bounds, "query_id").where(F.col("commoner") >= (F.col("bound") - _SLACK) * F.col("total"))
+    return own.join(kept.select("query_id", "holders"), ["query_id", "holders"], "left_semi").select("query_id", "component")
+
+
+def _kernel_scores(own: DataFrame, totals: DataFrame, candidates: DataFrame, prints: DataFrame) -> DataFrame:
+    """query_id, material_id, similarity of the candidates (query_id, material_id) that share a component with the query."""
+    size = prints.groupBy("material_id").agg(F.sum("occurrence").alias("n"))
+    met = own.join(prints, "component").join(candidates, ["query_id", "material_id"], "left_semi")
+    common = met.groupBy("query_id", "material_id").agg(F.sum(F.least("own", "occurrence")).alias("common")).join(size, "material_id").join(totals, "query_id")
+    return common.select("query_id", "material_id", (F.col("common") / (F.col("n") + F.col("total") - F.col("common"))).alias("similarity"))
+
+
+def kernel_candidates(pairs: DataFrame, own: DataFrame, totals: DataFrame, k: int, least: float, iterations: int | None = 3) -> tuple[DataFrame, DataFrame]:
+    """(query_id, material_id, similarity of some, query_id, material_id of what else can be among a query's k best of at least that score), as tables.
+
+    pairs: distinct edges; own: query_id, component, own, holders (direct parents) of the
+    queries' fingerprints; totals: query_id, total. The k-th score among any k materials
+    bounds a query's k-th best from below, so some that its rarest components lead to are
+    scored first. Candidates hold one of the components that this bound asks for, and have
+    totals that allow it. Where fewer than k are met, all that share a component are.
+    """
+    levels = kernel_levels(iterations)
+    size = written(total_bounds(pairs, levels))
+    seeds = _rarest(own, totals.withColumn("bound", F.lit(1.0 - SEED_SHARE)))
+    met = _above(pairs, seeds.withColumn("node", F.col("component")), levels).where("material_id <> query_id").groupBy("query_id", "material_id").agg(F.count("*").alias("met"))
+    likely = met.join(size, "material_id").join(totals, "query_id").select("query_id", "material_id", (F.col("met") / F.greatest("total", "most")).alias("similarity"))
+    first = written(best(likely, 2 * k).select("query_id", "material_id"))
+    scored = written(_kernel_scores(own, totals, first, written(fingerprints(pairs, levels, first.select("material_id"), stored=True))))
+    found = best(scored, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("kth"))
+    bounds = written(totals.join(found, "query_id", "left").select("query_id", "total", F.greatest(F.coalesce("kth", F.lit(0.0)), F.lit(float(least))).alias("bound")))
+    held = _above(pairs, _rarest(own, bounds).select("query_id", F.col("component").alias("node")), levels).where("material_id <> query_id")
+    bound = F.col("bound") - _SLACK
+    fits = (F.col("most") >= bound * F.col("total")) & (F.col("total") >= bound * F.col("least"))
+    others = held.join(bounds, "query_id").join(size, "material_id").where(fits).select("query_id", "material_id").join(first, ["query_id", "material_id"], "left_anti")
+    return scored, written(others)
+
+
+def kernel_queries(pairs: DataFrame, ids: DataFrame, iterations: int | None = 3) -> tuple[DataFrame, DataFrame]:
+    """(query_id, component, own, holders) of the fingerprints of ids and (query_id, total), as tables."""
+    holders = pairs.groupBy(F.col("child_id").alias("component")).agg(F.count("*").alias("holders"))
+    prints = fingerprints(pairs, iterations, ids, stored=True).select(F.col("material_id").alias("query_id"), "component", F.col("occurrence").alias("own"))
+    own = written(prints.join(holders, "component", "left"))
+    return own.where("component IS NOT NULL"), written(own.groupBy("query_id").agg(F.sum("own").alias("total")))
+
+
 def find_similar_materials_wl_kernel(spark: SparkSession, queries: Queries, k: int, iterations: int | None = 3, min_similarity: float | None = 0.0, bom_table: DataFrame | str | None = "bom_items") -> DataFrame:
-    """query_id, material_id, similarity: for each query the k most similar; to an unknown query every material is 0."""
+    """query_id, material_id, similarity: for each query the k most similar; to an unknown query every material is 0.
+
+    Makes the fingerprints of all materials; find_similar_materials_wl_bounded makes few
+    where products share rare components.
+    """
     k, least = required(k, "k"), default(min_similarity, 0.0)
     ids = query_ids(spark, queries)
     prints = written(fingerprints(relation(spark, default(bom_table, "bom_items"), ["parent_id", "child_id"], "bom_table"), iterations))
@@ -70,6 +164,20 @@ def find_similar_materials_wl_kernel(spark: SparkSession, queries: Queries, k: i
     return best(whole.select("query_id", "material_id", score.alias("similarity")).where(F.col("similarity") >= least), k)
 
 
+def find_similar_materials_wl_bounded(spark: SparkSession, queries: Queries, k: int, iterations: int | None = 3, min_similarity: float | None = 0.0, bom_table: DataFrame | str | None = "bom_items") -> DataFrame:
+    """As find_similar_materials_wl_kernel, with fingerprints of the queries and of kernel_candidates only."""
+    k, least = required(k, "k"), default(min_similarity, 0.0)
+    ids = query_ids(spark, queries)
+    pairs = written(distinct_edges(relation(spark, default(bom_table, "bom_items"), ["parent_id", "child_id"], "bom_table")))
+    own, totals = kernel_queries(pairs, ids, iterations)
+    scored, candidates = kernel_candidates(pairs, own, totals, k, least, iterations)
+    scored = scored.unionByName(_kernel_scores(own, totals, candidates, written(fingerprints(pairs, iterations, candidates.select("material_id"), stored=True))))
+    if least <= 0:
+        materials = pairs.select(F.col("parent_id").alias("material_id")).distinct()
+        scored = scored.unionByName(fill(scored, ids, materials, k).withColumn("similarity", F.lit(0.0)))
+    return best(scored.where(F.col("similarity") >= least), k)
+
+
 def bom_edges(header: DataFrame, component: DataFrame) -> DataFrame:
     """parent_material_id, child_material_id, quantity_per of header and component tables."""
     return header.select("bom_id", "parent_material_id").join(component.select("bom_id", "child_material_id", "quantity_per"), "bom_id").drop("bom_id")

@@ -167,6 +167,12 @@ def find_similar_wl_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.find_similar_materials_wl_kernel(spark, _queried(bom), 10, 3, 0.0, bom)
 
 
+@query(_wl_best(f"SELECT DISTINCT parent_id AS material_id FROM dag WHERE regexp_matches(parent_id, '{_HUNDREDTH}')", 10))
+def find_similar_wl_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bom = dag(spark, sf_dir)
+    return graph.find_similar_materials_wl_bounded(spark, _queried(bom), 10, 3, 0.0, bom)
+
+
 def _universal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bom = dag(spark, sf_dir)
     header = bom.select(F.concat(F.lit("B"), "parent_id").alias("bom_id"), F.col("parent_id").alias("parent_material_id"), F.lit("TEST").alias("source_system")).distinct()
