@@ -13,6 +13,8 @@ BODY = "".join(f"<p>{p}</p>" for p in P)
 TITLE = "Flood in the old town"
 WHOLE = f"{TITLE} {TEXT}"
 
+CARDS = "<article><h3>Ferry late again</h3><p>The ferry was late for the third time.</p></article><article><h3>Rain</h3><p>Rain is on its way.</p></article>"
+
 #: (name, page, text)
 PAGES = [
     ("article", f"<nav>Home</nav><article><h1>{TITLE}</h1>{BODY}</article><footer>Imprint</footer>", WHOLE),
@@ -53,6 +55,23 @@ PAGES = [
     ("header in article", f"<header>The Town Herald</header><article><header><h1>{TITLE}</h1></header>{BODY}</article>", WHOLE),
     ("table", "<article><table><tr><th>Year<td>Level<tr><th>1990<td>3.5</table></article>", "Year Level 1990 3.5"),
     ("short list in article", f"<article>{BODY}<ul><li>one</li><li>two</li><li>three</li><li>four</li></ul></article>", f"{TEXT} one two three four"),
+    ("cards after the story", f"<main><article><h1>{TITLE}</h1>{BODY}</article>{CARDS}</main>", WHOLE),
+    ("cards after a story in divs", f"<div><h1>{TITLE}</h1>{BODY}</div><article><p><a href=1>Ferry late again</a></p></article>", WHOLE),
+    ("cards without main", f"<article><h1>{TITLE}</h1>{BODY}</article><div><h2>More stories</h2>{CARDS}</div>", WHOLE),
+    ("two stories", f"<article>{BODY}</article><p>Share</p><article>{BODY}</article>", f"{TEXT} {TEXT}"),
+    ("sections as articles", f"<main><h1>{TITLE}</h1>{''.join(f'<article><p>{p}</p></article>' for p in P)}</main>", WHOLE),
+    ("story in main beside cards", f"<main><h1>{TITLE}</h1>{BODY}{CARDS}</main>", WHOLE),
+    ("named share", f"<div>Home</div><div class='post-share'><h1>{TITLE}</h1>{BODY}</div><div>Terms</div>", WHOLE),
+    ("named reviews", f"<div class='album-reviews'><h1>{TITLE}</h1>{BODY}</div><div>Terms</div>", WHOLE),
+    ("form around the body", f"<form id=aspnetForm><div class=menu>Home</div><h1>{TITLE}</h1>{BODY}<div class=footer>Imprint and more.</div></form>", WHOLE),
+    ("long comments", f"<article>{BODY}</article><div id=comments>{BODY * 4}</div>", TEXT),
+    ("long comments beside divs", f"<div>{BODY}</div><div id=comments>{BODY * 4}</div>", TEXT),
+    ("discussion", f"{BODY}<section id=discussion><p>I was there, and it was not like that at all.</p></section>", TEXT),
+    ("search results", f"{BODY}<div class='search-results'><p>The ferry was late for the third time this week.</p></div>", TEXT),
+    ("more stories", f"<article>{BODY}</article><div><h3>More stories</h3><p>The ferry was late for the third time.</p></div>", TEXT),
+    ("header in main", f"<main><header>Site menu</header><h1>{TITLE}</h1>{BODY}</main>", WHOLE),
+    ("title in main's header", f"<main><header><div>Site menu</div><h1>{TITLE}</h1></header>{BODY}</main>", WHOLE),
+    ("title beside article", f"<main><h1>{TITLE}</h1><article>{BODY}</article></main>", WHOLE),
     ("nothing but boilerplate", "<nav>Home</nav><footer>Imprint</footer>", ""),
     ("text only", "plain text", "plain text"),
 ]
@@ -65,11 +84,19 @@ def test_page(name, page, text):
 
 def test_distribution_decides(monkeypatch):
     """Without surge and dive, the lines around the text of pages without an article element stay."""
-    monkeypatch.setattr(html, "article_bounds", lambda found: (0, len(found)))
+    monkeypatch.setattr(html, "article_spans", lambda found: [(0, len(found))])
     wrong = [name for name, page, text in PAGES if html.main_text(page)[0] != text]
     assert {"plain divs", "no heading", "link menu", "link list at the end", "copyright", "footer words", "menu words"} <= set(wrong)
 
 
+def test_distribution_decides_on_given_pages(spark, monkeypatch):
+    """Without surge and dive, menus, adverts and footers of the tables' pages stay, article element or not."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    texts = [html.main_text(p)[0] for p in pages]
+    monkeypatch.setattr(html, "article_spans", lambda found: [(0, len(found))])
+    assert sum(t != html.main_text(p)[0] for t, p in zip(texts, pages, strict=True)) > 0.9 * len(pages)
+
+
 HOSTILE = {
     "quotes": '<a b="' + '"' * 1_000_000,
     "quoted ends": '<a =">" ' * 125_000,
