@@ -8,6 +8,7 @@ or asking what a policy without one of its rules would keep, only reads the bits
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,12 @@ def ablations(ledger: DataFrame, policy: str = "v2") -> DataFrame:
     )
 
 
+def quality_rule_ablations(documents: DataFrame) -> DataFrame:
+    """policy, rule, n_failed, n_only, n_kept_without: the ablations of every policy over one stored ledger, which measures each text once."""
+    ledger = written(measure(documents))
+    return reduce(DataFrame.unionByName, [ablations(ledger, p).select(F.lit(p).alias("policy"), "*") for p in POLICIES])
+
+
 def op5_quality_rules(documents: DataFrame) -> DataFrame:
     """The stored ledger of all documents, judged by the latest policy; measure() says how odd input counts."""
     base = F.col("failures").bitwiseAND(mask(BASE)) != 0

@@ -174,24 +174,36 @@ def _vote(strength: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return strength > bounds[int(np.argmax(gain))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 5) -> Model:
-    """A model from rows whose crc32(key as text) mod parts isn't 0: at most MAX_LABELLED labelled ones, and MAX_ROWS of any kind; the driver gets counts and hits, no texts."""
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 5) -> DataFrame:
+    """doc_id, text, toxic of rows to fit on, whose crc32(key as text) mod parts isn't 0, as a table.
+
+    They are those of at most MAX_LABELLED labelled ids, and of at most MAX_ROWS ids of any
+    kind. Of an id with several rows, one text (of the smallest hash) is taken, once, so
+    that repeats don't raise what the driver gets.
+    """
     labelled = labels.where(~held_out(key, parts, 0)).where("toxic IN (0, 1)").groupBy(F.col(key).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labelled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     drawn = docs.select(F.col(key).alias("doc_id")).where(~held_out("doc_id", parts, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS).distinct()
     chosen = F.broadcast(written(drawn.join(labelled, "doc_id", "full")))  # at most MAX_LABELLED + MAX_ROWS ids
-    voting = written(docs.select(F.col(key).alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "toxic"))
-    sample = voting.where("toxic IS NOT NULL")
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.col(key).alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    picked = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.first("toxic").alias("toxic"))
+    return written(rows.join(F.broadcast(written(picked)), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "text", "toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 5) -> Model:
+    """A model from the rows of sample; the driver gets counts and hits, no texts."""
+    voting = sample(docs, labels, key, parts)
+    labelled = voting.where("toxic IS NOT NULL")
+    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     neg, pos = n.get(0, 0), n.get(1, 0)
     least = max(3, round(0.004 * pos))
-    found = sample.where("toxic = 1").mapInArrow(_toxic_features, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = labelled.where("toxic = 1").mapInArrow(_toxic_features, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     candidates = np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(MAX_CANDIDATES).collect()], np.int64).view(np.uint64))
     if not len(candidates) or not neg:
         constant = 5.0 if pos > neg else -5.0
         return Model(candidates[:0], np.array([0.0] * len(_PATTERNS) + [constant]))
     sums = np.zeros((2, len(candidates)), np.int64)
-    for r in sample.mapInArrow(_counts(candidates), "place long, clean long, toxic long").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():
+    for r in labelled.mapInArrow(_counts(candidates), "place long, clean long, toxic long").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():
         sums[:, r["place"]] = r["clean"], r["toxic"]
     score = np.log((sums[1] + 0.5) / (pos + 1)) - np.log((sums[0] + 0.5) / (neg + 1))
     chance = sums.sum(0) * pos / (pos + neg)  # of the rows with a feature, as many would be toxic

@@ -23,6 +23,30 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
 
 
+def test_toxicity_bounds_rows_of_repeated_ids(spark, monkeypatch):
+    """Many texts of one id are one row, as are repeats of a row, and ids are bounded."""
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 30)
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 20)
+    docs = spark.range(4000).selectExpr("id % 40 AS doc_id", "concat('text ', id div 80) AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    rows = toxicity.sample(docs, labels).collect()
+    assert 20 <= len(rows) == len({r.doc_id for r in rows}) <= 40 and {r.toxic for r in rows} >= {0, 1}
+    once = spark.range(40).selectExpr("id AS doc_id", "'x' AS text")
+    repeated = [r.doc_id for r in toxicity.sample(once.unionAll(once), labels).collect()]
+    assert len(repeated) == len(set(repeated)) >= 20
+
+
+def test_repeated_voter_loses_weight():
+    """Where only a voter and its two copies vote, the posterior is lower than where three voters of the same rates do that err apart."""
+    rng = np.random.default_rng(2)
+    y = rng.random(8000) < 0.3
+    voters = (rng.random((8000, 9)) < np.where(y, 0.6, 0.05)[:, None]).astype(float)
+    copied = voters.copy()
+    copied[:, 1:3] = voters[:, :1]
+    of_three = lambda votes: toxicity.label_model(votes)[0][(votes[:, :3].all(1)) & ~votes[:, 3:].any(1)].mean()
+    assert of_three(copied) < of_three(voters) - 0.2
+
+
 def test_label_model_finds_voters():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
