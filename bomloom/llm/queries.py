@@ -29,7 +29,6 @@ def queries() -> dict[str, Query]:
         "op3_language_id": _on(langid.op3_language_id, "documents"),
         "op4_simhash_dedup": _on(simhash.op4_simhash_dedup, "documents"),
         "op5_quality_rules": _on(rules.op5_quality_rules, "documents"),
-        "quality_rule_ablations": _on(rules.quality_rule_ablations, "documents"),
         "op6_lm_scoring": _on(lm.op6_lm_scoring, "documents"),
         "op7_line_dedup": _on(lines.op7_line_dedup, "documents"),
         "op8_best_fit_packing": _on(packing.op8_best_fit_packing, "documents"),

@@ -94,6 +94,12 @@ def test_quality_policies(docs):
             assert without[rule] == (sum(bool(r.failures & bit) for r in judged), kept - sum(r.kept for r in judged), kept)
 
 
+def test_ablations_of_all_policies(docs):
+    ledger = rules.measure(docs).cache()
+    got = {tuple(r) for r in rules.quality_rule_ablations(docs).collect()}
+    assert got == {(p, *r) for p in rules.POLICIES for r in rules.ablations(ledger, p).collect()} and len(got) == sum(map(len, rules.POLICIES.values()))
+
+
 @BOTH
 def test_base_scores(case):
     table, rows = case
