@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bomloom.operators.search import Queries, best, fill, query_ids
 from bomloom.sources.inputs import default, relation, required
-from bomloom.sources.tables import written
+from bomloom.sources.tables import dropped, written
 
 MAX_LEVELS, MAX_DEPTH = 5, 64
 #: The share of a query's weight, in its rarest components, by which kernel search finds its first materials.
@@ -127,14 +127,17 @@ def kernel_candidates(pairs: DataFrame, own: DataFrame, totals: DataFrame, k: in
     met = _above(pairs, seeds.withColumn("node", F.col("component")), levels).where("material_id <> query_id").groupBy("query_id", "material_id").agg(F.count("*").alias("met"))
     likely = met.join(size, "material_id").join(totals, "query_id").select("query_id", "material_id", (F.col("met") / F.greatest("total", "most")).alias("similarity"))
     first = written(best(likely, 2 * k).select("query_id", "material_id"))
-    scored = written(_kernel_scores(own, totals, first, written(fingerprints(pairs, levels, first.select("material_id"), stored=True))))
+    prints = written(fingerprints(pairs, levels, first.select("material_id"), stored=True))
+    scored = written(_kernel_scores(own, totals, first, prints))
     found = best(scored, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("kth"))
     bounds = written(totals.join(found, "query_id", "left").select("query_id", "total", F.greatest(F.coalesce("kth", F.lit(0.0)), F.lit(float(least))).alias("bound")))
     held = _above(pairs, _rarest(own, bounds).select("query_id", F.col("component").alias("node")), levels).where("material_id <> query_id")
     bound = F.col("bound") - _SLACK
     fits = (F.col("most") >= bound * F.col("total")) & (F.col("total") >= bound * F.col("least"))
     others = held.join(bounds, "query_id").join(size, "material_id").where(fits).select("query_id", "material_id").join(first, ["query_id", "material_id"], "left_anti")
-    return scored, written(others)
+    others = written(others)
+    dropped(size, first, prints, bounds)
+    return scored, others
 
 
 def kernel_queries(pairs: DataFrame, ids: DataFrame, iterations: int | None = 3) -> tuple[DataFrame, DataFrame]:
