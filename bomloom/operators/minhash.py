@@ -82,10 +82,15 @@ def minhash_similar_pairs(spark: SparkSession, min_similarity: float, bom_table:
     n, r = bands(min_similarity, confidence)
     keys = written(_keys(classes, n, r))
     many = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > meeting).select("key")
-    few = _meeting(keys.join(many, "key", "left_anti"))
-    crowded = keys.join(many, "key", "left_semi").select(F.col("class_id").alias("parent_id")).distinct()
-    rarest = prefix_candidates(written(pairs.join(crowded, "parent_id", "left_semi")), min_similarity).select(F.col("material_a").alias("class_a"), F.col("material_b").alias("class_b"))
-    met = few.unionAll(rarest).distinct()
+    # What rare components say of a pair is known before its signatures and lists are read.
+    possible = prefix_candidates(pairs.join(classes.select(F.col("class_id").alias("parent_id")), "parent_id", "left_semi"), min_similarity)
+    possible = written(possible.select(F.col("material_a").alias("class_a"), F.col("material_b").alias("class_b")))
+    few = _meeting(keys.join(many, "key", "left_anti")).join(possible, ["class_a", "class_b"], "left_semi")
+    crowded = keys.join(many, "key", "left_semi").select("class_id").distinct()
+    rarest = possible
+    for side in ("class_a", "class_b"):
+        rarest = rarest.join(crowded.withColumnRenamed("class_id", side), side, "left_semi")
+    met = few.unionByName(rarest).distinct()
     a, b = (classes.select(F.col("class_id").alias(f"class_{x}"), F.col("size").alias(f"size_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab")
     # Beyond five deviations below the bound, a pair's rate of equal values isn't chance.
     rate = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / SEEDS
