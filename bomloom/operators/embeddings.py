@@ -9,6 +9,7 @@ from bomloom.functions.vectors import cosine_distance, embed_text, fuse_embeddin
 from bomloom.operators.erp import extract_material_descriptions
 from bomloom.operators.minhash import SEEDS, signatures
 from bomloom.sources.inputs import default, edges, relation
+from bomloom.sources.tables import written
 
 
 def compute_jaccard_embeddings(spark: SparkSession, bom_table: DataFrame | str | None = "bom_items") -> DataFrame:
@@ -19,10 +20,17 @@ def compute_jaccard_embeddings(spark: SparkSession, bom_table: DataFrame | str |
 
 
 def estimated_jaccard(minhash: DataFrame, pairs: DataFrame) -> DataFrame:
-    """material_a, material_b, similarity for pairs: the share of seeds with equal values."""
-    a = minhash.select(F.col("material_id").alias("material_a"), "seed", F.col("minhash_value").alias("x"))
-    b = minhash.select(F.col("material_id").alias("material_b"), "seed", F.col("minhash_value").alias("y"))
-    return pairs.join(a, "material_a").join(b, ["material_b", "seed"]).groupBy("material_a", "material_b").agg((F.sum((F.col("x") == F.col("y")).cast("int")) / SEEDS).alias("similarity"))
+    """material_a, material_b, similarity for pairs: the share of seeds with equal values.
+
+    Values are joined where they are equal, so a pair is a row for each that agrees, not for each seed.
+    """
+    minhash, wanted = written(minhash.select("material_id", "seed", "minhash_value")), pairs.select("material_a", "material_b").distinct()
+    known = minhash.select("material_id").distinct()
+    for side in ("material_a", "material_b"):
+        wanted = wanted.join(known.withColumnRenamed("material_id", side), side, "left_semi")
+    of = lambda side: minhash.withColumnRenamed("material_id", side).join(pairs.select(side).distinct(), side, "left_semi")
+    equal = of("material_a").join(of("material_b"), ["seed", "minhash_value"]).groupBy("material_a", "material_b").agg(F.count("*").alias("equal"))
+    return wanted.join(equal, ["material_a", "material_b"], "left").select("material_a", "material_b", (F.coalesce("equal", F.lit(0)) / SEEDS).alias("similarity"))
 
 
 def compute_textual_embeddings(makt: DataFrame, language: str = "EN", provider: str = "local") -> DataFrame:
