@@ -22,23 +22,36 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_LINES.format(d="D").replace("FROM lineitem", "FROM bomloom_lineitem")).withColumn("q", F.when(~F.col("child_id").endswith("7"), F.col("q")))
 
 
+#: The parents whose lines are in one file: about as many files more as there are parents more.
+_PARENTS = 100
+
+
+def _by_file(e: DataFrame) -> DataFrame:
+    """Edges with the number of the file that a parent's lines go to."""
+    n = e.select(F.approx_count_distinct("parent_id")).first()[0]
+    return e.withColumn("file", F.pmod(F.xxhash64("parent_id"), F.lit(max(4, -(-n // _PARENTS)))))
+
+
 def _written(lines: DataFrame, *keys: str) -> str:
-    """The path of text files; with keys, a file for each of their values."""
+    """The path of text files; with keys, a file for each value of the first, whose lines are in the order of the others."""
     path = f"{shared_folder(lines.sparkSession)}/{uuid.uuid4().hex}"
-    (lines.repartition(*keys).write.partitionBy(*keys) if keys else lines.write).text(path)
+    if keys:
+        lines.repartition(keys[0]).sortWithinPartitions(*keys).select("value", keys[0]).write.partitionBy(keys[0]).text(path)
+    else:
+        lines.write.text(path)
     return path
 
 
 @query(_SQL)
 def read_cypher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir)
+    e = _by_file(_edges(spark, sf_dir))
     s, p, q = F.lower("parent_id"), F.lower("child_id"), F.coalesce(F.concat(F.lit(" {qty: "), "q", F.lit(', unit:"EA"}')), F.lit(""))
-    nodes = e.select(F.concat(F.lit("CREATE ("), s, F.lit(":Asset {id: '"), "parent_id", F.lit("'})")).alias("value")).distinct()
-    nodes = nodes.unionAll(e.select(F.concat(F.lit("CREATE ("), p, F.lit(':Part {number:"'), "child_id", F.lit('", cost: 5.30})')).alias("value")).distinct())
-    left = e.where("length(child_id) % 2 = 0").select(F.concat(F.lit("CREATE ("), s, F.lit(")<-[:BELONGS_TO"), q, F.lit("]-("), p, F.lit(")")).alias("value"))
-    right = e.where("length(child_id) % 2 = 1").select(F.concat(F.lit("CREATE ("), p, F.lit(")-[:BELONGS_TO"), q, F.lit("]->("), s, F.lit(")")).alias("value"))
-    # Variables hold within a file, so all statements are in one.
-    return files.read_cypher(spark, _written(nodes.unionAll(left).unionAll(right).coalesce(1)))
+    # Variables hold within a file, so each has the nodes that its relations name.
+    nodes = e.select("file", F.concat(F.lit("CREATE ("), s, F.lit(":Asset {id: '"), "parent_id", F.lit("'})")).alias("value")).distinct()
+    nodes = nodes.unionAll(e.select("file", F.concat(F.lit("CREATE ("), p, F.lit(':Part {number:"'), "child_id", F.lit('", cost: 5.30})')).alias("value")).distinct())
+    left = e.where("length(child_id) % 2 = 0").select("file", F.concat(F.lit("CREATE ("), s, F.lit(")<-[:BELONGS_TO"), q, F.lit("]-("), p, F.lit(")")).alias("value"))
+    right = e.where("length(child_id) % 2 = 1").select("file", F.concat(F.lit("CREATE ("), p, F.lit(")-[:BELONGS_TO"), q, F.lit("]->("), s, F.lit(")")).alias("value"))
+    return files.read_cypher(spark, _written(nodes.unionAll(left).unionAll(right), "file"))
 
 
 @query(_SQL)
@@ -53,21 +66,22 @@ def read_cyclonedx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SQL)
 def read_item_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir)
-    bills = e.groupBy("parent_id").agg(F.collect_list(F.struct(F.col("child_id").alias("item_code"), F.col("q").alias("qty"))).alias("items"))
-    records = bills.select(F.struct(F.lit("BOM").alias("doctype"), F.col("parent_id").alias("item"), "items").alias("r"), (F.crc32("parent_id") % 4).alias("file"))
+    e = _by_file(_edges(spark, sf_dir))
+    bills = e.groupBy("file", "parent_id").agg(F.collect_list(F.struct(F.col("child_id").alias("item_code"), F.col("q").alias("qty"))).alias("items"))
+    records = bills.select("file", F.struct(F.lit("BOM").alias("doctype"), F.col("parent_id").alias("item"), "items").alias("r"))
     return files.read_item_bills(spark, _written(records.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value")), "file"))
 
 
 @query(_SQL)
 def read_record_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir)
+    e = _by_file(_edges(spark, sf_dir))
     head = F.concat(F.lit("<record id='m.bom_"), "parent_id", F.lit("' model='mrp.bom'><field name='product_tmpl_id' ref='product."), "parent_id", F.lit("'/></record>"))
     quantity = F.coalesce(F.concat(F.lit("<field name='product_qty'>"), "q", F.lit("</field>")), F.lit(""))
     line = F.concat(F.lit("<record id='l_"), "parent_id", F.lit("_"), "child_id", F.lit("' model='mrp.bom.line'><field name='bom_id' ref='bom_"), "parent_id", F.lit("'/><field name='product_id' ref='"), "child_id", F.lit("'/>"), quantity, F.lit("</record>"))
-    records = e.select("parent_id").distinct().select("parent_id", head.alias("value")).unionAll(e.select("parent_id", line.alias("value")))
-    files_ = records.groupBy((F.crc32("parent_id") % 4).alias("file")).agg(F.concat(F.lit("<odoo><data noupdate='1'>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit("\n</data></odoo>")).alias("value"))
-    return files.read_record_xml(spark, _written(files_, "file"))
+    records = e.select("file", "parent_id").distinct().select("file", head.alias("value")).unionAll(e.select("file", line.alias("value"))).withColumn("part", F.lit(1))
+    ends = F.array(F.struct(F.lit(0).alias("part"), F.lit("<odoo><data noupdate='1'>").alias("value")), F.struct(F.lit(2).alias("part"), F.lit("</data></odoo>").alias("value")))
+    records = records.unionByName(e.select("file").distinct().select("file", F.explode(ends).alias("x")).select("file", "x.*"))
+    return files.read_record_xml(spark, _written(records, "file", "part"))
 
 
 @query(_SQL)
