@@ -14,6 +14,10 @@ MAX_LEVELS, MAX_DEPTH = 5, 64
 SEED_SHARE = 0.1
 #: By so much a score may miss its bound in binary fractions.
 _SLACK = 1e-9
+#: Pairs are counted by component unless so many times as many meet there as have to be sent.
+_MEETINGS = 4
+#: Components of more holders are not joined on: what a material shares of them is looked up where it can be among a query's best.
+FREQUENT = 1_000
 
 
 def kernel_levels(iterations: int | None) -> int:
@@ -27,19 +31,31 @@ def distinct_edges(bom: DataFrame) -> DataFrame:
 def fingerprints(bom: DataFrame, iterations: int | None = 3, roots: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """material_id, component, occurrence: at how many depths a component lies below a material (of roots, or of all); stored: bom has distinct edges.
 
-    Depths are 1 to iterations, 5 at most; each level is distinct before the next join. A
+    Depths are 1 to iterations, 5 at most; each level is distinct before the next join, and
+    the last where depths are counted. Of all materials, a level is made from the one
+    below its children, of which only the parents of something at that depth matter. A
     null child is a component of its own, below which nothing lies.
     """
     levels = kernel_levels(iterations)
-    pairs = bom if stored else distinct_edges(bom)
+    pairs = bom if stored else written(distinct_edges(bom))
     level = pairs.select(F.col("parent_id").alias("material_id"), F.col("child_id").alias("component"))
     if roots is not None:
         level = level.join(roots.select(F.col(roots.columns[0]).alias("material_id")).distinct(), "material_id", "left_semi")
     found = level.withColumn("depth", F.lit(1))
     for depth in range(2, levels + 1):
-        level = level.join(pairs, level["component"] == pairs["parent_id"]).select("material_id", F.col("child_id").alias("component")).distinct()
-        found = found.unionAll(level.withColumn("depth", F.lit(depth)))
-    return found.groupBy("material_id", "component").agg(F.count("*").alias("occurrence"))
+        if roots is not None:
+            level = level.join(pairs, level["component"] == pairs["parent_id"]).select("material_id", F.col("child_id").alias("component"))
+        else:
+            links = pairs
+            if depth > 2:
+                above = written(level.select("material_id").distinct())
+                links = pairs.join(above, pairs["child_id"] == above["material_id"], "left_semi")
+            below = level.withColumnRenamed("material_id", "child_id")
+            level = links.join(below, "child_id").select(F.col("parent_id").alias("material_id"), "component")
+        if depth < levels:
+            level = written(level.distinct()) if roots is None else level.distinct()
+        found = found.unionAll(level.withColumn("depth", F.lit(1 << depth - 1)))
+    return found.groupBy("material_id", "component").agg(F.bit_count(F.bit_or("depth")).cast("long").alias("occurrence"))
 
 
 def wl_kernel_similarity(spark: SparkSession, pairs: DataFrame, iterations: int | None = 3, bom_table: DataFrame | str | None = "bom_items") -> DataFrame:
@@ -51,15 +67,19 @@ def wl_kernel_similarity(spark: SparkSession, pairs: DataFrame, iterations: int
     a, b = pairs.columns[:2]
     wanted = pairs.select(F.col(a).cast("string").alias("material_a"), F.col(b).cast("string").alias("material_b")).distinct()
     roots = wanted.select(F.explode(F.array("material_a", "material_b")).alias("material_id")).distinct()
-    prints = fingerprints(bom, iterations, roots)
-    totals = prints.groupBy("material_id").agg(F.sum("occurrence").alias("total"))
-    common = (
-        wanted.join(prints.select(F.col("material_id").alias("material_a"), "component", F.col("occurrence").alias("n_a")), "material_a")
-        .join(prints.select(F.col("material_id").alias("material_b"), "component", F.col("occurrence").alias("n_b")), ["material_b", "component"])
-        .groupBy("material_a", "material_b")
-        .agg(F.sum(F.least("n_a", "n_b")).alias("common"))
-    )
-    out = wanted.join(common, ["material_a", "material_b"], "left")
+    prints = written(fingerprints(bom, iterations, roots))
+    totals = written(prints.groupBy("material_id").agg(F.sum("occurrence").alias("total"), F.count("*").alias("n")))
+    both = written(wanted.select(F.least("material_a", "material_b").alias("a"), F.greatest("material_a", "material_b").alias("b")).where("a < b").distinct())
+    of = lambda side: prints.select(F.col("material_id").alias(side), "component", F.col("occurrence").alias(f"n_{side}"))
+    met = prints.groupBy("component").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()[0]
+    sent = both.join(totals, both["a"] == totals["material_id"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if met <= _MEETINGS * sent:
+        # Most that meet are wanted: pairs are counted where they meet, and no row is sent for each.
+        rows = of("a").join(of("b"), "component").where("a < b").join(both, ["a", "b"], "left_semi")
+    else:
+        rows = both.join(of("a"), "a").join(of("b"), ["b", "component"])
+    common = rows.groupBy("a", "b").agg(F.sum(F.least("n_a", "n_b")).alias("common"))
+    out = wanted.join(common, (F.least("material_a", "material_b") == F.col("a")) & (F.greatest("material_a", "material_b") == F.col("b")), "left").drop("a", "b")
     for side in ("a", "b"):
         out = out.join(totals.select(F.col("material_id").alias(f"material_{side}"), F.col("total").alias(f"total_{side}")), f"material_{side}", "left")
     n, both = F.coalesce("common", F.lit(0)), F.coalesce("total_a", F.lit(0)) + F.coalesce("total_b", F.lit(0))
@@ -71,13 +91,18 @@ def total_bounds(pairs: DataFrame, levels: int) -> DataFrame:
     """material_id, least, most: numbers between which its fingerprint's total lies, from distinct edges without a fingerprint.
 
     Its children are its first level; no more components lie d levels down than paths go
-    there. Each level is one join with a number a material.
+    there, and no fewer than they are if each step after the first counts as one over the
+    parents of what it leads to. Each level is one join with two numbers a material.
     """
-    level = pairs.groupBy(F.col("parent_id").alias("material_id")).agg(F.count("*").cast("double").alias("n"))
+    parents = pairs.groupBy(F.col("child_id").alias("node")).agg((1.0 / F.count("*")).alias("share"))
+    links = written(pairs.join(parents, pairs["child_id"] == parents["node"], "left").select("parent_id", "child_id", F.coalesce("share", F.lit(0.0)).alias("share")))
+    level = links.groupBy(F.col("parent_id").alias("material_id")).agg(F.count("*").cast("double").alias("n"), F.sum("share").alias("shares"))
     out = level.select("material_id", F.col("n").alias("least"), F.col("n").alias("most"))
     for _ in range(1, levels):
-        level = pairs.join(level, pairs["child_id"] == level["material_id"]).groupBy(F.col("parent_id").alias("material_id")).agg(F.sum("n").alias("n"))
-        out = out.join(level, "material_id", "left").select("material_id", "least", (F.col("most") + F.coalesce("n", F.lit(0.0))).alias("most"))
+        below = links.join(level, links["child_id"] == level["material_id"]).groupBy(F.col("parent_id").alias("material_id"))
+        level = written(below.agg(F.sum("n").alias("n"), F.sum("shares").alias("least_n"), F.sum(F.col("shares") * F.col("share")).alias("shares")))
+        more = lambda c, n: (F.col(c) + F.coalesce(n, F.lit(0.0))).alias(c)
+        out = out.join(level, "material_id", "left").select("material_id", more("least", "least_n"), more("most", "n"))
     return out
 
 
@@ -104,11 +129,26 @@ def _rarest(own: DataFrame, bounds: DataFrame) -> DataFrame:
     return own.join(kept.select("query_id", "holders"), ["query_id", "holders"], "left_semi").select("query_id", "component")
 
 
+def _by_holders(own: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(own of the components that at most FREQUENT of prints hold, own of the others, prints of the others)."""
+    counts = prints.join(own.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.count("*").alias("n"))
+    many = written(counts.where(F.col("n") > FREQUENT).select("component"))
+    return own.join(many, "component", "left_anti"), own.join(many, "component", "left_semi"), prints.join(many, "component", "left_semi")
+
+
+def _looked_up(candidates: DataFrame, own: DataFrame, prints: DataFrame) -> DataFrame:
+    """query_id, material_id, common: a row for each component that a candidate (query_id, material_id) shares."""
+    met = candidates.join(prints, "material_id").join(own, ["query_id", "component"])
+    return met.select("query_id", "material_id", F.least("own", "occurrence").alias("common"))
+
+
 def _kernel_scores(own: DataFrame, totals: DataFrame, candidates: DataFrame, prints: DataFrame) -> DataFrame:
     """query_id, material_id, similarity of the candidates (query_id, material_id) that share a component with the query."""
     size = prints.groupBy("material_id").agg(F.sum("occurrence").alias("n"))
-    met = own.join(prints, "component").join(candidates, ["query_id", "material_id"], "left_semi")
-    common = met.groupBy("query_id", "material_id").agg(F.sum(F.least("own", "occurrence")).alias("common")).join(size, "material_id").join(totals, "query_id")
+    rare, frequent, held = _by_holders(own.select("query_id", "component", "own"), prints)
+    met = rare.join(prints, "component").join(candidates, ["query_id", "material_id"], "left_semi").select("query_id", "material_id", F.least("own", "occurrence").alias("common"))
+    met = met.unionAll(_looked_up(candidates, frequent, held))
+    common = met.groupBy("query_id", "material_id").agg(F.sum("common").alias("common")).join(size, "material_id").join(totals, "query_id")
     return common.select("query_id", "material_id", (F.col("common") / (F.col("n") + F.col("total") - F.col("common"))).alias("similarity"))
 
 
@@ -148,6 +188,43 @@ def kernel_queries(pairs: DataFrame, ids: DataFrame, iterations: int | None = 3)
     return own.where("component IS NOT NULL"), written(own.groupBy("query_id").agg(F.sum("own").alias("total")))
 
 
+def _kernel_common(own: DataFrame, prints: DataFrame, totals: DataFrame, k: int, least: float) -> DataFrame:
+    """query_id, material_id, common of all materials that can be among a query's k best of at least that score, and share a component.
+
+    Only components of few holders are joined on. What a material shares of the others is
+    at most its own weight of them and at most the query's; the k of the highest scores
+    that this allows are counted first, and their least score bounds what else is counted.
+    Materials that share nothing rare are told apart by their numbers alone.
+    """
+    rare, frequent, held = _by_holders(own, prints)
+    held = written(held)
+    sizes = written(totals.join(held.groupBy("material_id").agg(F.sum("occurrence").alias("often")), "material_id", "left").select("material_id", "total", F.coalesce("often", F.lit(0)).alias("often")))
+    asked = own.select("query_id").distinct().join(totals.select(F.col("material_id").alias("query_id"), F.col("total").alias("whole")), "query_id")
+    asked = asked.join(frequent.groupBy("query_id").agg(F.sum("own").alias("weight")), "query_id", "left")
+    asked = written(asked.select("query_id", "whole", F.coalesce("weight", F.lit(0)).alias("weight")))
+    met = rare.join(prints, "component").where("material_id <> query_id").groupBy("query_id", "material_id").agg(F.sum(F.least("own", "occurrence")).alias("rare"))
+    most = F.col("rare") + F.least("weight", "often")
+    met = written(met.join(sizes, "material_id").join(asked, "query_id").withColumn("similarity", most / (F.col("total") + F.col("whole") - most)))
+
+    def counted(some: DataFrame) -> DataFrame:
+        rows = some.select("query_id", "material_id", F.col("rare").alias("common")).unionAll(_looked_up(some.select("query_id", "material_id"), frequent, held))
+        return rows.groupBy("query_id", "material_id").agg(F.sum("common").alias("common")).where("common > 0")
+
+    key = ["query_id", "material_id"]
+    first = written(best(met, k).select(*key, "rare", "total", "whole"))
+    done = written(counted(first))
+    score = F.col("common") / (F.col("total") + F.col("whole") - F.col("common"))
+    found = done.join(first, key).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min(score)).alias("kth"))
+    bounds = written(asked.join(found, "query_id", "left").select("query_id", "whole", "weight", (F.greatest(F.coalesce("kth", F.lit(0.0)), F.lit(float(least))) - _SLACK).alias("bound")))
+    others = met.join(bounds.select("query_id", "bound"), "query_id").where(F.col("similarity") >= F.col("bound")).select(*key, "rare").join(first, key, "left_anti")
+    # Of those that share nothing rare, groups of equal numbers are held against the bound, as there are far fewer than materials.
+    groups = sizes.where("often > 0").select("total", "often").distinct()
+    most = F.least("weight", "often")
+    near = bounds.where("weight > 0").crossJoin(groups).where(most / (F.col("total") + F.col("whole") - most) >= F.col("bound")).select("query_id", "total", "often")
+    unmet = near.join(sizes, ["total", "often"]).where("material_id <> query_id").select(*key, F.lit(0).cast("long").alias("rare")).join(met, key, "left_anti")
+    return done.unionAll(counted(others.unionAll(unmet)))
+
+
 def find_similar_materials_wl_kernel(spark: SparkSession, queries: Queries, k: int, iterations: int | None = 3, min_similarity: float | None = 0.0, bom_table: DataFrame | str | None = "bom_items") -> DataFrame:
     """query_id, material_id, similarity: for each query the k most similar; to an unknown query every material is 0.
 
@@ -157,9 +234,9 @@ def find_similar_materials_wl_kernel(spark: SparkSession, queries: Queries, k: i
     k, least = required(k, "k"), default(min_similarity, 0.0)
     ids = query_ids(spark, queries)
     prints = written(fingerprints(relation(spark, default(bom_table, "bom_items"), ["parent_id", "child_id"], "bom_table"), iterations))
-    totals = prints.groupBy("material_id").agg(F.sum("occurrence").alias("total"))
-    own = prints.join(ids, prints["material_id"] == ids["query_id"]).select("query_id", "component", F.col("occurrence").alias("own"))
-    common = own.join(prints, "component").where("material_id <> query_id").groupBy("query_id", "material_id").agg(F.sum(F.least("own", "occurrence")).alias("common"))
+    totals = written(prints.groupBy("material_id").agg(F.sum("occurrence").alias("total")))
+    own = written(prints.join(ids, prints["material_id"] == ids["query_id"]).where("component IS NOT NULL").select("query_id", "component", F.col("occurrence").alias("own")))
+    common = _kernel_common(own, prints, totals, k, least)
     if least <= 0:
         common = common.unionByName(fill(common, ids, totals, k).withColumn("common", F.lit(0).cast("long")))
     whole = common.join(totals, "material_id").join(totals.select(F.col("material_id").alias("query_id"), F.col("total").alias("own")), "query_id", "left")

@@ -38,3 +38,51 @@ def test_expands_few_of_families(spark):
     expanded = graph.fingerprints(pairs, 3, scored.unionByName(others, allowMissingColumns=True).select("material_id")).count()
     assert expanded * 10 < graph.fingerprints(pairs, 3).count()
     assert rows(graph.find_similar_materials_wl_bounded(spark, "m4321", 5, bom_table=bom)) == rows(graph.find_similar_materials_wl_kernel(spark, "m4321", 5, bom_table=bom))
+
+
+@pytest.mark.parametrize("seed, k, least", [(5, 3, 0.0), (6, 1, 0.3), (7, 40, 0.0)])
+def test_frequent_components_are_not_joined_on(spark, monkeypatch, seed, k, least):
+    """With components of more than two holders looked up, the rows are those of every component joined on."""
+    draw = random.Random(seed)
+    edges = [(f"m{draw.randrange(30)}", f"m{int(45 * draw.random() ** 2)}") for _ in range(110)] + [("m1", None), ("lone", None), ("only", "m1"), ("last", "m1")]
+    bom = spark.createDataFrame(edges, "parent_id string, child_id string")
+    queries = ["m1", "m2", "m7", "lone", "only", "nobody"]
+    monkeypatch.setattr(graph, "FREQUENT", 10**6)
+    expected = rows(graph.find_similar_materials_wl_kernel(spark, queries, k, 3, least, bom))
+    monkeypatch.setattr(graph, "FREQUENT", 2)
+    assert rows(graph.find_similar_materials_wl_kernel(spark, queries, k, 3, least, bom)) == expected
+    assert rows(graph.find_similar_materials_wl_bounded(spark, queries, k, 3, least, bom)) == expected
+
+
+def test_few_meetings_at_a_part_of_all(spark):
+    """400 products share one screw; a search counts it for few of the pairs that it makes."""
+    products = spark.range(400).select(F.concat(F.lit("m"), "id").alias("parent_id"), F.expr("id div 10").alias("family"))
+    bom = products.select("parent_id", F.explode(F.expr("transform(sequence(0, 9), i -> concat('c', family, '-', i))")).alias("child_id")).unionAll(products.select("parent_id", F.lit("screw")))
+    prints = graph.written(graph.fingerprints(bom, 3))
+    totals = prints.groupBy("material_id").agg(F.sum("occurrence").alias("total"))
+    own = graph.written(prints.select(F.col("material_id").alias("query_id"), "component", F.col("occurrence").alias("own")))
+    graph.FREQUENT, before = 100, graph.FREQUENT
+    try:
+        assert graph._kernel_common(own, prints, totals, 5, 0.0).count() == 400 * 9
+    finally:
+        graph.FREQUENT = before
+
+
+def test_pairs_by_component_and_by_pair(spark, monkeypatch):
+    draw = random.Random(8)
+    bom = spark.createDataFrame([(f"m{draw.randrange(20)}", f"m{draw.randrange(30)}") for _ in range(90)], "parent_id string, child_id string")
+    pairs = spark.createDataFrame([(f"m{draw.randrange(20)}", f"m{draw.randrange(22)}") for _ in range(60)], "a string, b string")
+    found = lambda: sorted((r.material_a, r.material_b, round(r.similarity, 12)) for r in graph.wl_kernel_similarity(spark, pairs, 3, bom).collect())
+    monkeypatch.setattr(graph, "_MEETINGS", 0)
+    expected = found()
+    monkeypatch.setattr(graph, "_MEETINGS", 1 << 40)
+    assert expected and found() == expected
+
+
+def test_totals_lie_within_their_bounds(spark):
+    """A group of assemblies is known to be large without its fingerprint."""
+    edges = [("top", f"a{i}") for i in range(10)] + [(f"a{i}", f"p{i * 30 + j}") for i in range(10) for j in range(40)] + [(f"p{i}", f"b{i % 5}") for i in range(310)]
+    pairs = graph.distinct_edges(spark.createDataFrame(edges, "parent_id string, child_id string"))
+    totals = {r.material_id: r.n for r in graph.fingerprints(pairs, 3).groupBy("material_id").agg(F.sum("occurrence").alias("n")).collect()}
+    bounds = {r.material_id: r for r in graph.total_bounds(pairs, 3).collect()}
+    assert all(bounds[m].least <= n + 1e-9 <= bounds[m].most + 1e-6 for m, n in totals.items()) and bounds["top"].least > 300
