@@ -56,12 +56,12 @@ def read_cypher(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SQL)
 def read_cyclonedx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir)
+    e = _by_file(_edges(spark, sf_dir))
     said = F.when(F.col("q").isNotNull(), F.array(F.struct(F.lit("cdx:device:quantity").alias("name"), F.col("q").cast("string").alias("value"))))
     part = F.struct(F.col("child_id").alias("bom-ref"), F.lit("a part").alias("name"), said.alias("properties"))
-    docs = e.groupBy("parent_id").agg(F.collect_list(part).alias("components"))
+    docs = e.groupBy("file", "parent_id").agg(F.collect_list(part).alias("components"))
     doc = F.struct(F.struct(F.struct(F.col("parent_id").alias("bom-ref")).alias("component")).alias("metadata"), "components")
-    return files.read_cyclonedx(spark, _written(docs.select(F.to_json(doc).alias("value"), F.col("parent_id").alias("file")), "file"))
+    return files.read_cyclonedx(spark, _written(docs.select("file", doc.alias("doc")).groupBy("file").agg(F.to_json(F.collect_list("doc")).alias("value")), "file"))
 
 
 @query(_SQL)

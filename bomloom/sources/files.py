@@ -49,7 +49,7 @@ def read_cypher(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cyclonedx(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of CycloneDX documents, one a file: the component of the metadata over the components, with the property that names a quantity."""
+    """Edges of CycloneDX documents, one or a list of them a file: the component of the metadata over the components, with the property that names a quantity."""
     part = "struct<`bom-ref`: string, name: string, properties: array<struct<name: string, value: string>>>"
     docs = spark.read.schema(f"metadata struct<component: struct<`bom-ref`: string, name: string>>, components array<{part}>").option("multiLine", True).json(path)
     rows = docs.select(F.coalesce(F.col("metadata.component.bom-ref"), F.col("metadata.component.name")).alias("parent"), F.explode("components").alias("c"))
