@@ -24,18 +24,20 @@ def _links(bom: DataFrame) -> DataFrame:
 
 def _peeled(links: DataFrame, node: str, towards: str) -> tuple[DataFrame, DataFrame]:
     """(node, round) of what is peeled, and the nodes left: a node goes once all that its links lead towards are gone or have no links on."""
-    left = written(links.select(F.col(node).alias("node"), F.col(towards).alias("to")))
+    rows = links.select(F.col(node).alias("node"), F.col(towards).alias("to"))
+    nodes = written(rows.select("node").distinct())
+    # Links to what has gone, or never had links, hold nothing; each round's are made from the rest of the round before.
+    left = written(rows.join(nodes.withColumnRenamed("node", "to"), "to", "left_semi"))
     done, rounds = None, 0
     while True:
-        nodes = left.select("node").distinct()
-        held = left.join(nodes.withColumnRenamed("node", "to"), "to", "left_semi").select("node").distinct()
+        held = written(left.select("node").distinct())
         ready = written(nodes.join(held, "node", "left_anti"))
         if ready.isEmpty():
-            return done if done is not None else ready.withColumn("round", F.lit(0)), written(nodes)
+            return done if done is not None else ready.withColumn("round", F.lit(0)), nodes
         done = ready.withColumn("round", F.lit(rounds)) if done is None else done.unionAll(ready.withColumn("round", F.lit(rounds)))
-        rest = written(left.join(ready, "node", "left_anti"))
+        rest = written(left.join(ready.withColumnRenamed("node", "to"), "to", "left_anti"))
         dropped(left)
-        left, rounds = rest, rounds + 1
+        left, nodes, rounds = rest, held, rounds + 1
 
 
 def materials_without_totals(bom: DataFrame) -> DataFrame:
