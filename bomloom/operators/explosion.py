@@ -7,16 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomloom.sources.tables import written
+from bomloom.sources.tables import dropped, written
 
 MAX_LEVELS = 20
 _FOREVER = "9999-12-31"
 
 
 def _levels(first: DataFrame, below: Callable[[DataFrame], DataFrame], max_levels: int) -> DataFrame:
-    """first and what below() makes of each level, until a level is empty; each level is a table, made once."""
-    level = written(first)
-    out = level
+    """first, which is read from a table, and what below() makes of each level, until a level is empty; each level is a table, made once."""
+    level = out = first
     for _ in range(max_levels - 1):
         level = written(below(level))
         if level.isEmpty():
@@ -25,6 +24,19 @@ def _levels(first: DataFrame, below: Callable[[DataFrame], DataFrame], max_level
     return out
 
 
+def _reached(single: DataFrame, key: list[str], products: DataFrame, names: list[str], followed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(single's rows below products, once for each with its names, single's rows below what is followed), read from one table.
+
+    products have names and, like followed, the columns of key. However many levels there
+    are, single is made once and its rows are sent once, to where their key is marked.
+    """
+    named = products.groupBy(*key).agg(F.collect_list(F.struct(*names)).alias("_products"))
+    marks = named.join(followed.select(*key).distinct().withColumn("_followed", F.lit(True)), key, "full")
+    rows = written(single.join(marks, key).select(*single.columns, "_products", "_followed"))
+    first = rows.select(*single.columns, F.explode("_products").alias("_product"))
+    return first.select(*single.columns, *(F.col(f"_product.{c}").alias(c) for c in names)), rows.where("_followed").select(*single.columns)
+
+
 def _until(rows: DataFrame, *key: str) -> DataFrame:
     """rows with date_to: where the next entry of their key begins, live entries before deleted ones."""
     follows = F.lead("datuv").over(Window.partitionBy(*key).orderBy("lkenz", "datuv"))
@@ -51,13 +63,19 @@ def sap_single_level(
     texts = _described(makt, language)
     heads = mast.where(F.col("stlan").isin(*usages) & (F.col("stlal") == alternative)).join(texts, "matnr").select("matnr", "maktx", F.coalesce("werks", F.lit("XX00")).alias("werks"), "stlan", "stlnr")
     bills = _until(stko.where((F.col("stlty") == "M") & (F.col("stlal") == alternative)).select("stlnr", _marked("lkenz"), "datuv"), "stlnr").where(~F.col("lkenz") & (F.col("date_to") >= on)).select("stlnr").distinct()
-    items = _until(stas.where(F.col("stlty") == "M").select("stlnr", "stlal", "stlkn", _marked("lkenz"), "datuv"), "stlnr", "stlal", "stlkn").where(~F.col("lkenz") & (F.col("date_to") >= on) & (F.col("stlal") == alternative))
-    lines = stpo.where(F.col("stlty") == "M").join(texts.select(F.col("matnr").alias("idnrk"), F.col("maktx").alias("idnrk_maktx")), "idnrk").select("stlnr", "stlkn", "posnr", "postp", "idnrk", "idnrk_maktx", _marked("rekrs"), "menge", "meins")
-    single = items.select("stlnr", "stlkn").join(lines, ["stlnr", "stlkn"]).join(bills, "stlnr").join(heads, "stlnr").join(mara.select("matnr", F.col("mtart").alias("mara_mtart"), F.col("matkl").alias("mara_matkl")), "matnr")
+    # Of one alternative, an item's number is its key, by which it is joined as well.
+    items = _until(stas.where((F.col("stlty") == "M") & (F.col("stlal") == alternative)).select("stlnr", "stlkn", _marked("lkenz"), "datuv"), "stlnr", "stlkn").where(~F.col("lkenz") & (F.col("date_to") >= on))
+    lines = stpo.where(F.col("stlty") == "M").select("stlnr", "stlkn", "posnr", "postp", "idnrk", _marked("rekrs"), "menge", "meins")
     own = heads.select(F.col("matnr").alias("idnrk"), "werks", "stlan", F.col("stlnr").alias("idnrk_stlnr")).join(bills.select(F.col("stlnr").alias("idnrk_stlnr"), F.lit(True).alias("in_force")), "idnrk_stlnr", "left")
     own = own.groupBy("idnrk", "werks", "stlan").agg(F.max("idnrk_stlnr").alias("idnrk_stlnr"), F.max(F.coalesce("in_force", F.lit(False))).alias("in_force"))
+    # What is known of components and of heads is brought together first, so that lines, of which there are most, are sent to each once.
+    owns = own.groupBy("idnrk").agg(F.collect_list(F.struct("werks", "stlan", "idnrk_stlnr", "in_force")).alias("owns"))
     kinds = mara.select(F.col("matnr").alias("idnrk"), F.col("mtart").alias("idnrk_mtart"), F.col("matkl").alias("idnrk_matkl"))
-    out = single.join(own, ["idnrk", "werks", "stlan"], "left").join(kinds, "idnrk", "left")
+    components = texts.select(F.col("matnr").alias("idnrk"), F.col("maktx").alias("idnrk_maktx")).join(kinds, "idnrk", "left").join(owns, "idnrk", "left")
+    parents = heads.join(bills, "stlnr").join(mara.select("matnr", F.col("mtart").alias("mara_mtart"), F.col("matkl").alias("mara_matkl")), "matnr")
+    out = lines.join(items.select("stlnr", "stlkn"), ["stlnr", "stlkn"]).join(components, "idnrk").join(parents, "stlnr")
+    fits = lambda x: (x["werks"] == F.col("werks")) & (x["stlan"] == F.col("stlan"))
+    out = out.withColumn("own", F.get(F.filter("owns", fits), F.lit(0))).withColumns({c: F.col(f"own.{c}") for c in ("idnrk_stlnr", "in_force")})
     return out.select(
         F.col("matnr").alias("mast_matnr"), F.col("maktx").alias("mast_maktx"), "mara_mtart", "mara_matkl", F.col("werks").alias("mast_werks"), F.col("stlan").alias("mast_stlan"), F.col("stlnr").alias("mast_stlnr"),
         F.col("posnr").alias("stpo_posnr"), F.col("postp").alias("stpo_postp"), F.col("idnrk").alias("stpo_idnrk"), "idnrk_maktx", "idnrk_mtart", "idnrk_matkl", F.coalesce("idnrk_stlnr", F.lit("00000000")).alias("idnrk_stlnr"),
@@ -80,14 +98,18 @@ def sap_explosion(single: DataFrame, collector: DataFrame, kinds: tuple[str, ...
     ends after max_levels, so that cycles do.
     """
     top = ["matnr_collector", "matnr_collector_maktx", "matnr_collector_werks", "matnr_collector_stlan"]
-    products = collector.where(F.col("matnr_collector_zzut").isin(*kinds)).select(*top)
-    lines = single.drop("mast_werks", "mast_stlan")
-    of = lambda parent: (single["mast_matnr"] == parent) & (single["mast_werks"] == F.col("matnr_collector_werks")) & (single["mast_stlan"] == F.col("matnr_collector_stlan"))
-    first = products.join(single, of(F.col("matnr_collector"))).select(F.lit(1).alias("nodelevel"), *top, *lines.columns)
+    key, single = ["mast_matnr", "mast_werks", "mast_stlan"], written(single)
+    columns = single.drop("mast_werks", "mast_stlan").columns
+    products = collector.where(F.col("matnr_collector_zzut").isin(*kinds)).select(*(F.col(f"matnr_collector{a}").alias(c) for a, c in zip(("", "_werks", "_stlan"), key, strict=True)), *top[:2])
+    walked = F.expr("is_active_assembly AND NOT stpo_rekrs")
+    first, lower = _reached(single, key, products, top[:2], single.where(walked).select(F.col("stpo_idnrk").alias("mast_matnr"), "mast_werks", "mast_stlan"))
+    dropped(single)
+    first = first.select(F.lit(1).alias("nodelevel"), *top[:2], F.col("mast_werks").alias(top[2]), F.col("mast_stlan").alias(top[3]), *columns)
 
     def below(level: DataFrame) -> DataFrame:
-        followed = level.where("is_active_assembly AND NOT stpo_rekrs").select((F.col("nodelevel") + 1).alias("nodelevel"), *top, F.col("stpo_idnrk").alias("_parent"))
-        return followed.join(single, of(F.col("_parent"))).select("nodelevel", *top, *lines.columns)
+        followed = level.where(walked).select((F.col("nodelevel") + 1).alias("nodelevel"), *top, F.col("stpo_idnrk").alias("_parent"))
+        of = (lower["mast_matnr"] == F.col("_parent")) & (lower["mast_werks"] == F.col("matnr_collector_werks")) & (lower["mast_stlan"] == F.col("matnr_collector_stlan"))
+        return followed.join(lower, of).select("nodelevel", *top, *columns)
 
     return _levels(first, below, max_levels)
 
