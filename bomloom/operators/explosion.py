@@ -129,8 +129,9 @@ def d365_single_level(versions: DataFrame, lines: DataFrame, items: DataFrame, o
     names = lambda of: items.select(F.col("item_id").alias(f"{of}_item_id"), F.col("item_name").alias(f"{of}_item_name"), F.col("item_type").alias(f"{of}_item_type"), F.col("item_group_id").alias(f"{of}_item_group_id"), "data_area_id")
     own = heads.select(F.col("parent_item_id").alias("component_item_id"), "data_area_id", F.lit(True).alias("is_assembly")).distinct()
     valid = _in_force(lines, on, True).select("bom_id", "data_area_id", "line_num", "position", "bom_type", F.col("item_id").alias("component_item_id"), "bom_qty", "bom_qty_serie", "unit_id")
-    out = heads.join(valid, ["bom_id", "data_area_id"]).join(names("parent"), ["parent_item_id", "data_area_id"])
-    out = out.join(names("component"), ["component_item_id", "data_area_id"], "left").join(own, ["component_item_id", "data_area_id"], "left")
+    # Lines, of which there are most, are sent to their component and to their head, once each.
+    parts = valid.join(names("component"), ["component_item_id", "data_area_id"], "left").join(own, ["component_item_id", "data_area_id"], "left")
+    out = parts.join(heads.join(names("parent"), ["parent_item_id", "data_area_id"]), ["bom_id", "data_area_id"])
     assembly, phantom = F.coalesce("is_assembly", F.lit(False)), F.coalesce(F.col("bom_type") == 1, F.lit(False))
     return out.select(
         "parent_item_id", "parent_item_name", "bom_id", "line_num", "position", "bom_type", "component_item_id", "component_item_name", "component_item_type", "component_item_group_id", "bom_qty", "bom_qty_serie", "unit_id",
@@ -152,13 +153,18 @@ def d365_explosion(single: DataFrame, collector: DataFrame, max_levels: int = MA
     """
     top = ["collector_item_id", "collector_item_name", "collector_data_area_id"]
     own = F.col("bom_qty") / F.nullif(F.col("bom_qty_serie"), F.lit(0))
-    met = lambda parent: (single["parent_item_id"] == parent) & (single["data_area_id"] == F.col("collector_data_area_id"))
-    products = collector.where("has_active_bom").select(*top)
-    first = products.join(single, met(F.col("collector_item_id"))).select(F.lit(1).alias("nodelevel"), *top, *single.columns, own.alias("extended_qty"), F.array("collector_item_id", "component_item_id").alias("nodes"))
+    key, single = ["parent_item_id", "data_area_id"], written(single)
+    products = collector.where("has_active_bom").select(F.col("collector_item_id").alias("parent_item_id"), F.col("collector_data_area_id").alias("data_area_id"), "collector_item_name")
+    walked = F.expr("is_active_assembly AND NOT is_phantom")
+    first, lower = _reached(single, key, products, ["collector_item_name"], single.where(walked).select(F.col("component_item_id").alias("parent_item_id"), "data_area_id"))
+    dropped(single)
+    first = first.withColumns({"collector_item_id": F.col("parent_item_id"), "collector_data_area_id": F.col("data_area_id")})
+    first = first.select(F.lit(1).alias("nodelevel"), *top, *single.columns, own.alias("extended_qty"), F.array("collector_item_id", "component_item_id").alias("nodes"))
 
     def below(level: DataFrame) -> DataFrame:
-        followed = level.where("is_active_assembly AND NOT is_phantom").select((F.col("nodelevel") + 1).alias("nodelevel"), *top, F.col("component_item_id").alias("_parent"), F.col("extended_qty").alias("_qty"), F.col("nodes").alias("_nodes"))
-        step = followed.join(single, met(F.col("_parent"))).where(~F.array_contains("_nodes", F.col("component_item_id")))
+        followed = level.where(walked).select((F.col("nodelevel") + 1).alias("nodelevel"), *top, F.col("component_item_id").alias("_parent"), F.col("extended_qty").alias("_qty"), F.col("nodes").alias("_nodes"))
+        met = (lower["parent_item_id"] == F.col("_parent")) & (lower["data_area_id"] == F.col("collector_data_area_id"))
+        step = followed.join(lower, met).where(~F.array_contains("_nodes", F.col("component_item_id")))
         return step.select("nodelevel", *top, *single.columns, (F.col("_qty") * own).alias("extended_qty"), F.concat("_nodes", F.array("component_item_id")).alias("nodes"))
 
     found = _levels(first, below, max_levels)

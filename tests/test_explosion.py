@@ -26,7 +26,15 @@ def sap(spark, makes):
     return explosion.sap_explosion(single.withColumn("mast_maktx", makes("mast_maktx")), collector)
 
 
-@pytest.mark.parametrize(("explode", "rows"), [(sap, 4)])
+def d365(spark, makes):
+    versions = spark.createDataFrame([(f"B{m}", m, True, True, "us") for m in "abc"], "bom_id string, item_id string, is_active boolean, is_approved boolean, data_area_id string").withColumns({"valid_from_date": F.lit("2020-01-01").cast("date"), "valid_to_date": F.lit(None).cast("date")})
+    lines = spark.createDataFrame([(f"B{m}", c, 1, "p", 3.0, 1.0, "EA", 0, "us") for m, c in ("ab", "bc", "cd", "ca")], "bom_id string, item_id string, line_num int, position string, bom_qty double, bom_qty_serie double, unit_id string, bom_type int, data_area_id string").withColumns({"valid_from_date": F.lit(None).cast("date"), "valid_to_date": F.lit(None).cast("date")})
+    items = spark.createDataFrame([(m, m.upper(), "T", "G", "us") for m in "abcd"], "item_id string, item_name string, item_type string, item_group_id string, data_area_id string")
+    single = explosion.d365_single_level(versions, lines, items, on())
+    return explosion.d365_explosion(single.withColumn("parent_item_name", makes("parent_item_name")), explosion.d365_collector(items, versions, on()))
+
+
+@pytest.mark.parametrize(("explode", "rows"), [(sap, 4), (d365, 4)])
 def test_single_level_is_made_once(spark, explode, rows):
     made = spark.sparkContext.accumulator(0)
 
@@ -42,3 +50,8 @@ def test_sap_levels_stay_in_their_plant(spark):
     got = [tuple(r) for r in sap(spark, F.col).select("matnr_collector_werks", "nodelevel", "mast_matnr", "stpo_idnrk", "idnrk_stlnr", "is_assembly", "is_active_assembly").collect()]
     w1 = [("W1", 1, "a", "b", "3", True, True), ("W1", 2, "b", "c", "5", True, True), ("W1", 3, "c", "d", "00000000", False, False)]
     assert sorted(got) == sorted([*w1, *w1, ("W2", 1, "a", "b", "4", True, False)])
+
+
+def test_d365_paths_end_at_cycles(spark):
+    got = {r.hierarchy_path: r.extended_qty for r in d365(spark, F.col).collect()}
+    assert got == {"a > b": 3.0, "a > b > c": 9.0, "a > b > c > d": 27.0, "b > c": 3.0, "b > c > d": 9.0, "b > c > a": 9.0, "c > d": 3.0, "c > a": 3.0, "c > a > b": 9.0}
