@@ -40,7 +40,7 @@ def fingerprints(bom: DataFrame, iterations: int | None = 3, roots: DataFrame |
     pairs = bom if stored else written(distinct_edges(bom))
     level = pairs.select(F.col("parent_id").alias("material_id"), F.col("child_id").alias("component"))
     if roots is not None:
-        level = level.join(roots.select(F.col(roots.columns[0]).alias("material_id")).distinct(), "material_id", "left_semi")
+        level = written(level.join(roots.select(F.col(roots.columns[0]).alias("material_id")).distinct(), "material_id", "left_semi"))
     found = level.withColumn("depth", F.lit(1))
     for depth in range(2, levels + 1):
         if roots is not None:
@@ -53,7 +53,7 @@ def fingerprints(bom: DataFrame, iterations: int | None = 3, roots: DataFrame |
             below = level.withColumnRenamed("material_id", "child_id")
             level = links.join(below, "child_id").select(F.col("parent_id").alias("material_id"), "component")
         if depth < levels:
-            level = written(level.distinct()) if roots is None else level.distinct()
+            level = written(level.distinct())
         found = found.unionAll(level.withColumn("depth", F.lit(1 << depth - 1)))
     return found.groupBy("material_id", "component").agg(F.bit_count(F.bit_or("depth")).cast("long").alias("occurrence"))
 

@@ -29,8 +29,12 @@ def seeded(h: Column, seed: int) -> Column:
 
 
 def signatures(pairs: DataFrame) -> DataFrame:
-    """material_id, size, signature (the least hash of its components for each seed) and two sums by which equal sets are known, for distinct edges."""
-    hashed = pairs.select("parent_id", "child_id", portable_hash(F.col("child_id")).alias("h"))
+    """material_id, size, signature (the least hash of its components for each seed) and two sums by which equal sets are known, for distinct edges.
+
+    Edges are sent to their parent, as a signature is far larger than an edge, and there
+    would be one for each parent in each task.
+    """
+    hashed = pairs.repartition("parent_id").select("parent_id", "child_id", portable_hash(F.col("child_id")).alias("h"))
     least = F.array(*(F.min(seeded(F.col("h"), seed)) for seed in range(SEEDS)))
     return hashed.groupBy(F.col("parent_id").alias("material_id")).agg(F.count("*").alias("size"), least.alias("signature"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("child_id")).alias("y"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomloom.operators.graph import MAX_DEPTH
@@ -32,6 +32,26 @@ def with_ancestors(changed: DataFrame, *boms: DataFrame, levels: int | None = No
     for bom in boms[1:]:
         links = links.unionAll(edges(bom))
     links = written(links.distinct()) if levels is None or levels > 0 else links
+    return _upwards(changed, links, levels)
+
+
+def touched(old: DataFrame, new: DataFrame, levels: int | None = None) -> DataFrame:
+    """As with_ancestors() of changed_parents() over old and new, whose edges are read and sent once.
+
+    A parent's edges of both states come together, which tells whether it changed; only
+    the edges of the others can lead to further materials. One parent's edges are sorted
+    in one task.
+    """
+    state = lambda bom, bit: bom.select(F.col("parent_id").cast("string").alias("parent_id"), F.col("child_id").cast("string").alias("child_id")).dropna().withColumn("state", F.lit(bit))
+    each = state(old, 1).unionAll(state(new, 2)).repartition("parent_id").groupBy("parent_id", "child_id").agg(F.bit_or("state").alias("state"))
+    own = Window.partitionBy("parent_id")
+    each = written(each.select("parent_id", "child_id", F.bit_or("state").over(own).alias("states"), F.bit_and("state").over(own).alias("common")))
+    reason = F.when(F.col("states") == 2, "insert").when(F.col("states") == 1, "delete").otherwise("update")
+    changed = each.where("common <> 3").groupBy(F.col("parent_id").alias("material_id")).agg(F.min(reason).alias("reason"))
+    return _upwards(changed, each.where("common = 3").select("parent_id", "child_id"), levels)
+
+
+def _upwards(changed: DataFrame, links: DataFrame, levels: int | None) -> DataFrame:
     front = written(changed.select("material_id", "reason"))
     met, step = front, 0
     while (levels is None or step < min(levels, MAX_DEPTH)) and not front.isEmpty():

@@ -79,19 +79,19 @@ def component_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _earlier(bom: DataFrame) -> DataFrame:
-    """The state before: some edges were not there, and some that are gone were."""
+    """The state before: some edges were not there, and some that are gone were. Distinct if bom is."""
     kept = bom.where((F.pmod(F.xxhash64("parent_id", "child_id"), F.lit(50)) > 0) & (F.col("parent_id") != "S3"))
     gone = bom.where("parent_id LIKE 'S%7'").select("parent_id", F.concat(F.lit("old"), "parent_id").alias("child_id")).distinct()
     return kept.unionByName(gone).unionByName(bom.where("parent_id LIKE 'S%5'").select(F.concat(F.lit("gone"), "parent_id").alias("parent_id"), "child_id"))
 
 
 def _refreshed(spark: SparkSession, old: DataFrame, new: DataFrame, levels: int | None, compute) -> DataFrame:
-    """What a table of compute(bom, ids) over old holds after a refresh to new of what is marked."""
+    """What a table of compute(bom, ids) over old holds after a refresh to new of what is marked; old and new are tables, as they are read several times."""
     whole = compute(old, None)
     stored = KeyedTable.create(spark, _place(spark), whole.schema, "material_id")
     stored.replace(whole)
     marks = KeyedTable.create(spark, _place(spark), EMBEDDINGS_DIRTY, "material_id")
-    refresh.mark(marks, refresh.with_ancestors(refresh.changed_parents(old, new), old, new, levels=levels))
+    refresh.mark(marks, refresh.touched(old, new, levels))
     refresh.refresh_marked(stored, marks, lambda ids: compute(new, ids))
     return stored.read()
 
@@ -102,15 +102,15 @@ def refreshed_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = bom if ids is None else bom.join(ids.withColumnRenamed("material_id", "parent_id"), "parent_id", "left_semi")
         return embeddings.compute_jaccard_embeddings(spark, own)
 
-    now = suppliers(spark, sf_dir)
-    return _refreshed(spark, _earlier(now), now, 0, compute)
+    now = written(suppliers(spark, sf_dir))
+    return _refreshed(spark, written(_earlier(now)), now, 0, compute)
 
 
 @query(with_sql(base._LEVELS.format(t="dag", n=3) + " SELECT * FROM fp", "dag", recursive=True))
 def refreshed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fingerprint of three levels changes with the edges of its material and of what lies up to two levels below."""
-    now = dag(spark, sf_dir)
-    return _refreshed(spark, _earlier(now), now, 2, lambda bom, ids: graph.fingerprints(bom, 3, ids))
+    now = written(graph.distinct_edges(dag(spark, sf_dir, repeats=True)))
+    return _refreshed(spark, written(_earlier(now)), now, 2, lambda bom, ids: graph.fingerprints(bom, 3, ids, stored=True))
 
 
 @query("WITH o AS (SELECT p_partkey, p_name, round(p_retailprice, 2) AS price FROM part WHERE p_partkey % 4 <> 3), n AS (SELECT p_partkey, upper(p_name) AS p_name, round(p_retailprice + 1, 2) AS price FROM part WHERE p_partkey % 2 = 1) SELECT * FROM (SELECT * FROM n UNION ALL SELECT * FROM o WHERE p_partkey NOT IN (SELECT p_partkey FROM n)) WHERE p_partkey % 10 <> 0")

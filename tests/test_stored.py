@@ -256,3 +256,32 @@ def test_stream_without_repeats(spark, place):
     marks = KeyedTable.create(spark, place(), EMBEDDINGS_DIRTY, "material_id", 4)
     stream_marks(spark.readStream.schema(changes.schema).parquet(source), marks, place(), "1 day").awaitTermination()
     assert [r.reason for r in marks.read().collect()] == ["delete"]
+
+
+@pytest.mark.parametrize("levels", [None, 0, 1, 2])
+def test_touched_is_what_changed_and_lies_above(spark, levels):
+    old = bom(spark, [("a", "b"), ("b", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y"), ("gone", "a"), ("top", "gone"), (None, "a"), ("n", None)])
+    new = bom(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "f"), ("x", "y"), ("new", "x"), ("over", "new"), ("top", "x"), ("a", "a")])
+    rows = lambda df: sorted(tuple(r) for r in df.select("material_id", "reason").collect())
+    got = rows(refresh.touched(old, new, levels))
+    assert got == rows(refresh.with_ancestors(refresh.changed_parents(old, new), old, new, levels=levels)) and ("gone", "delete") in got and ("new", "insert") in got and ("n", "update") not in got
+
+
+def test_refresh_reads_its_edges_once(spark, monkeypatch):
+    from bomloom.plans import stored
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    edges = [("a", "b"), ("b", "c"), ("S3", "b"), ("S7", "a"), ("S5", "S7")]
+    monkeypatch.setattr(stored, "dag", lambda *_, **__: bom(spark, edges).withColumn("child_id", F.udf(count)("child_id")))
+    assert stored.refreshed_fingerprints(spark, "").count() > 0 and made.value == len(edges)
+
+
+def test_edges_are_sent_to_signatures_of_their_parent(spark):
+    """Nothing is sent once values are made of edges: a signature is 128 values."""
+    plan = minhash.signatures(bom(spark, [("a", "b"), ("a", "c")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Aggregate") < plan.index("Exchange")
