@@ -116,6 +116,18 @@ def _above(pairs: DataFrame, start: DataFrame, levels: int) -> DataFrame:
     return out.distinct().withColumnRenamed("node", "material_id")
 
 
+def _counted_above(pairs: DataFrame, own: DataFrame, levels: int) -> DataFrame:
+    """query_id, material_id, shared: how much the materials above a query's components (query_id, component, own) share of these."""
+    level = own.withColumn("node", F.col("component"))
+    out = None
+    for _ in range(levels):
+        up = pairs.join(level, pairs["child_id"] == level["node"]).select("query_id", "component", "own", F.col("parent_id").alias("node"))
+        level = written(up.distinct())
+        out = level if out is None else out.unionAll(level)
+    each = out.groupBy("query_id", "component", "own", "node").agg(F.count("*").alias("occurrence"))
+    return each.groupBy("query_id", F.col("node").alias("material_id")).agg(F.sum(F.least("own", "occurrence")).alias("shared"))
+
+
 def _rarest(own: DataFrame, bounds: DataFrame) -> DataFrame:
     """query_id, component: the rarest components of each query, so many that who shares others alone has a score below the query's bound.
 
@@ -156,30 +168,58 @@ def kernel_candidates(pairs: DataFrame, own: DataFrame, totals: DataFrame, k: in
     """(query_id, material_id, similarity of some, query_id, material_id of what else can be among a query's k best of at least that score), as tables.
 
     pairs: distinct edges; own: query_id, component, own, holders (direct parents) of the
-    queries' fingerprints; totals: query_id, total. The k-th score among any k materials
-    bounds a query's k-th best from below, so some that its rarest components lead to are
-    scored first. Candidates hold one of the components that this bound asks for, and have
-    totals that allow it. Where fewer than k are met, all that share a component are.
+    queries' fingerprints; totals: query_id, total. What materials share of a query's
+    rarest components bounds its k-th score from below. Of the components that this bound
+    asks for, those of few holders are walked up from, and what a material shares of them
+    is counted on the way; of the others it shares their weight at most. The k that this
+    puts first are scored, and raise the bound. Materials that hold none of what was
+    walked up from are told apart by their totals, if these leave fewer than hold the
+    rest. Where fewer than k are met, all that share a component are walked up to.
     """
-    levels = kernel_levels(iterations)
+    levels, key = kernel_levels(iterations), ["query_id", "material_id"]
     size = written(total_bounds(pairs, levels))
-    seeds = _rarest(own, totals.withColumn("bound", F.lit(1.0 - SEED_SHARE)))
-    met = _above(pairs, seeds.withColumn("node", F.col("component")), levels).where("material_id <> query_id").groupBy("query_id", "material_id").agg(F.count("*").alias("met"))
-    likely = met.join(size, "material_id").join(totals, "query_id").select("query_id", "material_id", (F.col("met") / F.greatest("total", "most")).alias("similarity"))
-    first = written(best(likely, 2 * k).select("query_id", "material_id"))
+    seeds = own.join(_rarest(own, totals.withColumn("bound", F.lit(1.0 - SEED_SHARE))), ["query_id", "component"], "left_semi")
+    met = _counted_above(pairs, seeds.select("query_id", "component", "own"), levels).where("material_id <> query_id").join(size, "material_id").join(totals, "query_id")
+    low = written(met.select(*key, (F.col("shared") / (F.col("total") + F.col("most") - F.col("shared"))).alias("similarity")))
+    bounds = written(_raised(totals.withColumn("bound", F.lit(float(least))), low, k))
+    asked = written(own.join(_rarest(own, bounds), ["query_id", "component"], "left_semi").join(bounds.select("query_id", "bound"), "query_id"))
+    few = (F.col("holders") <= FREQUENT) | (F.col("bound") <= 0)
+    walked = asked.where(few).select("query_id", "component", "own")
+    weight = lambda rows, name: rows.groupBy("query_id").agg(F.sum("own").alias(name))
+    left = weight(own, "all_own").join(weight(walked, "walked"), "query_id", "left").select("query_id", (F.col("all_own") - F.coalesce("walked", F.lit(0))).alias("left"))
+    bounds = written(bounds.join(left, "query_id"))
+    met = written(_counted_above(pairs, walked, levels).where("material_id <> query_id").join(size, "material_id").join(bounds, "query_id"))
+    # Of a material that shares so much of what was walked up from, this is the score at most.
+    most = F.least(F.col("shared") + F.col("left"), F.col("most"))
+    reached = most / (F.col("total") + F.greatest(F.col("least"), most) - most)
+    first = written(best(met.select(*key, reached.alias("similarity")), k).select(*key))
     prints = written(fingerprints(pairs, levels, first.select("material_id"), stored=True))
     scored = written(_kernel_scores(own, totals, first, prints))
-    found = best(scored, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("kth"))
-    bounds = written(totals.join(found, "query_id", "left").select("query_id", "total", F.greatest(F.coalesce("kth", F.lit(0.0)), F.lit(float(least))).alias("bound")))
-    held = _above(pairs, _rarest(own, bounds).select("query_id", F.col("component").alias("node")), levels).where("material_id <> query_id")
-    bound = F.col("bound") - _SLACK
-    fits = (F.col("most") >= bound * F.col("total")) & (F.col("total") >= bound * F.col("least"))
-    others = held.join(bounds, "query_id").join(size, "material_id").where(fits).select("query_id", "material_id").join(first, ["query_id", "material_id"], "left_anti")
-    others = written(others)
-    dropped(size, first, prints, bounds)
+    bounds = written(_raised(bounds, scored, k))
+    fits = reached >= F.col("bound") - _SLACK
+    others = met.drop("bound").join(bounds.select("query_id", "bound"), "query_id").where(fits).select(*key)
+    # Of those that hold none of it, groups of about equal totals are held against the bound, as there are far fewer than materials.
+    grouped = size.select("material_id", F.floor("least").alias("least"), F.ceil("most").alias("most"))
+    short = bounds.where("bound > 0 AND left > 0").withColumn("shared", F.lit(0))
+    near = written(short.crossJoin(grouped.groupBy("least", "most").agg(F.count("*").alias("n"))).where(fits).select("query_id", "least", "most", "n"))
+    rest = asked.where(~few).groupBy("query_id").agg(F.sum("holders").alias("holders"))
+    many = written(near.groupBy("query_id").agg(F.sum("n").alias("n")).join(rest, "query_id").where("n > holders").select("query_id"))
+    unmet = near.join(many, "query_id", "left_anti").join(grouped, ["least", "most"]).select(*key)
+    if not many.isEmpty():
+        start = asked.where(~few).join(many, "query_id", "left_semi").select("query_id", F.col("component").alias("node"))
+        above = _above(pairs, start, levels).join(size, "material_id").join(short, "query_id").where(fits).select(*key)
+        unmet = unmet.unionAll(above)
+    others = written(others.unionAll(unmet.where("material_id <> query_id").join(met, key, "left_anti")).join(first, key, "left_anti"))
+    dropped(size, low, asked, met, first, prints, bounds, near, many)
     return scored, others
 
 
+def _raised(bounds: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """bounds (query_id, bound and more), each raised to the query's k-th score, if it has so many."""
+    found = best(scored, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("kth"))
+    return bounds.join(found, "query_id", "left").withColumn("bound", F.greatest("bound", F.coalesce("kth", F.lit(0.0)))).drop("kth")
+
+
 def kernel_queries(pairs: DataFrame, ids: DataFrame, iterations: int | None = 3) -> tuple[DataFrame, DataFrame]:
     """(query_id, component, own, holders) of the fingerprints of ids and (query_id, total), as tables."""
     holders = pairs.groupBy(F.col("child_id").alias("component")).agg(F.count("*").alias("holders"))

@@ -86,3 +86,20 @@ def test_totals_lie_within_their_bounds(spark):
     totals = {r.material_id: r.n for r in graph.fingerprints(pairs, 3).groupBy("material_id").agg(F.sum("occurrence").alias("n")).collect()}
     bounds = {r.material_id: r for r in graph.total_bounds(pairs, 3).collect()}
     assert all(bounds[m].least <= n + 1e-9 <= bounds[m].most + 1e-6 for m, n in totals.items()) and bounds["top"].least > 300
+
+
+def test_what_all_hold_is_not_walked_up_from(spark, monkeypatch):
+    """Five queries over 400 products that share one nut, and little else: a score with the nut alone is far below the tenth, so few are candidates."""
+    draw = random.Random(9)
+    edges = [(f"m{i}", f"c{draw.randrange(800)}") for i in range(400) for _ in range(20)] + [(f"m{i}", f"nut{j}") for i in range(400) for j in range(6)]
+    pairs = graph.written(graph.distinct_edges(spark.createDataFrame(edges, "parent_id string, child_id string")))
+    monkeypatch.setattr(graph, "FREQUENT", 100)
+    ids = spark.createDataFrame([(f"m{i}",) for i in range(5)], "query_id string")
+    own, totals = graph.kernel_queries(pairs, ids)
+    scored, others = graph.kernel_candidates(pairs, own, totals, 10, 0.0)
+    assert scored.count() + others.count() < 5 * 100
+    asked = [f"m{i}" for i in range(5)]
+    assert rows(graph.find_similar_materials_wl_bounded(spark, asked, 10, bom_table=pairs)) == rows(graph.find_similar_materials_wl_kernel(spark, asked, 10, bom_table=pairs))
+    # A query that holds little else than the nuts: those that share them are walked up to where totals tell nothing apart.
+    more = pairs.unionAll(spark.createDataFrame([("lone", "nut1"), *((f"x{i}", f"y{i}") for i in range(900)), *((f"z{i}", "nut1") for i in range(300))], "parent_id string, child_id string"))
+    assert rows(graph.find_similar_materials_wl_bounded(spark, ["lone", "m3"], 10, bom_table=more)) == rows(graph.find_similar_materials_wl_kernel(spark, ["lone", "m3"], 10, bom_table=more))
