@@ -42,7 +42,13 @@ def relationship(similarity: Column) -> Column:
 def calibration(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """For each relationship_type of truth (material_a, material_b): n, and mean, least and greatest similarity of its pairs in scored (0 where it has none)."""
     joined = truth.join(scored.select("material_a", "material_b", "similarity"), ["material_a", "material_b"], "left").withColumn("s", F.coalesce("similarity", F.lit(0.0)))
-    return joined.groupBy("relationship_type").agg(F.count("*").alias("n"), F.avg("s").alias("mean_similarity"), F.min("s").alias("min_similarity"), F.max("s").alias("max_similarity"))
+    return calibrated(joined.select("relationship_type", F.col("s").alias("similarity")))
+
+
+def calibrated(pairs: DataFrame) -> DataFrame:
+    """calibration() of pairs that have both relationship_type and similarity."""
+    s = F.col("similarity")
+    return pairs.groupBy("relationship_type").agg(F.count("*").alias("n"), F.avg(s).alias("mean_similarity"), F.min(s).alias("min_similarity"), F.max(s).alias("max_similarity"))
 
 
 def top_level(bom: DataFrame) -> DataFrame:

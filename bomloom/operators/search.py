@@ -8,6 +8,8 @@ the 2k first by id can be needed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ Queries = str | list | DataFrame
 _SIZES = 1 << 31
 #: The most holders of a component in one row.
 HOLDERS = 2_000
+#: About so many times do two materials meet in a task that counts them, so that its counts stay in memory.
+MEETINGS = 2_000_000
 
 
 def query_ids(spark: SparkSession, queries: Queries) -> DataFrame:
@@ -73,7 +77,19 @@ def together(edges_: DataFrame) -> DataFrame:
     within = lists.select("codes", F.posexplode("codes").alias("i", "a")).where("i < size(codes) - 1").select("a", F.slice("codes", F.col("i") + 2, F.size("codes")).alias("others"))
     later = lists.where("block > 0").select("child_id", F.col("block").alias("later"), F.col("codes").alias("others"))
     across = lists.join(later, "child_id").where("block < later").select(F.explode("codes").alias("a"), "others")
-    return within.unionAll(across).repartition("a").select("a", F.explode("others").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return _dealt(within.unionAll(across), _meetings(lists), "a").select("a", F.explode("others").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def _meetings(lists: DataFrame) -> int:
+    """How often two holders meet in lists (child_id, codes)."""
+    n = lists.groupBy("child_id").agg(F.sum(F.size("codes").cast("double")).alias("n"))
+    return int(n.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0])
+
+
+def _dealt(rows: DataFrame, meetings: int, key: str) -> DataFrame:
+    """rows by key, in so many parts that MEETINGS of the meetings come to a part."""
+    parts = math.ceil(meetings / MEETINGS)
+    return rows.repartition(parts, key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(key)
 
 
 def with_names(found: DataFrame, names: DataFrame, **columns: str) -> DataFrame:
@@ -163,6 +179,18 @@ def prefix_candidates(pairs: DataFrame, min_similarity: float) -> DataFrame:
     return with_names(met, names, a="material_a", b="material_b").select("material_a", "material_b")
 
 
+def _coded_similarities(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """a < b, shared_components, similarity of every two codes that share a component."""
+    found = together(coded(pairs, names)).withColumnRenamed("shared", "shared_components")
+    return found.withColumn("similarity", overlap(F.col("shared_components"), size_of(F.col("a")), size_of(F.col("b"))))
+
+
+def all_similarities(spark: SparkSession, bom_table: DataFrame | str) -> DataFrame:
+    """shared_components, similarity: a row for each pair of all_pairs_jaccard(), for reports that need no ids."""
+    pairs = written(edges(relation(spark, bom_table, ["parent_id", "child_id"], "bom_table")))
+    return _coded_similarities(pairs, named(pairs)).select("shared_components", "similarity")
+
+
 def all_pairs_jaccard(spark: SparkSession, bom_table: DataFrame | str, min_similarity: float = 0.0) -> DataFrame:
     """material_a < material_b that share a component, with their similarity of at least min_similarity.
 
@@ -173,9 +201,7 @@ def all_pairs_jaccard(spark: SparkSession, bom_table: DataFrame | str, min_simil
     columns = ["material_a", "material_b", "shared_components"]
     if min_similarity <= 0:
         names = named(pairs)
-        found = together(coded(pairs, names)).withColumnRenamed("shared", "shared_components")
-        similarity = overlap(F.col("shared_components"), size_of(F.col("a")), size_of(F.col("b")))
-        return with_names(found.withColumn("similarity", similarity), names, a="material_a", b="material_b").select(*columns, "similarity")
+        return with_names(_coded_similarities(pairs, names), names, a="material_a", b="material_b").select(*columns, "similarity")
     candidates = written(prefix_candidates(pairs, min_similarity))
     left = candidates.join(pairs.withColumnRenamed("parent_id", "material_a"), "material_a")
     shared = left.join(pairs.withColumnRenamed("parent_id", "material_b"), ["material_b", "child_id"]).groupBy("material_a", "material_b").agg(F.count("*").alias("shared_components"))

@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from bomloom.operators import search
+from bomloom.operators import metrics, search
+from bomloom.plans.queries import QUERIES
 
 
 def links(spark, sets):
@@ -46,3 +47,29 @@ def test_search_by_lists_in_blocks(spark, monkeypatch):
     for r in search.find_similar_materials_jaccard(spark, [*sets, "nobody"], 4, bom_table=links(spark, sets)).collect():
         got.setdefault(r.query_id, []).append((-r.similarity, r.material_id))
     assert {q: sorted(found) for q, found in got.items()} == {q: sorted((-jaccard(sets[q], sets[m]), m) for m in sets if m != q)[:4] for q in sets}
+
+
+@pytest.mark.parametrize("name", ["similarity_calibration", "similarity_bands"])
+def test_reports_on_pairs_send_no_pair_twice(spark, name, capsys):
+    """Pairs are counted where lists of holders meet; joins with ids, or with themselves, would send each again."""
+    QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "Generate" in plan and "Join" not in plan.split("Generate")[0]
+
+
+def test_calibration_of_other_scores(spark):
+    truth = spark.createDataFrame([("a", "b", "variant"), ("a", "c", "variant"), ("b", "c", "unrelated")], "material_a string, material_b string, relationship_type string")
+    scored = spark.createDataFrame([("a", "b", 0.5), ("x", "y", 1.0)], "material_a string, material_b string, similarity double")
+    got = {r.relationship_type: tuple(r)[1:] for r in metrics.calibration(scored, truth).collect()}
+    assert got == {"variant": (2, 0.25, 0.0, 0.5), "unrelated": (1, 0.0, 0.0, 0.0)}
+
+
+def test_many_meetings_are_dealt_to_more_tasks(spark, monkeypatch):
+    sets = drawn(20, 5, 12)
+    expected = sorted(tuple(r) for r in search.all_pairs_jaccard(spark, links(spark, sets)).collect())
+    monkeypatch.setattr(search, "MEETINGS", 10)
+    found = search.all_pairs_jaccard(spark, links(spark, sets))
+    assert found.count() and sorted(tuple(r) for r in found.collect()) == expected
+    meetings = sum(len([1 for x in sets.values() if c in x]) * (len([1 for x in sets.values() if c in x]) - 1) // 2 for c in {c for x in sets.values() for c in x})
+    pairs = search.written(search.edges(links(spark, sets)))
+    assert search.together(search.coded(pairs, search.named(pairs))).rdd.getNumPartitions() >= meetings // 10
