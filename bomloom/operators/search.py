@@ -9,7 +9,11 @@ the 2k first by id can be needed.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +111,38 @@ def fill(found: DataFrame, queries: DataFrame, materials: DataFrame, k: int) ->
     return short.crossJoin(F.broadcast(first)).where("material_id <> query_id").join(found.select("query_id", "material_id"), ["query_id", "material_id"], "left_anti")
 
 
+def _best_met(k: int, min_similarity: float):
+    """A function of one query's rows (query, codes): the k materials that meet it in the best share of components, equal ones by code."""
+
+    def best_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, parts, waiting, query = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0, None
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                query = batch.column("query")[0].as_py()
+                parts.append(batch.column("codes").flatten().to_numpy())
+                waiting += len(parts[-1])
+            if waiting > MEETINGS or batch is None:
+                # Counts so far, and what has come since.
+                met, more = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+                both = np.concatenate([codes, met])
+                order = np.argsort(both, kind="stable")
+                both, numbers = both[order], np.concatenate([counts, more])[order]
+                starts = np.flatnonzero(np.diff(both, prepend=-1))
+                codes, counts, parts, waiting = both[starts], np.add.reduceat(numbers, starts) if len(starts) else numbers, [], 0
+        if query is None:
+            return
+        others = codes != query
+        codes, counts = codes[others], counts[others]
+        similarity = counts / (query % _SIZES + codes % _SIZES - counts)
+        near = np.flatnonzero(similarity >= min_similarity)
+        if len(near) > k:
+            near = near[similarity[near] >= np.partition(similarity[near], len(near) - k)[len(near) - k]]
+        near = near[np.lexsort((codes[near], -similarity[near]))[:k]]
+        yield pa.RecordBatch.from_pydict({"query": np.full(len(near), query, np.int64), "material": codes[near], "shared_components": counts[near], "similarity": similarity[near]})
+
+    return best_met
+
+
 def _scored(pairs: DataFrame, queries: DataFrame, k: int, min_similarity: float, eligible: DataFrame | None = None) -> DataFrame:
     """The k best of each query, those that share nothing included; equal ones by material_id."""
     pairs = written(pairs)
@@ -114,14 +150,13 @@ def _scored(pairs: DataFrame, queries: DataFrame, k: int, min_similarity: float,
     known = names.join(queries, names["material_id"] == queries["query_id"]).select("query_id", F.col("code").alias("query"))
     searched = names if eligible is None else names.join(eligible.select("material_id"), "material_id", "left_semi")
     own = written(coded(pairs, names.join(known.select(F.col("query_id").alias("material_id")), "material_id", "left_semi")).withColumnRenamed("code", "query"))
-    lists = holders(coded(pairs, searched).join(own.select("child_id"), "child_id", "left_semi"))
-    # What is sent to a query are lists; they are divided where its materials are counted and ranked.
-    met = own.join(lists, "child_id").select("query", "codes").repartition("query").select("query", F.explode("codes").alias("material")).where("material <> query")
-    found = met.groupBy("query", "material").agg(F.count("*").alias("shared_components"))
+    lists = written(holders(coded(pairs, searched).join(own.select("child_id"), "child_id", "left_semi")))
+    # What is sent to a query are lists; its materials are counted and ranked where they come together.
+    asked = own.groupBy("child_id").agg(F.count("*").alias("n")).join(lists, "child_id")
+    sent = asked.agg(F.coalesce(F.sum(F.col("n") * F.size("codes")), F.lit(0))).first()[0]
+    met = own.join(lists, "child_id").select("query", "codes")
+    first = written(_dealt(met, sent // 4, "query").groupBy("query").applyInArrow(_best_met(k, min_similarity), "query long, material long, shared_components long, similarity double"))
     n, a, b = F.col("shared_components"), size_of(F.col("query")), size_of(F.col("material"))
-    found = found.withColumn("similarity", overlap(n, a, b)).where(F.col("similarity") >= min_similarity)
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "material")
-    first = written(found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n"))
     columns = ["query_id", "material_id", "similarity", "shared_components", (a + b - n).alias("total_components")]
     out = with_names(first, names, query="query_id", material="material_id").select(*columns)
     if min_similarity <= 0:

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from bomloom.operators import metrics, search
@@ -73,3 +74,24 @@ def test_many_meetings_are_dealt_to_more_tasks(spark, monkeypatch):
     meetings = sum(len([1 for x in sets.values() if c in x]) * (len([1 for x in sets.values() if c in x]) - 1) // 2 for c in {c for x in sets.values() for c in x})
     pairs = search.written(search.edges(links(spark, sets)))
     assert search.together(search.coded(pairs, search.named(pairs))).rdd.getNumPartitions() >= meetings // 10
+
+
+def test_ranking_counts_as_lists_come(spark, monkeypatch):
+    """A query's lists are counted a part at a time; ranked are whole counts, and no window sorts every material that a query meets."""
+    best = search._best_met(2, 0.1)
+    monkeypatch.setattr(search, "MEETINGS", 3)
+    code = lambda n, size: n << 31 | size
+    lists = [[code(1, 4), code(2, 2), code(3, 4)], [code(1, 4), code(2, 2)], [code(1, 4), code(3, 4), code(4, 9)], [code(1, 4), code(4, 9)]]
+    batches = [pa.RecordBatch.from_pydict({"query": pa.array([code(1, 4)] * len(x), pa.int64()), "codes": pa.array(x, pa.list_(pa.int64()))}) for x in (lists[:1], lists[1:3], lists[3:])]
+    (found,) = best(iter(batches))
+    assert found.to_pydict() == {"query": [code(1, 4)] * 2, "material": [code(2, 2), code(3, 4)], "shared_components": [2, 2], "similarity": [0.5, 2 / 6]}
+    empty = best(iter([batches[0].slice(0, 0)]))
+    assert sum(b.num_rows for b in empty) == 0
+
+
+def test_equal_ones_are_ranked_by_id(spark):
+    sets = {f"m{i:02d}": {"x", f"y{i}"} for i in range(30)}
+    got = {}
+    for r in search.find_similar_materials_jaccard(spark, list(sets), 3, bom_table=links(spark, sets)).collect():
+        got.setdefault(r.query_id, []).append(r.material_id)
+    assert {q: sorted(x) for q, x in got.items()} == {q: [m for m in sorted(sets) if m != q][:3] for q in sets}
