@@ -51,7 +51,8 @@ def fingerprints(bom: DataFrame, iterations: int | None = 3, roots: DataFrame |
                 above = written(level.select("material_id").distinct())
                 links = pairs.join(above, pairs["child_id"] == above["material_id"], "left_semi")
             below = level.withColumnRenamed("material_id", "child_id")
-            level = links.join(below, "child_id").select(F.col("parent_id").alias("material_id"), "component")
+            # A merge join holds the right side's rows of a key in memory: parents of a child, not all that lies below it.
+            level = below.join(links, "child_id").select(F.col("parent_id").alias("material_id"), "component")
         if depth < levels:
             level = written(level.distinct())
         found = found.unionAll(level.withColumn("depth", F.lit(1 << depth - 1)))

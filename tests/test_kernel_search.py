@@ -103,3 +103,11 @@ def test_what_all_hold_is_not_walked_up_from(spark, monkeypatch):
     # A query that holds little else than the nuts: those that share them are walked up to where totals tell nothing apart.
     more = pairs.unionAll(spark.createDataFrame([("lone", "nut1"), *((f"x{i}", f"y{i}") for i in range(900)), *((f"z{i}", "nut1") for i in range(300))], "parent_id string, child_id string"))
     assert rows(graph.find_similar_materials_wl_bounded(spark, ["lone", "m3"], 10, bom_table=more)) == rows(graph.find_similar_materials_wl_kernel(spark, ["lone", "m3"], 10, bom_table=more))
+
+
+def test_levels_below_a_child_are_streamed(spark):
+    """A merge join holds its right side's rows of a key: those are the parents of a child, of which a region of many suppliers has few."""
+    pairs = graph.written(spark.createDataFrame([("r", "n"), ("n", "s"), ("s", "p")], "parent_id string, child_id string"))
+    plan = graph.fingerprints(pairs, 2, stored=True)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join Inner") :]
+    assert join.index("AS component") < join.index("Relation")
