@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from bomloom.operators import metrics, search
+from bomloom.operators import compare, metrics, search
 from bomloom.plans.queries import QUERIES
 
 
@@ -95,3 +95,18 @@ def test_equal_ones_are_ranked_by_id(spark):
     for r in search.find_similar_materials_jaccard(spark, list(sets), 3, bom_table=links(spark, sets)).collect():
         got.setdefault(r.query_id, []).append(r.material_id)
     assert {q: sorted(x) for q, x in got.items()} == {q: [m for m in sorted(sets) if m != q][:3] for q in sets}
+
+
+def test_fused_pairs_are_not_sent(spark, monkeypatch):
+    """The rows of late fusion of both kinds of pairs, without an exchange after pairs are made."""
+    monkeypatch.setattr(search, "HOLDERS", 4)
+    sets = drawn(14, 4, 20) | {"alone": {"z"}}
+    places = [(m, i % 4) for i, m in enumerate([*sets, "bare", "empty"])] + [("alone", None)]
+    groups = spark.createDataFrame(places, "material_id string, group int")
+    near = groups.toDF("material_a", "group").join(groups.toDF("material_b", "group"), "group").where("material_a < material_b").selectExpr("material_a", "material_b", "1.0D AS similarity")
+    expected = compare.late_fusion({"parts": (search.all_pairs_jaccard(spark, links(spark, sets)), 0.7), "place": (near, 0.3)})
+    found = search.fused_with_groups(spark, links(spark, sets), groups, 0.7, 0.3)
+    rows = lambda df: sorted((r.material_a, r.material_b, round(r.similarity, 12)) for r in df.collect())
+    assert rows(found) == rows(expected)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Exchange hashpartitioning" not in plan.split("Generate")[0]
